@@ -9,13 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from strataloom.llm.common import table
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public vocabulary file on this machine; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataloom.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_simhash": op6_simhash}
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+def op7_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.tokenpack import pack_and_read
+
+    return pack_and_read(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_byte_bpe": op2_byte_bpe, "op6_simhash": op6_simhash, "op7_token_pack": op7_token_pack}
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {}
