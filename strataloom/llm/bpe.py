@@ -6,9 +6,9 @@ each neighbouring pair encodes to itself (Berglund and van der Merwe, "Formalizi
 Tokenization", 2023). So, for every prefix read, there is exactly one last token: the suffix of
 the prefix that is a token and is compatible with the last token before it.
 
-The nondeterministic machine guesses token boundaries; its live guesses are the prefixes that
-end within the longest suffix that can still grow into a token. A determinised state is that
-suffix, the last token that all live guesses share, and each guess's tokens since. States and
+The nondeterministic machine guesses token boundaries; its live guesses are the prefixes after
+which what was read since can still grow into a token that is compatible with the guess's last
+one. A determinised state is what was read since the earliest live guess, the last token that all live guesses share, and each guess's tokens since. States and
 transitions are made when first met and kept. A transition emits the tokens on which all live
 guesses agree, so a token leaves after a lookahead of less than the longest token's length
 times the guesses that still differ; at a word's end the longest guess is emitted. When
@@ -25,7 +25,9 @@ table gives no rows; a null doc_id stays null; other columns of the input are no
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
+import gc
 import hashlib
 from array import array
 
@@ -37,6 +39,9 @@ from strataloom.llm.common import map_texts, texts
 from strataloom.llm.pretokens import PATTERN, PieceEncoder
 
 
+_NEVER = 1 << 62
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a file of base64 tokens and numbers."""
     with open(path, "rb") as lines:
@@ -50,7 +55,10 @@ class Transducer:
         self.ranks, self.most = ranks, most
         self.token = {r: t for t, r in ranks.items()}
         self.starts = {t[:k] for t in ranks for k in range(1, len(t))}  # what can still grow into a token
+        self.sorted = sorted(ranks)
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.histories: dict[int, tuple] = {}
+        self.alive: dict[tuple[int, bytes], bool] = {}
         self._begin()
 
     def _begin(self) -> None:
@@ -66,33 +74,81 @@ class Transducer:
             self.states.append(state)
         return n
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The definition: join the neighbours of lowest rank, leftmost first, until none can be joined."""
-        parts = [piece[k : k + 1] for k in range(len(piece))]
+    def _joins(self, parts: list[bytes]):
+        """The definition: join the neighbours of lowest rank, leftmost first, until none can be joined.
+
+        Changes ``parts`` in place and yields the rank of each join after it is made.
+        """
         get = self.ranks.get
         joins = [get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
         while True:
-            best, at = None, -1
+            best, at = _NEVER, -1
             for k, r in enumerate(joins):
-                if r is not None and (best is None or r < best):
+                if r is not None and r < best:
                     best, at = r, k
-            if best is None:
-                return [self.ranks[p] for p in parts]
+            if at < 0:
+                return
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del joins[at]
             if at:
                 joins[at - 1] = get(parts[at - 1] + parts[at])
             if at < len(joins):
                 joins[at] = get(parts[at] + parts[at + 1])
+            yield best
+
+    def merge(self, piece: bytes) -> list[int]:
+        parts = [piece[k : k + 1] for k in range(len(piece))]
+        for _ in self._joins(parts):
+            pass
+        return [self.ranks[p] for p in parts]
+
+    def _history(self, token: int) -> tuple[list[int], list[bytes], list[bytes], bool]:
+        """How a token is built: the rank of each join, its first and last part before each and at the end, and whether it is whole then."""
+        if (known := self.histories.get(token)) is None:
+            piece = self.token[token]
+            parts = [piece[k : k + 1] for k in range(len(piece))]
+            ranks, first, last = [], [parts[0]], [parts[-1]]
+            for rank in self._joins(parts):
+                ranks.append(rank)
+                first.append(parts[0])
+                last.append(parts[-1])
+            ranks.append(_NEVER)
+            known = self.histories[token] = ranks, first, last, len(parts) == 1
+        return known
 
     def compatible(self, a: int, b: int) -> bool:
-        """Do two tokens, written one after the other, encode to themselves? -1 stands for a word's start."""
+        """Do two tokens, written one after the other, encode to themselves? -1 stands for a word's start.
+
+        Their joins happen in order of rank, those of the left one first where ranks are equal;
+        they stay apart unless a join across the border comes before the next one inside.
+        """
         if (known := self.pairs.get((a, b))) is None:
             if len(self.pairs) > 4 * self.most:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(self.token[b]) == [b] if a < 0 else self.merge(self.token[a] + self.token[b]) == [a, b]
+            known = self.pairs[a, b] = self._apart(a, b)
         return known
 
+    def _apart(self, a: int, b: int) -> bool:
+        inside_b, first, _, whole_b = self._history(b)
+        if a < 0 or not whole_b:
+            return whole_b
+        inside_a, _, last, whole_a = self._history(a)
+        if not whole_a:
+            return False
+        i = j = 0
+        get = self.ranks.get
+        while True:
+            next_a, next_b = inside_a[i], inside_b[j]
+            across = get(last[i] + first[j], _NEVER)
+            if across < next_a and across <= next_b:
+                return False
+            if next_a <= next_b:
+                if next_a == _NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
+
     def _grow(self, grown: bytes) -> tuple[list[tuple[int, int]], bytes]:
         """Of a suffix that grew by a byte: the tokens it ends in, longest first, and its longest end that can grow on."""
         if (known := self.grown.get(grown)) is None:
@@ -101,12 +157,24 @@ class Transducer:
             known = self.grown[grown] = candidates, next((e for e in ends if e in self.starts), b"")
         return known
 
+    def _can_grow(self, last: int, part: bytes) -> bool:
+        """Does any token that begins with ``part`` and is longer follow ``last`` in an encoding?"""
+        if (known := self.alive.get((last, part))) is None:
+            if len(self.alive) > 4 * self.most:
+                self.alive.clear()
+            begin = bisect.bisect_right(self.sorted, part)
+            after = part.rstrip(b"\xff")
+            end = bisect.bisect_left(self.sorted, after[:-1] + bytes((after[-1] + 1,)), begin) if after else len(self.sorted)
+            # short parts begin so many tokens that one of them surely fits; a guess kept in vain costs a state, not a result
+            known = end - begin > 32 or any(self._apart(last, self.ranks[t]) for t in self.sorted[begin:end])
+            self.alive[last, part] = known
+        return known
+
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         suffix, base, guesses = self.states[state]
         candidates, suffix = self._grow(suffix + bytes((byte,)))
         for length, token in candidates:
-            if length <= len(guesses):
-                before = guesses[length - 1]
+            if length <= len(guesses) and (before := guesses[length - 1]) is not None:
                 last = before[-1] if before else base
                 known = self.pairs.get((last, token))
                 if known or known is None and self.compatible(last, token):
@@ -114,18 +182,21 @@ class Transducer:
         else:
             raise ValueError(f"the ranks have no token for byte {byte}")
         newest = (*before, token)
-        live = (newest, *guesses[: len(suffix)])
-        agreed = len(newest)
-        for guess in live[1:]:
-            agreed = min(agreed, len(guess))
-            while guess[:agreed] != newest[:agreed]:
-                agreed -= 1
-            if not agreed:
-                break
+        live, longest, agreed = [newest], 0, len(newest)
+        for length, guess in enumerate(guesses[: len(suffix)], 1):
+            if guess is not None and self._can_grow(guess[-1] if guess else base, suffix[-length:]):
+                longest = length
+                agreed = min(agreed, len(guess))
+                while guess[:agreed] != newest[:agreed]:
+                    agreed -= 1
+                live.append(guess)
+            else:
+                live.append(None)
+        suffix, live = suffix[len(suffix) - longest :], live[: longest + 1]
         emitted = newest[:agreed]
         if agreed:
-            base, live = emitted[-1], tuple([g[agreed:] for g in live])
-        nxt = self._state((suffix, base, live))
+            base, live = emitted[-1], [g and g[agreed:] for g in live]
+        nxt = self._state((suffix, base, tuple(live)))
         self.steps[state << 8 | byte] = nxt, emitted
         return nxt, emitted
 
@@ -228,7 +299,11 @@ class Codec:
 
     def _words(self, words: list[str]) -> list[bytes]:
         encode = self.machine.encode
-        return [array("I", encode(w.encode("utf-8", "surrogatepass"))).tobytes() for w in words]
+        gc.disable()  # the tables only grow, and walking them again and again finds nothing
+        try:
+            return [array("I", encode(w.encode("utf-8", "surrogatepass"))).tobytes() for w in words]
+        finally:
+            gc.enable()
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(x, "<u4") for x in self.pieces.encode(batch)]
@@ -244,7 +319,10 @@ class Codec:
         return "".join(out), stream.errors
 
 
-codec = functools.lru_cache(maxsize=4)(Codec)
+@functools.lru_cache(maxsize=4)
+def codec(path: str) -> Codec:
+    """The codec of a rank file, made once in each process."""
+    return Codec(path)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

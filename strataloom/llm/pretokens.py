@@ -20,7 +20,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 class PieceEncoder:
     """Texts -> packed little-endian unsigned 32-bit ids, through ``encode_words`` on distinct words."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], pattern: str = PATTERN, most: int = 200_000):
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], pattern: str = PATTERN, most: int = 300_000):
         self.encode_words, self.most = encode_words, most
         self.find = regex.compile(pattern).findall
         self.words: dict[str, bytes] = {}
