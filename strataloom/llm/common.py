@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +43,7 @@ def texts(column: pa.Array) -> list[str]:
 
 def map_texts(df: DataFrame, columns: list[str], text: str, schema: str, work: Callable[[pa.RecordBatch], dict], most: int = 4 << 20) -> DataFrame:
     """Apply ``work`` to slices of ``columns`` and build rows of ``schema`` from the columns it returns."""
-    fields = [x.strip().split()[0] for x in schema.split(",")]
+    fields = [f.name for f in T._parse_datatype_string(schema).fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, most):
