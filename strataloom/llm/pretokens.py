@@ -16,6 +16,9 @@ import regex
 #: Fixed value: the pattern of the rank files, as the vocabulary package states it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Marks that are one match when they end a piece of letters.
+_MARKS = frozenset(",.;:!?")
+
 
 class PieceEncoder:
     """Texts -> packed little-endian unsigned 32-bit ids, through ``encode_words`` on distinct words."""
@@ -23,20 +26,21 @@ class PieceEncoder:
     def __init__(self, encode_words: Callable[[list[str]], list[bytes]], pattern: str = PATTERN, most: int = 300_000):
         self.encode_words, self.most = encode_words, most
         self.find = regex.compile(pattern).findall
-        self.words: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes | None] = {}
+        self.words: dict[str, bytes] = {}  # matches but for those of a space and letters, which are in rest
+        self.first: dict[str, bytes] = {}  # pieces at a text's start
+        self.rest: dict[str, bytes | None] = {}  # pieces after a space; None: the text is split as a whole
 
-    def _learn(self, matches: list[list[str]]) -> None:
-        new = [*{w for ws in matches for w in ws if w not in self.words}]
-        if new:
-            self.words.update(zip(new, self.encode_words(new), strict=True))
+    def _learn(self, matches: list[str]) -> None:
+        """Encode what is new among distinct matches."""
+        spaced = [w for w in matches if w[0] == " " and w[1:].isalpha() and w[1:] not in self.rest]
+        other = [w for w in matches if not (w[0] == " " and w[1:].isalpha()) and w not in self.words]
+        found = self.encode_words(spaced + other)
+        self.rest.update(zip([w[1:] for w in spaced], found, strict=False))
+        self.words.update(zip(other, found[len(spaced) :], strict=True))
 
-    def _remember(self, into: dict, pieces: list[str], lead: str) -> None:
-        found = [self.find(lead + p) for p in pieces]
-        self._learn(found)
-        for p, ws in zip(pieces, found, strict=True):
-            into[p] = b"".join([self.words[w] for w in ws])
+    def _joined(self, matches: list[str]) -> bytes:
+        words, rest = self.words, self.rest
+        return b"".join([words[w] if w in words else rest[w[1:]] for w in matches])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         for memory in (self.words, self.first, self.rest):
@@ -44,20 +48,28 @@ class PieceEncoder:
                 for old in [*itertools.islice(memory, self.most // 2)]:
                     del memory[old]
         pieces = [t.split(" ") for t in texts]
-        new = set()
-        for p in pieces:
-            new.update(p[1:])
-        new = [p for p in new if p not in self.rest]
-        good = [p for p in new if p and not p[0].isspace()]
-        self.rest.update(dict.fromkeys(new))  # None: the text is split as a whole
-        self._remember(self.rest, good, " ")
-        self._remember(self.first, [*{p[0] for p in pieces if p[0] not in self.first}], "")
+        new = {*itertools.chain.from_iterable(pieces)}.difference(self.rest)
+        whole = [p for p in new if p.isalpha()]  # one match, with the space before
+        self.rest.update(zip(whole, self.encode_words([" " + p for p in whole]), strict=True))
+        several = {}
+        for p in new:
+            if not p.isalpha():
+                if p[-1:] in _MARKS and p[:-1].isalpha():
+                    several[p] = [" " + p[:-1], p[-1]]
+                else:
+                    several[p] = self.find(" " + p) if p and not p[0].isspace() else None
+        first = {p[0]: self.find(p[0]) for p in pieces if p[0] not in self.first}
+        self._learn([*{w for ws in (*several.values(), *first.values()) if ws for w in ws}])
+        for p, ws in several.items():
+            self.rest[p] = None if ws is None else self._joined(ws)
+        for p, ws in first.items():
+            self.first[p] = self._joined(ws)
         out = []
         for t, p in zip(texts, pieces, strict=True):
             try:
                 out.append(self.first[p[0]] + b"".join(map(self.rest.__getitem__, p[1:])))
             except TypeError:
-                words = self.find(t)
-                self._learn([words])
-                out.append(b"".join([self.words[w] for w in words]))
+                matches = self.find(t)
+                self._learn([*set(matches)])
+                out.append(self._joined(matches))
         return out

@@ -16,10 +16,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strataloom.llm.simhash import near_duplicates
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.decontaminate import overlaps
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,13 +28,39 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.langid import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, fit(docs))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.secrets import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataloom.llm.tokenpack import pack_and_read
 
     return pack_and_read(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_byte_bpe": op2_byte_bpe, "op6_simhash": op6_simhash, "op7_token_pack": op7_token_pack}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_language_id": op3_language_id,
+    "op5_secrets": op5_secrets,
+    "op6_simhash": op6_simhash,
+    "op7_token_pack": op7_token_pack,
+}
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {}
