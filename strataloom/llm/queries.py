@@ -53,6 +53,12 @@ def op7_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_and_read(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.minhash import edited
+
+    return edited(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_byte_bpe": op2_byte_bpe,
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
     "op7_token_pack": op7_token_pack,
+    "op8_minhash": op8_minhash,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
