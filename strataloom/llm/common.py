@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,12 +44,12 @@ def texts(column: pa.Array) -> list[str]:
 
 def map_texts(df: DataFrame, columns: list[str], text: str, schema: str, work: Callable[[pa.RecordBatch], dict], most: int = 4 << 20) -> DataFrame:
     """Apply ``work`` to slices of ``columns`` and build rows of ``schema`` from the columns it returns."""
-    fields = [f.name for f in T._parse_datatype_string(schema).fields]
+    kinds = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, most):
             out = work(batch)
-            yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f], (pa.Array, pa.ChunkedArray)) else pa.array(x) for f in fields], fields)
+            yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) for f in kinds], schema=kinds)
 
     return df.select(*columns).mapInArrow(run, schema)
 

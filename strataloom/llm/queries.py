@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strataloom.llm import urlfilter
 from strataloom.llm.common import table
 
 
@@ -35,6 +36,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, fit(docs))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.urlfilter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataloom.llm.secrets import digests
 
@@ -59,15 +66,30 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.licenses import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
+def op10_pseudolikelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.pseudolikelihood import fit_and_score
+
+    return fit_and_score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_language_id": op3_language_id,
+    "op4_url_filter": op4_url_filter,
     "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
     "op7_token_pack": op7_token_pack,
     "op8_minhash": op8_minhash,
+    "op9_licenses": op9_licenses,
+    "op10_pseudolikelihood": op10_pseudolikelihood,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_url_filter": urlfilter.oracle()}
