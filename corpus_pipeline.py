@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import bpe, decontaminate, langid, secrets, simhash
+from strataloom.llm import bpe, decontaminate, langid, secrets, simhash_similar
 from strataloom.llm.common import table
 from strataloom.llm.queries import tokenizer_file
 from strataloom.session import shared_path
@@ -26,8 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # five words: the rule for near-duplicate stages on word shingles
-    return simhash.keep_one(docs, words=5)
+    # five words and a similarity of 0.8: the rule for near-duplicate stages on word shingles
+    return simhash_similar.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

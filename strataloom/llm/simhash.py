@@ -161,15 +161,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, tile_rows:
     prints = materialize(fingerprints(docs, words, id_col, text_col), "simhash-prints")
     whole = prints.join(components(prints, radius, tile_rows), "fp")
     return whole.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, words: int = 3, radius: int = 2, tile_rows: int = 4096) -> DataFrame:
-    """The rows of ``docs`` with all their columns, but of each component only its least doc_id, once."""
-    prints = materialize(fingerprints(docs, words), "simhash-prints")
-    whole = prints.join(components(prints, radius, tile_rows), "fp")
-    kept = whole.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    kept = materialize(kept.select(F.col("doc_id").alias("kept_id"), "copies"), "simhash-kept")
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    once = docs.join(kept.where("copies = 1"), same, "left_semi")
-    more = docs.join(kept.where("copies > 1"), same, "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(more)
