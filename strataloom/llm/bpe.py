@@ -29,6 +29,7 @@ import bisect
 import functools
 import gc
 import hashlib
+import re
 from array import array
 
 import numpy as np
@@ -51,7 +52,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes single words (matches of the pattern) by ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 600_000):
         self.ranks, self.most = ranks, most
         self.token = {r: t for t, r in ranks.items()}
         self.starts = {t[:k] for t in ranks for k in range(1, len(t))}  # what can still grow into a token
@@ -63,16 +64,14 @@ class Transducer:
 
     def _begin(self) -> None:
         self.grown: dict[bytes, tuple[list[tuple[int, int]], bytes]] = {}
-        self.states: list[tuple] = []
-        self.number: dict[tuple, int] = {}
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.states: dict[tuple, dict] = {}
         self.initial = self._state((b"", -1, ((),)))
 
-    def _state(self, state: tuple) -> int:
-        if (n := self.number.get(state)) is None:
-            n = self.number[state] = len(self.states)
-            self.states.append(state)
-        return n
+    def _state(self, state: tuple) -> dict:
+        """The transitions of a state: byte -> (transitions of the next state, emitted tokens); at -1 the state itself."""
+        if (own := self.states.get(state)) is None:
+            own = self.states[state] = {-1: state}
+        return own
 
     def _joins(self, parts: list[bytes]):
         """The definition: join the neighbours of lowest rank, leftmost first, until none can be joined.
@@ -170,8 +169,8 @@ class Transducer:
             self.alive[last, part] = known
         return known
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        suffix, base, guesses = self.states[state]
+    def _step(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
+        suffix, base, guesses = state[-1]
         candidates, suffix = self._grow(suffix + bytes((byte,)))
         for length, token in candidates:
             if length <= len(guesses) and (before := guesses[length - 1]) is not None:
@@ -197,20 +196,20 @@ class Transducer:
         if agreed:
             base, live = emitted[-1], [g and g[agreed:] for g in live]
         nxt = self._state((suffix, base, tuple(live)))
-        self.steps[state << 8 | byte] = nxt, emitted
-        return nxt, emitted
+        step = state[byte] = nxt, emitted
+        return step
 
     def encode(self, word: bytes) -> list[int]:
         if (whole := self.ranks.get(word)) is not None:
             return [whole]
         if len(self.states) > self.most:
             self._begin()
-        state, out, get = self.initial, [], self.steps.get
+        state, out = self.initial, []
         for byte in word:
-            state, emitted = get(state << 8 | byte) or self._step(state, byte)
+            state, emitted = state.get(byte) or self._step(state, byte)
             if emitted:
                 out += emitted
-        out += self.states[state][2][0]
+        out += state[-1][2][0]
         return out
 
 
@@ -246,6 +245,10 @@ def _utf8_machine() -> list[list]:
 _BETWEEN = _utf8_machine()
 
 
+#: Between characters a byte below 0x80 leads back to between characters, so only the stretches of others need steps.
+_HIGH = re.compile(rb"[\x80-\xff]+").finditer
+
+
 class Utf8Stream:
     """Bytes in chunks -> text in chunks; an unfinished character waits, an ill-formed part becomes U+FFFD."""
 
@@ -255,8 +258,16 @@ class Utf8Stream:
     def feed(self, chunk: bytes, last: bool = False) -> str:
         data = self.held + chunk
         self.held = b""
-        if data.isascii():
-            return data.decode("ascii")
+        for run in _HIGH(data):
+            row = _BETWEEN
+            for byte in run[0]:
+                row = row[byte]
+                if row is None:
+                    break
+            if row is not _BETWEEN:  # ill-formed, or unfinished where the chunk ends
+                break
+        else:
+            return data.decode("utf-8")
         out, begin, at, row = [], 0, 0, _BETWEEN
         k, size = 0, len(data)
         while k < size:
@@ -303,6 +314,7 @@ class Codec:
         try:
             return [array("I", encode(w.encode("utf-8", "surrogatepass"))).tobytes() for w in words]
         finally:
+            gc.freeze()
             gc.enable()
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:

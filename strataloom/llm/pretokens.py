@@ -23,7 +23,7 @@ _MARKS = frozenset(",.;:!?")
 class PieceEncoder:
     """Texts -> packed little-endian unsigned 32-bit ids, through ``encode_words`` on distinct words."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], pattern: str = PATTERN, most: int = 300_000):
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], pattern: str = PATTERN, most: int = 500_000):
         self.encode_words, self.most = encode_words, most
         self.find = regex.compile(pattern).findall
         self.words: dict[str, bytes] = {}  # matches but for those of a space and letters, which are in rest
