@@ -52,7 +52,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes single words (matches of the pattern) by ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 350_000):
         self.ranks, self.most = ranks, most
         self.token = {r: t for t, r in ranks.items()}
         self.starts = {t[:k] for t in ranks for k in range(1, len(t))}  # what can still grow into a token
