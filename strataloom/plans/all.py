@@ -1 +1,3 @@
 """Imports every module of registered queries."""
+
+from strataloom.plans import distribution_queries, text_queries  # noqa: F401
