@@ -39,7 +39,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(docs, tokenizer_file("byte_bpe_50k.tiktoken"))
+    # smaller tables than the query's: workers here also hold what earlier stages left
+    return bpe.digests(docs, tokenizer_file("byte_bpe_50k.tiktoken"), states=100_000, words=100_000)
 
 
 STAGES = [

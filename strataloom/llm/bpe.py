@@ -298,10 +298,10 @@ class Utf8Stream:
 class Codec:
     """Encoder and decoder of one rank file."""
 
-    def __init__(self, path: str, pattern: str = PATTERN):
+    def __init__(self, path: str, states: int = 350_000, words: int = 300_000, pattern: str = PATTERN):
         self.ranks = read_ranks(path)
-        self.machine = Transducer(self.ranks)
-        self.pieces = PieceEncoder(self._words, pattern)
+        self.machine = Transducer(self.ranks, states)
+        self.pieces = PieceEncoder(self._words, pattern, words)
         size = max(self.ranks.values()) + 1
         self.bytes = [b""] * size
         for token, rank in self.ranks.items():
@@ -332,9 +332,9 @@ class Codec:
 
 
 @functools.lru_cache(maxsize=4)
-def codec(path: str) -> Codec:
-    """The codec of a rank file, made once in each process."""
-    return Codec(path)
+def codec(path: str, states: int = 350_000, words: int = 300_000) -> Codec:
+    """The codec of a rank file, made once in each process; at most so many states and words are kept, which changes no result."""
+    return Codec(path, states, words)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,11 +360,11 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return encoded.select(id_col, ids_col).mapInArrow(run, f"doc_id {kind}, text string, n_errors bigint")
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, path: str, states: int = 350_000, words: int = 300_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256, n_errors)``: encode, decode the ids, and digest both."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        own = codec(path)
+        own = codec(path, states, words)
         counts, shas, decoded, errors = [], [], [], []
         for found in own.encode(texts(batch.column(1))):
             ids = found.tolist()
