@@ -52,7 +52,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes single words (matches of the pattern) by ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 350_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 600_000):
         self.ranks, self.most = ranks, most
         self.token = {r: t for t, r in ranks.items()}
         self.starts = {t[:k] for t in ranks for k in range(1, len(t))}  # what can still grow into a token
@@ -298,7 +298,7 @@ class Utf8Stream:
 class Codec:
     """Encoder and decoder of one rank file."""
 
-    def __init__(self, path: str, states: int = 350_000, words: int = 300_000, pattern: str = PATTERN):
+    def __init__(self, path: str, states: int = 600_000, words: int = 500_000, pattern: str = PATTERN):
         self.ranks = read_ranks(path)
         self.machine = Transducer(self.ranks, states)
         self.pieces = PieceEncoder(self._words, pattern, words)
@@ -332,7 +332,7 @@ class Codec:
 
 
 @functools.lru_cache(maxsize=4)
-def codec(path: str, states: int = 350_000, words: int = 300_000) -> Codec:
+def codec(path: str, states: int = 600_000, words: int = 500_000) -> Codec:
     """The codec of a rank file, made once in each process; at most so many states and words are kept, which changes no result."""
     return Codec(path, states, words)
 
@@ -360,7 +360,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return encoded.select(id_col, ids_col).mapInArrow(run, f"doc_id {kind}, text string, n_errors bigint")
 
 
-def digests(docs: DataFrame, path: str, states: int = 350_000, words: int = 300_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, path: str, states: int = 600_000, words: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256, n_errors)``: encode, decode the ids, and digest both."""
 
     def work(batch: pa.RecordBatch) -> dict:
