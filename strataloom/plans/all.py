@@ -1,3 +1,3 @@
 """Imports every module of registered queries."""
 
-from strataloom.plans import distribution_queries, repository_queries, text_queries  # noqa: F401
+from strataloom.plans import distribution_queries, graph_queries, repository_queries, text_queries  # noqa: F401
