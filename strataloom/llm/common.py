@@ -42,6 +42,15 @@ def texts(column: pa.Array) -> list[str]:
         return [x.decode("utf-8", "replace") for x in raw(column)]
 
 
+def bounded_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
+    """``df``, after lowering the session's default of 10,000 rows in a batch: texts are long, and JVM and worker each hold a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if int(conf.get(key)) > rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def map_texts(df: DataFrame, columns: list[str], text: str, schema: str, work: Callable[[pa.RecordBatch], dict], most: int = 4 << 20) -> DataFrame:
     """Apply ``work`` to slices of ``columns`` and build rows of ``schema`` from the columns it returns."""
     kinds = to_arrow_schema(T._parse_datatype_string(schema))
@@ -51,7 +60,7 @@ def map_texts(df: DataFrame, columns: list[str], text: str, schema: str, work: C
             out = work(batch)
             yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) for f in kinds], schema=kinds)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return bounded_batches(df).select(*columns).mapInArrow(run, schema)
 
 
 def keep_rows(df: DataFrame, text: str, good: Callable[[pa.RecordBatch], np.ndarray], most: int = 4 << 20) -> DataFrame:
@@ -61,4 +70,4 @@ def keep_rows(df: DataFrame, text: str, good: Callable[[pa.RecordBatch], np.ndar
         for batch in slices(batches, text, most):
             yield batch.filter(pa.array(good(batch), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return bounded_batches(df).mapInArrow(run, df.schema)

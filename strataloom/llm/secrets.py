@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strataloom.llm.automaton import Scanner
-from strataloom.llm.common import map_texts, raw, slices
+from strataloom.llm.common import bounded_batches, map_texts, raw, slices
 
 
 @dataclass(frozen=True)
@@ -137,4 +137,4 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
                     columns[sized] = pa.array([n if c is None else len(c) for n, c in zip(columns[sized].to_pylist(), changed, strict=True)], batch.schema.field(sized).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
