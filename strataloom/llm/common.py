@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -42,6 +43,18 @@ def texts(column: pa.Array) -> list[str]:
         return [x.decode("utf-8", "replace") for x in raw(column)]
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Within the block, batches hold ``rows`` rows at most: for rows that are whole tiles."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def bounded_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
     """``df``, after lowering the session's default of 10,000 rows in a batch: texts are long, and JVM and worker each hold a batch."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

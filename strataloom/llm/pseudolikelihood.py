@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import map_texts, slices, texts
+from strataloom.llm.common import bounded_batches, map_texts, slices, texts
 from strataloom.session import materialize
 
 #: Classes 1 to 62; 0 is what lies outside a text, 63 any other character. Digits share one class, as do letters of either case.
@@ -99,7 +99,7 @@ def count_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if len(keys):
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["window", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "window bigint, n bigint").groupBy("window").agg(F.sum("n").alias("n"))
+    return bounded_batches(docs).select(text_col).mapInArrow(run, "window bigint, n bigint").groupBy("window").agg(F.sum("n").alias("n"))
 
 
 class Network:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import map_texts, raw
+from strataloom.llm.common import arrow_rows, map_texts, raw
 from strataloom.operators.components import connected_components
 from strataloom.session import materialize
 
@@ -149,7 +149,9 @@ def links(distinct: DataFrame, radius: int = 2, tile_rows: int = 4096) -> DataFr
 def components(prints: DataFrame, radius: int = 2, tile_rows: int = 4096) -> DataFrame:
     """``prints(doc_id, fp)`` -> ``(fp, component_id)`` for each distinct fingerprint."""
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
-    found = connected_components(materialize(links(nodes.select("fp"), radius, tile_rows), "simhash-links"))
+    with arrow_rows(prints.sparkSession, 64):
+        linked = materialize(links(nodes.select("fp"), radius, tile_rows), "simhash-links")
+    found = connected_components(linked)
     rooted = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root"))
     rooted = materialize(rooted, "simhash-roots")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))

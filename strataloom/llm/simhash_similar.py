@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import map_texts, raw
+from strataloom.llm.common import arrow_rows, map_texts, raw
 from strataloom.llm.simhash import SEED
 from strataloom.operators.components import connected_components
 from strataloom.session import materialize
@@ -134,7 +134,9 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 25, tile_rows: int =
     each = prints.groupBy("doc_id", "key", "a", "b", "n").agg(F.count("*").alias("copies"))
     nodes = each.groupBy("a", "b").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "key", "copies")).alias("least")).withColumn("node", F.xxhash64("a", "b"))
     nodes = materialize(nodes, "similar-nodes")
-    found = connected_components(materialize(links(nodes.select("node", "a", "b", "n"), radius, tile_rows), "similar-links"))
+    with arrow_rows(docs.sparkSession, 16):
+        linked = materialize(links(nodes.select("node", "a", "b", "n"), radius, tile_rows), "similar-links")
+    found = connected_components(linked)
     rooted = nodes.join(found, "node", "left").select("least", F.coalesce("component", "node").alias("root"))
     kept = materialize(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.*"), "similar-kept")
     kept = kept.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "copies")

@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import slices, texts
+from strataloom.llm.common import bounded_batches, slices, texts
 from strataloom.llm.pretokens import PieceEncoder
 from strataloom.session import shared_path
 
@@ -226,7 +226,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None, fi
             n_docs, n_ids = writer.close(name)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], ["part", "file", "n_docs", "n_ids"])
 
-    rows = ranged.mapInArrow(run, "part int, file string, n_docs bigint, n_ids bigint").collect()  # a row for each file
+    rows = bounded_batches(ranged).mapInArrow(run, "part int, file string, n_docs bigint, n_ids bigint").collect()  # a row for each file
     return [(r.file, r.n_docs, r.n_ids) for r in sorted(rows)]
 
 
