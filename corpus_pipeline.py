@@ -40,7 +40,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # smaller tables than the query's: workers here also hold what earlier stages left
-    return bpe.digests(docs, tokenizer_file("byte_bpe_50k.tiktoken"), states=60_000, words=80_000)
+    return bpe.digests(docs, tokenizer_file("byte_bpe_50k.tiktoken"), states=120_000, words=120_000)
 
 
 STAGES = [

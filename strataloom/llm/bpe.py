@@ -60,10 +60,13 @@ class Transducer:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.histories: dict[int, tuple] = {}
         self.alive: dict[tuple[int, bytes], bool] = {}
+        self.states = {}
         self._begin()
 
     def _begin(self) -> None:
         self.grown: dict[bytes, tuple[list[tuple[int, int]], bytes]] = {}
+        for own in self.states.values():  # states lead to each other, and frozen cycles would stay for ever
+            own.clear()
         self.states: dict[tuple, dict] = {}
         self.initial = self._state((b"", -1, ((),)))
 
