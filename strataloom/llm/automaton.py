@@ -290,11 +290,14 @@ class Scanner:
             return
         for rule in range(len(self.rules)):
             own = [e for e, mask in ends if mask >> rule & 1]
-            last = 0
+            last, blocked = 0, False
             for k, end in enumerate(own):
-                if end <= last or k + 1 < len(own) and own[k + 1] == end + 1:
-                    continue  # inside the last match, or the match goes on
+                goes_on = k + 1 < len(own) and own[k + 1] == end + 1
+                if end <= last or blocked and goes_on:
+                    continue
                 begin = self._reach(back[rule], reversed(data[last:end]))
+                # of a stretch of ends that only a start inside the last match leads to, just the final one is tried again
+                blocked = not begin and goes_on
                 if begin:
                     start = end - begin
                     last = start + self._reach(ahead[rule], data[start:])

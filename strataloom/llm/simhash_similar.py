@@ -139,8 +139,11 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 25, tile_rows: int =
     found = connected_components(linked)
     rooted = nodes.join(found, "node", "left").select("least", F.coalesce("component", "node").alias("root"))
     kept = materialize(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.*"), "similar-kept")
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "copies")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (text_key == F.col("__key"))
-    once = docs.join(kept.where("copies = 1"), same, "left_semi")
-    more = docs.join(kept.where("copies > 1"), same, "left_semi").dropDuplicates([id_col, text_col])
+    own = "kept"
+    while any(c.startswith(own) for c in docs.columns):  # names that no column of the input has
+        own += "_"
+    kept = kept.select(F.col("doc_id").alias(f"{own}id"), F.col("key").alias(f"{own}key"), F.col("copies").alias(f"{own}n"))
+    same = F.col(id_col).eqNullSafe(F.col(f"{own}id")) & (text_key == F.col(f"{own}key"))
+    once = docs.join(kept.where(F.col(f"{own}n") == 1), same, "left_semi")
+    more = docs.join(kept.where(F.col(f"{own}n") > 1), same, "left_semi").dropDuplicates([id_col, text_col])
     return once.unionByName(more)

@@ -1,0 +1,67 @@
+import hashlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from strataloom.llm import bpe, decontaminate, langid, secrets, simhash_similar
+
+
+@pytest.fixture(scope="module")
+def sf_dir(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("sf"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    extra = spark.createDataFrame([(9001, None, None, None, None), (9002, "", "en", "s", 0), (9003, "12345 67890", "en", "s", 11)], docs.schema)
+    docs.unionByName(docs.limit(20)).unionByName(extra).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_pipeline_against_brute_force(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.collect()
+    model = langid.fit(docs)
+    rejected = model.predict([r.text or "" for r in rows])[2]
+    rows = [r for r, gone in zip(rows, rejected, strict=True) if not gone]
+    prints = np.array([simhash_similar.fingerprint(r.text.encode()) for r in rows], np.uint64)
+    band = np.floor(np.log(prints[:, 2] + 1.0) / np.log(1.25))
+    label = np.arange(len(rows))
+    for k in range(len(rows)):
+        bits = np.bitwise_count(prints[k, 0] ^ prints[:, 0]).astype(int) + np.bitwise_count(prints[k, 1] ^ prints[:, 1])
+        joined = np.unique(label[(bits <= 25) & (abs(band - band[k]) <= 1)])
+        label[np.isin(label, joined)] = joined[0]
+    least = {}
+    for g, r in zip(label, rows, strict=True):
+        if g not in least or r.doc_id < least[g].doc_id:
+            least[g] = r
+    rows = [*least.values()]
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
+    dirty = {f[0] for f in decontaminate.Index([(b.item_id, b.text) for b in bench]).find([r.text for r in rows])}
+    rows = [r for k, r in enumerate(rows) if k not in dirty]
+    expected = {}
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for r in rows:
+        text = secrets.redacted(r.text.encode()) or r.text
+        ids = codec.encode([text])[0].tolist()
+        expected[r.doc_id] = (len(ids), hashlib.sha256(text.encode()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert got == expected
+
+
+def test_stages_keep_columns_and_survive_empty_tables(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), sf_dir).columns == docs.columns
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_queries_run_on_the_smallest_tables(spark):
+    from strataloom.llm.queries import QUERIES
+
+    for name, query in QUERIES.items():
+        assert query(spark, "/root/testdata/sf0.001").count() > 0, name
