@@ -45,7 +45,7 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         for memory in (self.words, self.first, self.rest):
             if len(memory) > self.most:
-                for old in [*itertools.islice(memory, self.most // 2)]:
+                for old in [*itertools.islice(memory, len(memory) - self.most // 2)]:
                     del memory[old]
         pieces = [t.split(" ") for t in texts]
         new = {*itertools.chain.from_iterable(pieces)}.difference(self.rest)
