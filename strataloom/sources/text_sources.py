@@ -63,7 +63,7 @@ def read_named_edges(spark: SparkSession, path: str, sep: str = "\t") -> tuple[D
 def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
     """``(src, dst)`` of lines ``node neighbour...``."""
     parts = F.split(F.trim("value"), "[ \t]+")
-    return spark.read.text(path).select(parts[0].cast("long").alias("src"), F.explode(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).cast("long").alias("dst")).dropna().distinct()
+    return spark.read.text(path).select(parts[0].cast("long").alias("src"), F.explode(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))).cast("array<bigint>")).alias("dst")).dropna().distinct()
 
 
 def read_pajek(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
