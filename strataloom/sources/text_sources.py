@@ -21,7 +21,8 @@ def read_tree(spark: SparkSession, folder: str, languages: dict[str, str] | None
 
 def read_distribution(spark: SparkSession, path: str) -> DataFrame:
     """``(value, freq)`` of lines ``value freq``; malformed lines are left out."""
-    return spark.read.schema("value double, freq long").option("sep", " ").option("mode", "DROPMALFORMED").csv(path)
+    # malformed fields read as null; the filter makes both columns be parsed even where a query needs neither
+    return spark.read.schema("value double, freq long").option("sep", " ").csv(path).where("value is not null and freq is not null")
 
 
 def write_dictionary(counted: DataFrame, path: str, tok: str = "tok", freq: str = "freq") -> None:
