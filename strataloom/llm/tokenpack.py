@@ -173,7 +173,7 @@ class _Tokenizer:
         for token, k in self.whole.get_vocab(with_added_tokens=True).items():
             self.length[k] = len(token)  # in the byte alphabet a character is a byte
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.pieces = PieceEncoder(self._words)
+        self.pieces = PieceEncoder(self._words, most=600_000)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -217,7 +217,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None, fi
         tail = np.array([] if end_id is None else [end_id], np.uint32)
         writer = Writer(min_bits(max(own.size, (end_id or 0) + 1)), block)
         part = None
-        for batch in slices(batches, text_col, 1 << 20):
+        for batch in slices(batches, text_col):
             part = batch.column(2)[0].as_py()
             for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode(texts(batch.column(1))), strict=True):
                 writer.add(doc_id, np.concatenate((ids, tail)))
