@@ -335,4 +335,4 @@ def conductance(edges: DataFrame, inside: DataFrame) -> DataFrame:
     mark = inside.select("node", F.lit(1).alias("in_"))
     m = s.join(mark.select(F.col("node").alias("src"), F.col("in_").alias("x")), "src", "left").join(mark.select(F.col("node").alias("dst"), F.col("in_").alias("y")), "dst", "left")
     r = m.agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNull()).alias("cut"), F.count_if(F.col("x").isNotNull()).alias("volume"), F.count("*").alias("total"))
-    return r.select("cut", "volume", (F.col("cut") / F.least("volume", F.col("total") - F.col("volume"))).alias("conductance"))
+    return r.select("cut", "volume", F.try_divide("cut", F.least("volume", F.col("total") - F.col("volume"))).alias("conductance"))

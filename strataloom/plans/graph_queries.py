@@ -329,7 +329,7 @@ def modularity(spark, sf_dir):
 
 @_q("conductance", f"with {S} select count(*) filter (where src < 300 and dst >= 300) as cut, count(*) filter (where src < 300) as volume, round(count(*) filter (where src < 300 and dst >= 300) / cast(least(count(*) filter (where src < 300), count(*) filter (where src >= 300)) as double), 9) as conductance from s")
 def conductance(spark, sf_dir):
-    inside = Tables(spark, sf_dir).v_users.where("id < 300").select(F.col("id").alias("node"))
+    inside = gr.nodes(gr.both_ways(_edges(spark, sf_dir))).where("node < 300")
     return gr.conductance(_edges(spark, sf_dir), inside).withColumn("conductance", F.round("conductance", 9))
 
 
