@@ -109,7 +109,7 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def train(found: np.ndarray, labels: list[str], clusters: int = 3, slack: float = 0.5) -> Model:
+def train(found: np.ndarray, labels: list[str], clusters: int = 3, slack: float = 0.25) -> Model:
     languages = sorted(set(labels))
     seen = (found > 0).sum(axis=0)
     model = Model(languages, (np.log((1 + len(found)) / (1 + seen)) + 1).astype(np.float32), np.zeros((0, found.shape[1]), np.float32), np.zeros(0, np.int64), 0.0)
@@ -133,7 +133,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def fit(docs: DataFrame, per_language: int = 300, size: int = 4096, clusters: int = 3, slack: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, per_language: int = 300, size: int = 4096, clusters: int = 3, slack: float = 0.25, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Train on at most ``per_language`` rows of each language, none of them held out."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
     totals = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # a row for each language
