@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import text as tx
+from strataloom.operators.prefix import running_sums
 
 
 def token_rows(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -48,21 +49,23 @@ def heaps_by_document(docs: DataFrame, order: str, by: list[str], text_col: str
     New tokens are found by their first document, so only one row for each document, not each
     token, goes through the running sums.
     """
+    return _heaps(docs, order, by, text_col).select(*by, order, "total", "uniq")
+
+
+def _heaps(docs: DataFrame, order: str, by: list[str], text_col: str) -> DataFrame:
     rows = docs.select(order, *by, F.explode(tx.tokens(F.col(text_col))).alias("tok"))
     sizes = docs.select(order, *by, F.size(tx.tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("n"))
     first = rows.groupBy(*by, "tok").agg(F.min(order).alias(order)).groupBy(*by, order).agg(F.count("*").alias("new"))
-    both = sizes.join(first, [*by, order], "left")
-    over = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return both.select(*by, order, F.sum("n").over(over).alias("total"), F.sum(F.coalesce("new", F.lit(0))).over(over).alias("uniq"))
+    both = sizes.join(first, [*by, order], "left").select(*by, order, "n", F.coalesce("new", F.lit(0)).alias("new"))
+    return running_sums(both, list(by), order, {"n": "total", "new": "uniq"})
 
 
 def heaps_by_token(docs: DataFrame, order: str, by: list[str], text_col: str = "text") -> DataFrame:
     """``(*by, total, uniq)`` after each token: document totals first, then a window inside each document."""
     rows = token_rows(docs, [order, *by], text_col)
     first = rows.groupBy(*by, "tok").agg(F.min(F.struct(order, "pos")).alias("at")).select(*by, F.col(f"at.{order}").alias(order), F.col("at.pos").alias("pos"), F.lit(1).alias("new"))
-    ends = heaps_by_document(docs, order, by, text_col)
-    before = Window.partitionBy(*by).orderBy(order)
-    starts = ends.select(*by, order, F.coalesce(F.lag("total").over(before), F.lit(0)).alias("total0"), F.coalesce(F.lag("uniq").over(before), F.lit(0)).alias("uniq0"))
+    ends = _heaps(docs, order, by, text_col)
+    starts = ends.select(*by, order, (F.col("total") - F.col("n")).alias("total0"), (F.col("uniq") - F.col("new")).alias("uniq0"))
     inside = Window.partitionBy(*by, order).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     marked = rows.join(first, [*by, order, "pos"], "left").select(*by, order, "pos", F.sum(F.coalesce("new", F.lit(0))).over(inside).alias("uniq"))
     return marked.join(starts, [*by, order]).select(*by, (F.col("total0") + F.col("pos") + 1).alias("total"), (F.col("uniq0") + F.col("uniq")).alias("uniq"))
@@ -86,5 +89,4 @@ def vocabulary_with_retractions(changes: DataFrame, order: str, tok: str = "tok"
     now = each.withColumn("count", F.sum("d").over(over))
     before = F.coalesce(F.lag("count").over(Window.partitionBy(tok).orderBy(order)), F.lit(0))
     steps = now.withColumn("step", (F.col("count") > 0).cast("int") - (before > 0).cast("int")).groupBy(order).agg(F.sum("step").alias("step"), F.sum("d").alias("d"))
-    whole = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select(order, F.sum("step").over(whole).alias("uniq"), F.sum("d").over(whole).alias("total"))
+    return running_sums(steps, [], order, {"step": "uniq", "d": "total"}).select(order, "uniq", "total")
