@@ -2,7 +2,8 @@
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). A round needs only
 joins and minima, the number of rounds grows with the logarithm of the longest path, and no
-neighbour list is ever collected into one row.
+neighbour list is ever collected into one row. Minima are taken before the shuffle and written, so
+that both sides of the join that follows are plain shuffles, whose hubs adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -10,18 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.session import drop_path, shared_path
+from strataloom.session import drop_path, materialize, shared_path
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionAll(edges.select(F.col("dst").alias("u"), F.col("src").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("src"), F.col("m").alias("dst")).where("src <> dst")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "components-least")
     to_least = down.join(least, "u").where("v <> m").select(F.col("v").alias("src"), F.col("m").alias("dst"))
     return to_least.unionAll(least.select(F.col("u").alias("src"), F.col("m").alias("dst")))
 
