@@ -23,8 +23,10 @@ _MARKS = frozenset(",.;:!?")
 class PieceEncoder:
     """Texts -> packed little-endian unsigned 32-bit ids, through ``encode_words`` on distinct words."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], pattern: str = PATTERN, most: int = 300_000):
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], pattern: str = PATTERN, most: int = 300_000, encode_spaced: Callable[[list[str]], list[bytes]] | None = None):
+        """``encode_spaced`` is ``encode_words`` for words of letters, given without the space before each."""
         self.encode_words, self.most = encode_words, most
+        self.encode_spaced = encode_spaced or (lambda words: encode_words([" " + w for w in words]))
         self.find = regex.compile(pattern).findall
         self.words: dict[str, bytes] = {}  # matches but for those of a space and letters, which are in rest
         self.first: dict[str, bytes] = {}  # pieces at a text's start
@@ -32,11 +34,11 @@ class PieceEncoder:
 
     def _learn(self, matches: list[str]) -> None:
         """Encode what is new among distinct matches."""
-        spaced = [w for w in matches if w[0] == " " and w[1:].isalpha() and w[1:] not in self.rest]
-        other = [w for w in matches if not (w[0] == " " and w[1:].isalpha()) and w not in self.words]
-        found = self.encode_words(spaced + other)
-        self.rest.update(zip([w[1:] for w in spaced], found, strict=False))
-        self.words.update(zip(other, found[len(spaced) :], strict=True))
+        spaced = {w[1:] for w in matches if w[0] == " " and w[1:].isalpha()}
+        other = [w for w in matches if w not in self.words and not (w[0] == " " and w[1:].isalpha())]
+        spaced = [*spaced.difference(self.rest)]
+        self.rest.update(zip(spaced, self.encode_spaced(spaced), strict=True))
+        self.words.update(zip(other, self.encode_words(other), strict=True))
 
     def _joined(self, matches: list[str]) -> bytes:
         words, rest = self.words, self.rest
@@ -49,15 +51,15 @@ class PieceEncoder:
                     del memory[old]
         pieces = [t.split(" ") for t in texts]
         new = {*itertools.chain.from_iterable(pieces)}.difference(self.rest)
-        whole = [p for p in new if p.isalpha()]  # one match, with the space before
-        self.rest.update(zip(whole, self.encode_words([" " + p for p in whole]), strict=True))
-        several = {}
-        for p in new:
-            if not p.isalpha():
-                if p[-1:] in _MARKS and p[:-1].isalpha():
-                    several[p] = [" " + p[:-1], p[-1]]
-                else:
-                    several[p] = self.find(" " + p) if p and not p[0].isspace() else None
+        letters = {p for p in new if p.isalpha()}  # one match, with the space before
+        ended = [p for p in new if p[-1:] in _MARKS and p[:-1].isalpha()]  # two
+        need = letters.union([p[:-1] for p in ended]).difference(self.rest)
+        self.rest.update(zip(need, self.encode_spaced([*need]), strict=True))
+        for mark in _MARKS.difference(self.words):
+            self.words[mark] = self.encode_words([mark])[0]
+        rest, words = self.rest, self.words
+        rest.update([(p, rest[p[:-1]] + words[p[-1]]) for p in ended])
+        several = {p: self.find(" " + p) if p and not p[0].isspace() else None for p in new.difference(letters, ended)}
         first = {p[0]: self.find(p[0]) for p in pieces if p[0] not in self.first}
         self._learn([*{w for ws in (*several.values(), *first.values()) if ws for w in ws}])
         for p, ws in several.items():

@@ -173,25 +173,24 @@ class _Tokenizer:
         for token, k in self.whole.get_vocab(with_added_tokens=True).items():
             self.length[k] = len(token)  # in the byte alphabet a character is a byte
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.pieces = PieceEncoder(self._words, most=600_000)
+        self.pieces = PieceEncoder(self._words, most=800_000, encode_spaced=self._spaced)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _words(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _spaced(self, words: list[str]) -> list[bytes]:
         # words of a space and letters follow each other without a change to how they are split
-        out: dict[str, bytes] = {}
-        joined = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        if joined:
-            ids = self._ids("".join(joined))
-            at = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(w.encode()) for w in joined])) + 1
-            data, begin = ids.tobytes(), 0
-            for w, end in zip(joined, (4 * at).tolist(), strict=True):
-                out[w], begin = data[begin:end], end
-        other = [w for w in words if w not in out]
-        for w, e in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            out[w] = np.array(e.ids, "<u4").tobytes()
-        return [out[w] for w in words]
+        if not words:
+            return []
+        joined = " " + " ".join(words)
+        ids = self._ids(joined)
+        sizes = [*map(len, words)] if joined.isascii() else [len(w.encode()) for w in words]
+        at = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(np.array(sizes) + 1)) + 1
+        data, ends = ids.tobytes(), (4 * at).tolist()
+        return [data[x:y] for x, y in zip([0, *ends], ends, strict=False)]
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         odd = {k for k, t in enumerate(batch) if any(s in t for s in self.special)}  # the library cuts these out first
