@@ -3,7 +3,7 @@
 Two texts link if their fingerprints over five-word shingles agree in four fifths of the bits
 (``radius`` = 25 of 128 may differ), which finds texts whose shingle sets have a Jaccard
 likeness of 0.8 or more, give or take the fingerprint's error; unrelated texts differ in
-about 64 bits. Texts of such likeness also have shingle counts within a factor of 1.25, so the
+about 64 bits. Sets of such likeness also have sizes within a factor of 1.25 (repeats of a shingle do not count), so the
 distinct fingerprints are dealt to tiles by the band of that factor their count lies in and, in
 it, by population count in steps of 16. Only tiles of the same or the next band are compared, and
 tile pairs whose population counts differ beyond the radius are skipped. Within a tile pair
@@ -48,12 +48,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: bytes, words: int = 5) -> tuple[int, int, int]:
-    """Both 64-bit halves and the number of shingles; blank texts have zeros."""
+    """Both 64-bit halves and the number of different shingles; blank texts have zeros."""
     found = text.lower().split()
     if not found:
         return 0, 0, 0
     shingles = map(b" ".join, zip(*(found[k:] for k in range(words)), strict=False)) if len(found) > words else [b" ".join(found)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, itertools.repeat(SEED)), np.uint64)
+    hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, itertools.repeat(SEED)), np.uint64))
     ones = np.zeros(128, np.int64)
     for start in range(0, len(hashes), _AT_ONCE):
         part = hashes[start : start + _AT_ONCE]
@@ -132,7 +132,7 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 25, tile_rows: int =
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key.alias("key"), F.col(text_col).alias("text"))
     prints = materialize(map_texts(rows, ["doc_id", "key", "text"], "text", f"doc_id {kind}, key bigint, a bigint, b bigint, n bigint", work), "similar-prints")
     each = prints.groupBy("doc_id", "key", "a", "b", "n").agg(F.count("*").alias("copies"))
-    nodes = each.groupBy("a", "b").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "key", "copies")).alias("least")).withColumn("node", F.xxhash64("a", "b"))
+    nodes = each.groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "key", "copies")).alias("least")).withColumn("node", F.xxhash64("a", "b", "n"))
     nodes = materialize(nodes, "similar-nodes")
     with arrow_rows(docs.sparkSession, 16):
         linked = materialize(links(nodes.select("node", "a", "b", "n"), radius, tile_rows), "similar-links")

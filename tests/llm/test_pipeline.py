@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 
 from strataloom.llm import bpe, decontaminate, langid, secrets, simhash_similar
+from tests.llm.cases import DOC, prose
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +66,11 @@ def test_queries_run_on_the_smallest_tables(spark):
 
     for name, query in QUERIES.items():
         assert query(spark, "/root/testdata/sf0.001").count() > 0, name
+
+
+def test_repeats_of_a_passage_do_not_hide_a_copy(spark):
+    once = prose(501, 120)
+    lines = [prose(502 + k, 12) for k in range(8)]
+    texts = [once, f"{once} {once}", f"{once} {once} {once}", "\n".join(lines * 10), "\n".join(lines * 16), prose(520, 120)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOC)
+    assert sorted(r.doc_id for r in simhash_similar.keep_one(docs).collect()) == [0, 3, 5]
