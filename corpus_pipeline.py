@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # five words and a similarity of 0.8: the rule for near-duplicate stages on word shingles
+    # shingles of five words and an exact likeness of 0.8: the rule for near-duplicate stages on word shingles
     return simhash_similar.keep_one(docs)
 
 

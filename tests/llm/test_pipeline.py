@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
@@ -74,3 +75,24 @@ def test_repeats_of_a_passage_do_not_hide_a_copy(spark):
     texts = [once, f"{once} {once}", f"{once} {once} {once}", "\n".join(lines * 10), "\n".join(lines * 16), prose(520, 120)]
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOC)
     assert sorted(r.doc_id for r in simhash_similar.keep_one(docs).collect()) == [0, 3, 5]
+
+
+def test_near_copies_are_those_of_exact_likeness(spark):
+    draw, texts = random.Random(7), []
+    for k in range(150):
+        mine = [prose(10_000 + 3 * k + j, 400).split() for j in range(3)]
+        shared = draw.choice((60, 150, 300))
+        other = round(shared * draw.choice((0.02, 0.1, 0.124, 0.126, 0.16, 0.22, 0.3, 0.5)))
+        texts += [" ".join(mine[0][: shared + 4] + mine[j][:other]) for j in (1, 2)]
+    chain = prose(20_000, 300).split()
+    texts += [" ".join(chain[k * 15 : k * 15 + 150]) for k in range(10)]  # each links to the next
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOC)
+    sets = [set(zip(*(t.lower().split()[k:] for k in range(5)), strict=False)) for t in texts]
+    label = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if v == high else v for v in label]
+    assert 180 < len(set(label)) < 290
+    assert sorted(r.doc_id for r in simhash_similar.keep_one(docs, tile_rows=64, block_shingles=700).collect()) == sorted(set(label))
