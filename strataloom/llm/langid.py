@@ -4,8 +4,9 @@ A text's vector holds the counts of its letter n-grams (one to three letters, wo
 included), hashed to ``size`` places, damped by a logarithm, weighted by inverse document
 frequency and brought to length 1. Each language has several centroids, found by spherical
 k-means within its training rows. A text gets the language of the centroid of highest cosine.
-It is rejected if that cosine is below ``slack`` times the lowest one that any training row has
-to its own nearest centroid: further from all centroids than anything seen in training.
+It is rejected if that cosine lies more than ``slack`` (a share) below what texts of that language and
+length reach: a low quantile of the cosines of training rows, thinned to that many n-grams, to
+centroids of the other half of the rows. Short clean texts lie far from all centroids, so their bound is low.
 
 The classifier is fitted on a bounded sample: at most ``per_language`` rows of each language,
 those of least hash of doc_id. Only their hashed counts go to the driver. Everything else runs
@@ -30,6 +31,11 @@ from pyspark.sql import functions as F
 from strataloom.llm.common import keep_rows, map_texts, texts
 
 UNKNOWN = "und"
+#: lengths with a bound of their own: a power of two n-grams up to the next
+LEVELS = 16
+LOW = 0.002
+#: fewer rows than this have no low quantile: longer texts take the bound of the level below
+FEW = 50
 
 
 @functools.lru_cache(maxsize=1)
@@ -70,7 +76,7 @@ class Model:
     weights: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
-    least: float
+    bounds: np.ndarray
 
     def vectors(self, found: np.ndarray) -> np.ndarray:
         x = np.log1p(found) * self.weights
@@ -90,10 +96,15 @@ class Model:
             score = np.where(some, np.clip(cosine.max(axis=1), 0, 1), 0)
             names += [self.languages[self.owner[b]] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
             scores[begin : begin + len(found)] = score
-            rejected[begin : begin + len(found)] = ~some | (score < self.least)
+            rejected[begin : begin + len(found)] = ~some | (score < self.bounds[self.owner[best], level(found)])
         return names, scores, rejected
 
 
+def level(found: np.ndarray) -> np.ndarray:
+    """The row of bounds for each row's number of n-grams."""
+    return np.log2(np.clip(found.sum(axis=1, dtype=np.float64), 1, 1 << (LEVELS - 1))).astype(int)
+
+
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means; the first centre is the mean, each further one starts at the row furthest from all."""
     centres = x.mean(axis=0, keepdims=True)
@@ -112,22 +123,41 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def train(found: np.ndarray, labels: list[str], clusters: int = 3, slack: float = 0.25) -> Model:
     languages = sorted(set(labels))
     seen = (found > 0).sum(axis=0)
-    model = Model(languages, (np.log((1 + len(found)) / (1 + seen)) + 1).astype(np.float32), np.zeros((0, found.shape[1]), np.float32), np.zeros(0, np.int64), 0.0)
+    model = Model(languages, (np.log((1 + len(found)) / (1 + seen)) + 1).astype(np.float32), np.zeros((0, found.shape[1]), np.float32), np.zeros(0, np.int64), np.zeros((len(languages), LEVELS)))
     if not len(found):
         return model
     x = model.vectors(found)
     label = np.array([languages.index(name) for name in labels])
-    least = 1.0
     for k in range(len(languages)):
         own = x[label == k]
         centres = _cluster(own, clusters)
-        least = min(least, float((own @ centres.T).max(axis=1).min()))
+        model.bounds[k] = (1 - slack) * _reached(model, found[label == k], own, clusters)
         model.centroids = np.vstack((model.centroids, centres.astype(np.float32)))
         model.owner = np.concatenate((model.owner, np.full(len(centres), k)))
-    model.least = slack * least
     return model
 
 
+def _reached(model: Model, found: np.ndarray, own: np.ndarray, clusters: int) -> np.ndarray:
+    """For each level the ``LOW`` quantile of the cosines of one language's rows, thinned to the least length of the level."""
+    draw, half = np.random.default_rng(0), np.arange(len(own)) % 2 == 0
+    folds = [(half, ~half), (~half, half)] if len(own) >= 8 else [(half | True, half | True)]
+    folds = [(_cluster(own[fit], clusters), at) for fit, at in folds]
+    total, out = found.sum(axis=1), np.zeros(LEVELS)
+    for k in range(LEVELS):
+        cosines = []
+        for centres, at in folds:
+            rows = found[at & (total >= 1 << k)]
+            share = (1 << k) / np.maximum(rows.sum(axis=1, keepdims=True), 1)
+            row, place = np.nonzero(rows)
+            thin = np.zeros_like(rows)
+            thin[row, place] = draw.binomial(rows[row, place].astype(np.int64), np.broadcast_to(share, rows.shape)[row, place])
+            thin = thin[thin.any(axis=1)]
+            cosines.append((model.vectors(thin) @ centres.T).max(axis=1))
+        cosines = np.concatenate(cosines)
+        out[k] = np.quantile(cosines, LOW) if len(cosines) and (k == 0 or len(cosines) >= min(FEW, len(own))) else out[max(k, 1) - 1]
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     """Is crc32(doc_id as text) divisible by 5?"""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0

@@ -1,4 +1,6 @@
+import base64
 import hashlib
+import random
 import re
 import zlib
 
@@ -110,6 +112,27 @@ def test_language_id_held_out_accuracy(spark):
     assert right / total > 0.97 and rejected == 0
 
 
+def test_language_id_rejects_other_languages_and_noise(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    draw = random.Random(3)
+    letters = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    strange = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        letters(2000),
+        " ".join(letters(draw.randint(2, 9)) for _ in range(300)),
+        base64.b64encode(draw.randbytes(1500)).decode(),
+        "".join(chr(draw.randrange(0x4E00, 0x9FA0)) for _ in range(500)),
+    ]
+    assert model.predict(strange)[2].all()
+    known = [r.text for r in docs.where("length(text) > 2000").select("text").limit(60).collect()]
+    for size in (5, 20, 80, 320, 2000):
+        assert model.predict([t[:size] for t in known])[2].sum() <= 2
+    assert not model.predict(["The house.", "It was there and then they went out of the house and into the other one."])[2].any()
+
+
 def test_url_rules_and_terms(spark):
     urls = ["http://www.example.com/en/1", "http://a.EXAMPLE.com/en/", "https://x.net/es/q?z", "http://x.com/", "http://x.com", None, "no scheme", "http://casino-win.org/a", "http://free-bets.org", "http://freebets.org", "http://free.org/free", "http://exampleXcom/en/"]
     pages = spark.createDataFrame([(k, u, 1) for k, u in enumerate(urls)], "page_id bigint, url string, host int")
