@@ -1,7 +1,9 @@
 """License scans by sentence rules.
 
-A text is cut into sentences at line ends and after ``. ! ? ;`` before a blank. Each sentence,
-normalised (lower case, marks dropped, blanks collapsed), is looked up among known licence
+A text is cut into pieces at line ends and after ``. ! ? ;`` before a blank, each normalised (lower case,
+marks and comment leaders dropped, blanks collapsed). Pieces in a row that make up a known licence
+sentence are joined, the longest first, never over an empty line: so hard-wrapped licences read
+as on one line, and ``v. 2.0`` is whole. Every other piece is a sentence. A sentence is looked up among known licence
 sentences and becomes its identifier; unknown sentences give none, but ``gap`` or more of them
 in a row part what lies before from what follows. The rules, in order, are then matched against
 each part's identifiers: the first rule that fits at a place names the licence and takes its
@@ -35,7 +37,9 @@ SENTENCES = {
     "NoLiability": ["IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"],
     "Gpl3Notice": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Released under the GNU General Public License, version 3"],
     "Gpl2Notice": ["This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2", "Released under the GNU General Public License, version 2"],
-    "GplFree": ["This program is free software", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "GplFree": ["This program is free software"],
+    "Gpl3Free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "Gpl2Free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"],
     "Gpl3Plus": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "Gpl2Plus": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "either version 2 of the License, or (at your option) any later version"],
     "GplHope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
@@ -63,6 +67,10 @@ LICENCES = (
     ("MIT", ("MitNotice", "MitGrant", "MitInclude", "AsIsSoftware", "NoLiability")),
     ("MIT", ("MitGrant", "MitInclude", "AsIsSoftware", "NoLiability")),
     ("Apache-2.0", ("ApacheNotice", "ApacheCompliance", "ApacheObtain", "ApacheAsIs", "ApacheSee")),
+    ("GPL-3.0-or-later", ("Gpl3Free", "GplHope", "GplNoWarranty", "GplSee")),
+    ("GPL-2.0-or-later", ("Gpl2Free", "GplHope", "GplNoWarranty", "GplSee")),
+    ("GPL-3.0-or-later", ("Gpl3Free",)),
+    ("GPL-2.0-or-later", ("Gpl2Free",)),
     ("GPL-3.0-or-later", ("GplFree", "Gpl3Plus", "GplHope", "GplNoWarranty", "GplSee")),
     ("GPL-2.0-or-later", ("GplFree", "Gpl2Plus", "Gpl2Plus", "GplHope", "GplNoWarranty", "GplSee")),
     ("BSD-3-Clause", ("BsdRedistribute", "BsdSource", "BsdBinary", "BsdEndorse")),
@@ -83,17 +91,40 @@ LICENCES = (
     ("Proprietary", ("Copyright", "AllRights")),
     ("Proprietary", ("AllRights",)),
 )
-_MARKS = str.maketrans({c: " " for c in ",\"'()[]{}<>*#/|:-_`\t\r\x0b\x0c;!?"})
+_MARKS = str.maketrans({c: " " for c in ",\"'()[]{}<>*#%/|:-_`\t\r\x0b\x0c;!?"})
 
 
-def sentences(text: str) -> list[str]:
-    """Normalised sentences of a text."""
+def pieces(text: str) -> list[str]:
+    """Normalised pieces of a text between line ends and final marks."""
     for mark in ".!?;":
         text = text.replace(mark + " ", mark + "\n")
     return [" ".join(line.split()).rstrip(" .") for line in text.lower().translate(_MARKS).split("\n")]
 
 
-KNOWN = {sentences(s.replace(". ", ".~").replace("; ", ";~"))[0].replace("~", " "): name for name, forms in SENTENCES.items() for s in forms}
+KNOWN = {" ".join(pieces(s)): name for name, forms in SENTENCES.items() for s in forms}
+#: all that a known sentence can begin with and still go on
+BEGUN = frozenset(s[:k] for s in KNOWN for k, c in enumerate(s) if c == " ")
+
+
+def sentences(text: str) -> list[str]:
+    """Normalised sentences of a text: its pieces, those of a known sentence joined."""
+    found = pieces(text)
+    if BEGUN.isdisjoint(found):
+        return found
+    out, at = [], 0
+    while at < len(found):
+        whole, best, end = found[at], found[at], at + 1
+        last = end
+        while whole in BEGUN and last < len(found) and found[last]:
+            whole = f"{whole} {found[last]}"
+            last += 1
+            if whole in KNOWN:
+                best, end = whole, last
+        out.append(best)
+        at = end
+    return out
+
+
 _HEADS = frozenset(("copyright", "spdx"))
 
 

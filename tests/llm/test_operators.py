@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -290,6 +291,36 @@ def test_licences(spark, docs):
     assert licenses.find(cases.empty(spark)).count() == 0
 
 
+def test_licences_hard_wrapped():
+    wrapped = {}
+    for name, rule in licenses.LICENCES:
+        if len(rule) > 1 or name in ("ISC", "MPL-2.0") or rule[0] in ("Gpl3Free", "Gpl2Free"):
+            text = ". ".join(licenses.SENTENCES[part][0] for part in dict.fromkeys(rule) if part != "Copyright") + "."
+            wrapped.setdefault(name, text)
+    assert len(wrapped) >= 9
+    for name, text in wrapped.items():
+        for leader in ("", " * ", "# ", "// ", "% "):
+            for width in (50, 72, 80):
+                lines = textwrap.fill(text, width, initial_indent=leader, subsequent_indent=leader)
+                assert licenses.scan(lines)[2:] == ([name], []), (name, leader, width)
+        assert licenses.scan(text)[2:] == ([name], []), name
+    gpl = """    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+    assert licenses.scan(gpl)[2:] == (["GPL-2.0-or-later"], [])
+    assert licenses.scan(gpl.replace("software;", "software:").replace("Foundation;", "Foundation,").replace("version 2", "version 3"))[2:] == (["GPL-3.0-or-later"], [])
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    assert licenses.scan(mpl)[2:] == (["MPL-2.0"], [])
+    assert licenses.scan("Permission is hereby granted, free of charge, to any person obtaining a copy\n\nof this software")[1] == []
+
+
 def test_pseudolikelihood(spark, docs):
     texts = [text_of(r) for r in cases.rows()]
     keys, sizes = pseudolikelihood.windows(texts)
