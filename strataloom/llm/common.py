@@ -30,6 +30,19 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
             start = stop
 
 
+def gathered(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut or joined so that ``column`` holds about ``most`` bytes in each."""
+    waiting, size = [], 0
+    for batch in slices(batches, column, most):
+        waiting.append(batch)
+        size += batch.column(column).nbytes
+        if size >= most:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting, size = [], 0
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

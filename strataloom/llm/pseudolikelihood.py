@@ -1,220 +1,353 @@
 """Language-model scoring by masked pseudo-likelihood.
 
-Every token (a character class) is predicted from the two tokens before and the two after it
-by a small network: embeddings of the four, a hidden layer, a softmax over all classes. A
-document's score is the sum of the log-probabilities of its tokens.
-
-All documents train it. A first pass counts, over the whole corpus, how often each token
-stands in each window; the counts, which are all that training needs, grow with the input and
-are summed by a shuffle into a written table. Training is data-parallel: in each round every
-partition of that table takes Adam steps in numpy from the common weights over all its windows,
-weighted by their counts, and the results are averaged by weight. Only weights go to
-the driver, and only their partition-wise sums: their size depends neither on the corpus nor
-on its vocabulary. A last pass scores every document.
-
-Defined results: null and empty texts have no tokens, a sum of 0 and no mean (null); a
-repeated row counts in training as often as it stands; without any token the network keeps its
-first weights; characters without a class of their own share one; an empty table gives no rows;
-a null doc_id stays null; other columns are not read.
+Tokens are words (runs of letters, marks and digits), single other marks, and single characters
+of scripts written without blanks. The most frequent words of the whole corpus are tokens of
+their own; every other word is one of ``hashed`` tokens, by its XXH64, so that rare words and other
+scripts stay apart. Every token is predicted from the two before and the two after it by a small
+network: their embeddings, a hidden layer, then a softmax over classes of tokens and one over
+the tokens of the class. The product sums to 1 over all tokens, so scores are exact conditional
+log-probabilities, and a document's score is their sum.
+
+All documents train it. Words are counted over the whole corpus, within batches first; the
+counts choose the vocabulary and start the output biases. Then each document's tokens are cut
+into chunks, dealt by a hash to slices of about ``slice_tokens`` and to rounds; a slice's part of a
+round is one row of a written table. The number of slices follows the number of tokens, so
+training never depends on partitions, executors or their number. In each round every slice takes
+Adam steps in numpy from the common weights, and the results are averaged by tokens: as integers,
+whose sums are the same in any order. The driver gets one row for each block of weights, whose
+size depends neither on the corpus nor on its vocabulary. A last pass scores every document.
+
+Defined results: null, empty and blank texts have no tokens, a sum of 0 and no mean (null); very
+long texts are read whole, in as many chunks as they take; a row that repeats with doc_id and
+text trains as often as it stands, with one chunk and a weight; of words of equal counts the
+first in byte order are tokens; without any token the network keeps its first weights; an empty
+table gives no rows; a null doc_id stays null; other columns are not read.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import bounded_batches, map_texts, slices, texts
-from strataloom.session import materialize
-
-#: Classes 1 to 62; 0 is what lies outside a text, 63 any other character. Digits share one class, as do letters of either case.
-ALPHABET = " \n0" + "abcdefghijklmnopqrstuvwxyz" + "éèêëàâäáçñóôöúùûüßíîïœ" + ".,;:!?'\"-()"
-CLASSES = 64
-_BITS = 6
-_WINDOW = 2
-
-
-@functools.lru_cache(maxsize=1)
-def _class_of() -> np.ndarray:
-    found = np.full(0x110000, CLASSES - 1, np.uint8)
-    for k, c in enumerate(ALPHABET, 1):
-        found[ord(c)] = found[ord(c.upper()[0])] = k
-    found[ord("0") : ord("9") + 1] = 1 + ALPHABET.index("0")
-    found[[9, 11, 12, 13]] = 1
-    return found
-
-
-def tokens(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all texts, each after and before two tokens of class 0, and the texts' lengths."""
-    border = "\0" * _WINDOW
-    codes = np.frombuffer((border + border.join(batch) + border).encode("utf-32-le", "surrogatepass"), "<u4")
-    found = _class_of()[codes]
-    sizes = np.array([len(t) for t in batch], np.int64)
-    begins = np.concatenate(([0], np.cumsum(sizes + _WINDOW)))
-    for k in range(_WINDOW):
-        found[begins + k] = 0
-    return found, sizes
-
-
-def windows(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For each token of all texts its window as one number, context first and the token last; the texts' lengths."""
-    found, sizes = tokens(batch)
-    wide = found.astype(np.uint32)
-    n = max(0, len(wide) - 2 * _WINDOW)
-    key = np.zeros(n, np.uint32)
-    for k in (0, 1, 3, 4, 2):
-        key = key << np.uint32(_BITS) | wide[k : k + n]
-    inside = np.ones(n, bool)
-    ends = np.cumsum(sizes + _WINDOW) - _WINDOW  # between two texts stand two border tokens
-    for k in range(_WINDOW):
-        at = ends + k
-        inside[at[at < n]] = False
-    return key[inside], sizes
-
-
-def count_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(window, n)`` over all documents."""
+from strataloom.llm.common import arrow_rows, bounded_batches, gathered, map_texts, texts
+from strataloom.session import materialize, shared_path
+
+WINDOW = 2
+SEED = 42
+#: What stands alone: any character that is no letter, mark, digit or blank, and letters of scripts without blanks between words.
+_ALONE = r"([^\p{L}\p{N}\p{M}\s]|[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+#: Words of more bytes are never tokens of their own.
+_LONGEST = 64
+_CHUNK = 4096
+_SCALE = 1 << 24
+_UNIT = 1024
+
+
+def words(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts one after the other, and their number in each text; null is empty."""
+    try:
+        column.validate(full=True)
+        column = pc.fill_null(column, "")
+    except pa.ArrowInvalid:  # bytes that are no UTF-8
+        column = pa.array(texts(column), pa.string())
+    lists = pc.utf8_split_whitespace(pc.replace_substring_regex(column, _ALONE, r" \1 "))
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    found = lists.values[ends[0] : ends[-1]]
+    some = pc.not_equal(found, "")  # blanks at a text's ends leave empty words
+    before = np.concatenate(([0], np.cumsum(some.to_numpy(zero_copy_only=False))))
+    return found.filter(some).dictionary_encode(), np.diff(before[ends - ends[0]])
+
+
+@dataclass
+class Vocabulary:
+    """Known words, numbered by falling count, then ``hashed`` numbers for all others."""
+
+    known: pa.Array
+    hashed: int
+    counts: np.ndarray
+
+    @property
+    def size(self) -> int:
+        return len(self.counts)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Token numbers of all texts, and how many each text has."""
+        coded, sizes = words(column)
+        at = pc.index_in(coded.dictionary, value_set=self.known)
+        other = [len(self.known) + xxhash.xxh64_intdigest(w, SEED) % self.hashed for w in coded.dictionary.filter(at.is_null()).to_pylist()]
+        at = at.fill_null(-1).to_numpy().astype(np.int64)
+        at[at < 0] = other
+        return at[coded.indices.to_numpy()].astype(np.uint16), sizes
+
+
+def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(word, n)`` over all documents."""
+
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-        def merged(parts):
-            key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(key, kind="stable")
-            key, n = key[order], n[order]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-            return key[first], np.add.reduceat(n, first) if len(first) else n
-
-        for batch in slices(batches, text_col):
-            own = np.sort(windows(texts(batch.column(0)))[0])
-            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
-            keys, counts = merged([(keys, counts), (own[first], np.diff(np.r_[first, len(own)]))])
-            if len(keys) > 1 << 22:
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["window", "n"])
-                keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["window", "n"])
-
-    return bounded_batches(docs).select(text_col).mapInArrow(run, "window bigint, n bigint").groupBy("window").agg(F.sum("n").alias("n"))
+        held, rows = [], 0
+        for batch in gathered(batches, text_col):
+            found = pc.value_counts(words(batch.column(0))[0])
+            word = found.field("values").cast(pa.string())
+            held.append(pa.table({"word": word, "n": found.field("counts")}))
+            rows += len(word)
+            if rows > 1 << 20:
+                held = [summed(held)]
+                rows = held[0].num_rows
+                if rows > 1 << 19:
+                    yield from held[0].to_batches(1 << 14)
+                    held, rows = [], 0
+        if held:
+            yield from summed(held).to_batches(1 << 14)
+
+    return bounded_batches(docs).select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counted: DataFrame, size: int = 2048, hashed: int = 512) -> Vocabulary:
+    """The ``size - hashed`` most frequent words of ``(word, n)``; the driver gets ``size`` rows."""
+    if hashed & (hashed - 1) or size > 0xFFFF:
+        raise ValueError("hashed is a power of two, size below 65,536")
+    bucket = F.pmod(F.xxhash64("word"), F.lit(hashed)).cast("int")
+    held = counted.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect()
+    best = counted.where(F.octet_length("word") <= _LONGEST).orderBy(F.desc("n"), "word").limit(size - hashed).collect()
+    counts = np.zeros(size, np.int64)
+    for k, r in enumerate(best):
+        counts[k] = r.n
+    others = np.zeros(hashed, np.int64)
+    for r in held:
+        others[r.bucket] = r.n
+    for r in best:
+        others[xxhash.xxh64_intdigest(r.word, SEED) % hashed] -= r.n
+    counts[len(best) : len(best) + hashed] = others
+    return Vocabulary(pa.array([r.word for r in best], pa.string()), hashed, counts)
 
 
 class Network:
-    """Weights in one list: embeddings, hidden weights and bias, output weights and bias."""
+    """Embeddings, hidden weights and bias, class weights and bias, weights and biases of the tokens of each class."""
 
     def __init__(self, weights: list[np.ndarray]):
         self.weights = weights
 
     @classmethod
-    def begin(cls, width: int = 12, hidden: int = 32, seed: int = 7) -> Network:
+    def begin(cls, counts: np.ndarray, classes: int = 32, width: int = 8, hidden: int = 24, seed: int = 7) -> Network:
+        """Random weights; the biases give every token its share of ``counts``."""
         draw = np.random.default_rng(seed)
-        shapes = ((CLASSES, width), (2 * _WINDOW * width, hidden), (hidden,), (hidden, CLASSES), (CLASSES,))
-        return cls([(draw.standard_normal(s) / np.sqrt(s[0] if len(s) > 1 else 1) * (len(s) > 1)).astype(np.float32) for s in shapes])
-
-    @staticmethod
-    def _context(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        shifts = np.arange(2 * _WINDOW, 0, -1, dtype=np.uint32) * np.uint32(_BITS)
-        return (window[:, None] >> shifts & np.uint32(CLASSES - 1)).astype(np.int64), (window & np.uint32(CLASSES - 1)).astype(np.int64)
-
-    def _forward(self, window: np.ndarray):
-        embed, w1, b1, w2, b2 = self.weights
-        context, token = self._context(window)
-        x = embed[context].reshape(len(window), -1)
+        each = -(-len(counts) // classes)
+        share = np.zeros(classes * each) + 0.5
+        share[: len(counts)] += counts
+        share = share.reshape(classes, each)
+        total = share.sum(axis=1)
+        shapes = ((classes * each + 1, width), (2 * WINDOW * width, hidden), (hidden, classes), (classes, hidden, each))
+        embed, w1, w2, w3 = ((draw.standard_normal(s) / np.sqrt(s[-2] if k else 4)).astype(np.float32) for k, s in enumerate(shapes))
+        return cls([embed, w1, np.zeros(hidden, np.float32), w2 * 0.1, np.log(total / total.sum()).astype(np.float32), w3 * 0.1, np.log(share / total[:, None]).astype(np.float32)])
+
+    @property
+    def border(self) -> int:
+        """The number that stands before and after a text."""
+        return len(self.weights[0]) - 1
+
+    def _forward(self, context: np.ndarray, token: np.ndarray):
+        """Windows are taken in order of their token's class, which ``order`` gives."""
+        embed, w1, b1, w2, b2, w3, b3 = self.weights
+        classes, _, each = w3.shape
+        order = np.argsort((token // each).astype(np.uint16), kind="stable")
+        context, token = context[order], token[order]
+        kind, place = np.divmod(token, each)
+        ends = np.searchsorted(kind, np.arange(classes + 1))
+        rows = np.arange(len(token))
+        x = embed[context].reshape(len(token), -1)
         h = np.tanh(x @ w1 + b1)
-        z = h @ w2 + b2
-        z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        total = e.sum(axis=1, keepdims=True)
-        return context, token, x, h, z, e, total
-
-    def log_probability(self, window: np.ndarray) -> np.ndarray:
-        """Of each window's token given its context."""
-        out = np.zeros(len(window))
-        for at in range(0, len(window), 1 << 14):
-            _, token, _, _, z, _, total = self._forward(window[at : at + (1 << 14)])
-            out[at : at + len(token)] = z[np.arange(len(token)), token] - np.log(total[:, 0])
+        e = h @ w2 + b2
+        e -= e.max(axis=1, keepdims=True)
+        log = e[rows, kind]
+        np.exp(e, out=e)
+        total = e.sum(axis=1)
+        inner = np.empty((len(token), each), e.dtype)
+        for k in range(classes):
+            a, b = ends[k], ends[k + 1]
+            if a < b:
+                np.matmul(h[a:b], w3[k], out=inner[a:b])
+                inner[a:b] += b3[k]
+        inner -= inner.max(axis=1, keepdims=True)
+        log = log + inner[rows, place]
+        np.exp(inner, out=inner)
+        inner_total = inner.sum(axis=1)
+        log = log - np.log(total) - np.log(inner_total)
+        return order, context, kind, place, ends, x, h, e, total, inner, inner_total, log
+
+    def log_probability(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Of each token given its context."""
+        out = np.zeros(len(token))
+        for at in range(0, len(token), 1 << 12):
+            found = self._forward(context[at : at + (1 << 12)], token[at : at + (1 << 12)])
+            out[at + found[0]] = found[-1]
         return out
 
-    def gradient(self, window: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-        embed, w1, _, w2, _ = self.weights
-        context, token, x, h, _, e, total = self._forward(window)
-        share = (n / n.sum()).astype(np.float32)[:, None]
-        dz = e / total
-        dz[np.arange(len(token)), token] -= 1
-        dz *= share
-        dh = (dz @ w2.T) * (1 - h * h)
+    def gradient(self, context: np.ndarray, token: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        """Of the mean loss, each window weighted by ``n``."""
+        embed, w1, _, w2, _, w3, _ = self.weights
+        order, context, kind, place, ends, x, h, e, total, inner, inner_total, _ = self._forward(context, token)
+        share = (n[order] / n.sum()).astype(embed.dtype)
+        rows = np.arange(len(kind))
+        e *= (share / total)[:, None]
+        e[rows, kind] -= share
+        inner *= (share / inner_total)[:, None]
+        inner[rows, place] -= share
+        dh, d3, db3 = e @ w2.T, np.zeros_like(w3), np.zeros((len(w3), w3.shape[2]), w3.dtype)
+        for k in range(len(w3)):
+            a, b = ends[k], ends[k + 1]
+            if a < b:
+                np.matmul(h[a:b].T, inner[a:b], out=d3[k])
+                dh[a:b] += inner[a:b] @ w3[k].T
+                db3[k] = inner[a:b].sum(axis=0)
+        d2, db2 = h.T @ e, e.sum(axis=0)
+        dh *= 1 - h * h
         dx = (dh @ w1.T).reshape(-1, embed.shape[1])
         flat = context.reshape(-1)
-        de = np.stack([np.bincount(flat, dx[:, k], CLASSES) for k in range(dx.shape[1])], axis=1).astype(np.float32)
-        return [de, x.T @ dh, dh.sum(axis=0), h.T @ dz, dz.sum(axis=0)]
+        de = np.stack([np.bincount(flat, dx[:, k], len(embed)) for k in range(dx.shape[1])], axis=1).astype(embed.dtype)
+        return [de, x.T @ dh, dh.sum(axis=0), d2, db2, d3, db3]
 
-    def fit(self, window: np.ndarray, n: np.ndarray, rate: float, batch: int = 4096) -> None:
+    def fit(self, context: np.ndarray, token: np.ndarray, n: np.ndarray, rate: float, batch: int = 2048) -> None:
         """One pass of Adam over the windows in a fixed shuffled order."""
-        order = np.random.default_rng(11).permutation(len(window))
+        order = np.random.default_rng(11).permutation(len(token))
         mean, square = ([np.zeros_like(w) for w in self.weights] for _ in range(2))
         for step, at in enumerate(range(0, len(order), batch), 1):
             own = order[at : at + batch]
-            for w, g, m, v in zip(self.weights, self.gradient(window[own], n[own]), mean, square, strict=True):
+            for w, g, m, v in zip(self.weights, self.gradient(context[own], token[own], n[own]), mean, square, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+                w -= (rate / (1 - 0.9**step)) * m / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([w.reshape(-1) for w in self.weights]).astype(np.float64)
+        return np.concatenate([w.reshape(-1) for w in self.weights])
 
     def filled(self, flat: np.ndarray) -> Network:
         at, out = 0, []
         for w in self.weights:
-            out.append(flat[at : at + w.size].reshape(w.shape).astype(np.float32))
+            out.append(flat[at : at + w.size].reshape(w.shape).astype(w.dtype))
             at += w.size
         return Network(out)
 
 
-def train(counted: DataFrame, rounds: int = 8, rate: float = 0.02, network: Network | None = None) -> Network:
-    """Fit to ``(window, n)`` by rounds of local steps and averaging."""
-    spark = counted.sparkSession
-    network = network or Network.begin()
+def windows(ids: np.ndarray, sizes: np.ndarray, border: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and tokens of texts that stand one after the other in ``ids``."""
+    n = len(ids)
+    padded = np.full(n + WINDOW * (len(sizes) + 1), border, np.int64)
+    at = np.arange(n) + np.repeat(WINDOW * np.arange(1, len(sizes) + 1), sizes)
+    padded[at] = ids
+    return np.stack([padded[at + k] for k in range(-WINDOW, WINDOW + 1) if k], axis=1), padded[at]
+
+
+def chunks(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(key, ids, n)``: the tokens of all documents in chunks, with ``WINDOW`` more on either side, and how often each stands."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, "text"):
+            ids, sizes = sent.value.encode(batch.column(1))
+            border = np.full(WINDOW, 0xFFFF, np.uint16)
+            keys, parts, at = [], [], 0
+            for key, size in zip(batch.column(0).to_pylist(), sizes.tolist(), strict=True):
+                own = np.concatenate((border, ids[at : at + size], border))
+                at += size
+                for k, start in enumerate(range(0, size, _CHUNK)):
+                    keys.append(key ^ k * 0x9E3779B97F4A7 if k else key)
+                    parts.append(own[start : min(start + _CHUNK, size) + 2 * WINDOW].astype("<u2").tobytes())
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.binary())], ["key", "ids"])
+
+    rows = bounded_batches(docs).select(F.xxhash64(F.col(id_col).cast("string"), text_col).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "key bigint, ids binary").groupBy("key", "ids").agg(F.count("*").alias("n"))
+
+
+def dealt(parts: DataFrame, slices: int, rounds: int) -> DataFrame:
+    """``(round, slice, held)``: one row for each slice's part of a round, its chunks in a fixed order."""
+    cut = parts.withColumn("slice", F.pmod(F.xxhash64("key", F.lit("slice")), F.lit(slices))).withColumn("round", F.pmod(F.xxhash64("key", F.lit("round")), F.lit(rounds)).cast("int"))
+    return cut.groupBy("round", "slice").agg(F.sort_array(F.collect_list(F.struct("key", "ids", "n"))).alias("held"))
+
+
+def _windows_of(parts: list[np.ndarray], n: list[int], border: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of chunks, each of which brings its own context, and their weights."""
+    sizes = np.array([len(p) - 2 * WINDOW for p in parts])
+    whole = np.concatenate(parts).astype(np.int64)
+    whole[whole == 0xFFFF] = border
+    at = np.arange(sizes.sum()) + np.repeat(WINDOW * (2 * np.arange(len(parts)) + 1), sizes)
+    return np.stack([whole[at + k] for k in range(-WINDOW, WINDOW + 1) if k], axis=1), whole[at], np.repeat(np.array(n, np.float64), sizes)
+
+
+def train(groups: DataFrame, network: Network, rounds: int, rate: float = 0.02, blocks: int = 16) -> Network:
+    """Fit to the rows of ``dealt`` by rounds of local steps in every slice and averaging."""
+    spark = groups.sparkSession
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(network)
         step = rate / (1 + k / 2)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, step=step) -> Iterator[pa.RecordBatch]:
-            parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-            if not parts:
-                return
-            window, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(window)
-            window, n = window[order].astype(np.uint32), n[order]
-            own = sent.value.filled(sent.value.flat())
-            own.fit(window, n, step)
-            yield pa.RecordBatch.from_arrays([pa.array([own.flat() * n.sum()], pa.list_(pa.float64())), pa.array([int(n.sum())], pa.int64())], ["weights", "n"])
-
-        size = len(network.flat())
-        trained = counted.mapInArrow(run, "weights array<double>, n bigint")
-        # summed place by place on the executors; the driver gets one row for each weight
-        sums = trained.select(F.posexplode("weights").alias("place", "w"), "n").groupBy("place").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect()
-        if not sums:
-            break
-        flat = np.zeros(size)
-        for r in sums:
-            flat[r.place] = r.w / r.n
-        network = network.filled(flat)
+            start, total, units = sent.value, None, 0
+            for batch in batches:
+                for held in batch.column(0):
+                    rows = held.values
+                    parts = [np.frombuffer(x, "<u2") for x in rows.field("ids").to_pylist()]
+                    context, token, n = _windows_of(parts, rows.field("n").to_pylist(), start.border)
+                    own = start.filled(start.flat())
+                    own.fit(context, token, n, step)
+                    weight = -(-int(n.sum()) // _UNIT)
+                    flat = np.rint(own.flat().astype(np.float64) * _SCALE).astype(np.int64) * weight
+                    total, units = flat if total is None else total + flat, units + weight
+            if total is not None:
+                cut = np.array_split(total, blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([c.astype("<i8").tobytes() for c in cut], pa.binary()), pa.array([units] * blocks, pa.int64())], ["block", "sums", "units"])
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            totals: dict[int, list] = {}
+            for batch in batches:
+                for block, sums, units in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own = totals.setdefault(block, [0, 0])
+                    own[0], own[1] = own[0] + np.frombuffer(sums, "<i8"), own[1] + units
+            if totals:
+                yield pa.RecordBatch.from_arrays([pa.array([*totals], pa.int32()), pa.array([s.astype("<i8").tobytes() for s, _ in totals.values()], pa.binary()), pa.array([u for _, u in totals.values()], pa.int64())], ["block", "sums", "units"])
+
+        schema = "block int, sums binary, units bigint"
+        with arrow_rows(spark, 16):
+            trained = groups.where(F.col("round") == k).select("held").mapInArrow(run, schema)
+            rows = sorted(trained.repartition(blocks, "block").mapInArrow(summed, schema).collect())  # one row for each block
+        if rows:
+            network = network.filled(np.concatenate([np.frombuffer(r.sums, "<i8") / (r.units * _SCALE) for r in rows]))
     return network
 
 
-def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fit(docs: DataFrame, rounds: int = 8, slice_tokens: int = 1 << 21, size: int = 2048, hashed: int = 512, rate: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> tuple[Vocabulary, Network]:
+    """Vocabulary and network of all of ``docs``."""
+    counted = materialize(count_words(docs, text_col), "pll-words")
+    known = vocabulary(counted, size, hashed)
+    slices = max(1, round(int(known.counts.sum()) / slice_tokens))
+    groups = dealt(chunks(docs, known, id_col, text_col), slices, rounds)
+    path = shared_path(docs.sparkSession, "pll-chunks")
+    groups.write.partitionBy("round").parquet(path)  # a round reads its own folder
+    groups = docs.sparkSession.read.schema(groups.schema).parquet(path)
+    return known, train(groups, Network.begin(known.counts), rounds, rate)
+
+
+def score(docs: DataFrame, known: Vocabulary, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, pll, pll_mean)``: the summed log-probability of each document and its mean by token."""
-    sent = docs.sparkSession.sparkContext.broadcast(network)
+    sent = docs.sparkSession.sparkContext.broadcast((known, network))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> dict:
-        window, sizes = windows(texts(batch.column(1)))
-        distinct, place = np.unique(window, return_inverse=True)
-        logs = sent.value.log_probability(distinct)[place]
-        sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, len(sizes)).round(4)
+        known, network = sent.value
+        ids, sizes = known.encode(batch.column(1))
+        logs = network.log_probability(*windows(ids, sizes, network.border))
+        ends = np.concatenate(([0], np.cumsum(logs)))[np.cumsum(sizes)]
+        sums = np.diff(ends, prepend=0.0).round(4)
         means = np.round(sums / np.maximum(sizes, 1), 6)
         return {"doc_id": batch.column(0), "n_tokens": pa.array(sizes), "pll": pa.array(sums), "pll_mean": pa.array(means, mask=sizes == 0)}
 
@@ -223,5 +356,5 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
 
 def fit_and_score(docs: DataFrame, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Count, train and score over all of ``docs``."""
-    counted = materialize(count_windows(docs, text_col), "pll-windows")
-    return score(docs, train(counted, rounds), id_col, text_col)
+    known, network = fit(docs, rounds, id_col=id_col, text_col=text_col)
+    return score(docs, known, network, id_col, text_col)

@@ -4,10 +4,14 @@ import random
 import re
 import textwrap
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from strataloom.llm import automaton, bpe, decontaminate, langid, licenses, minhash, pseudolikelihood, secrets, simhash, simhash_similar, tokenpack, urlfilter
@@ -253,6 +257,26 @@ def test_token_files_equal_library(spark, docs):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == expected
 
 
+def test_pieces_equal_library_on_odd_blanks():
+    own = tokenpack._Tokenizer(JSON, remembered=300)
+    draw = random.Random(1)
+    parts = ["a", "b", "Zé", "日本", " ", "  ", "\n", "\n\n", "\t", "\r", "'s", "'ll", "12", ".", "!?", "\u00a0", "\x1c", "<|endoftext|>", "x", "  \n", "\u2003", "hello", "world"]
+    for _ in range(60):
+        texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 12))) for _ in range(draw.randint(0, 60))]
+        for text, ids in zip(texts, own.encode(pa.array(texts, pa.string())), strict=True):
+            assert ids.tolist() == own.whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_rows_of_one_id_keep_one_order_over_files(spark):
+    texts = [cases.prose(k, 5) for k in range(400)]
+    docs = spark.createDataFrame([(7, t) for t in texts], "doc_id bigint, text string")
+    order = [r.text for r in docs.orderBy(F.xxhash64("text"), "text").collect()]
+    own = tokenpack._Tokenizer(JSON)
+    expected = [zlib.crc32(np.append(ids, 2).astype("<u4")) for ids in own.encode(pa.array(order))]
+    got = sorted(tokenpack.pack_and_read(docs, JSON, 2, files=4).collect(), key=lambda r: r.start)
+    assert [r.ids_crc32 for r in got] == expected
+
+
 def test_minhash(spark, docs):
     got = minhash.edited(docs).collect()
     rows = sorted(cases.rows(), key=lambda r: (r[0] is not None, r[0] or 0, text_of(r)))
@@ -321,37 +345,107 @@ def test_licences_hard_wrapped():
     assert licenses.scan("Permission is hereby granted, free of charge, to any person obtaining a copy\n\nof this software")[1] == []
 
 
-def test_pseudolikelihood(spark, docs):
-    texts = [text_of(r) for r in cases.rows()]
-    keys, sizes = pseudolikelihood.windows(texts)
-    assert sizes.tolist() == [len(t) for t in texts] and len(keys) == sum(sizes)
-    counted = pseudolikelihood.count_windows(docs)
-    assert {r.window: r.n for r in counted.collect()} == dict(zip(*(x.tolist() for x in np.unique(keys, return_counts=True)), strict=True))
-    network = pseudolikelihood.train(counted, rounds=3)
-    first = pseudolikelihood.Network.begin().log_probability(keys).mean()
-    assert network.log_probability(keys).mean() > first + 0.3
-    probe = keys[:5] & ~np.uint32(63)
-    total = sum(np.exp(network.log_probability(probe | np.uint32(k))) for k in range(64))
-    assert np.allclose(total, 1, atol=1e-4)
-    for r in pseudolikelihood.score(docs, network).collect():
+def lm_words(text):
+    alone = regex.compile(r"[^\p{L}\p{N}\p{M}\s]|[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+    return alone.sub(lambda m: f" {m[0]} ", text).split()
+
+
+def test_words_are_counted_and_numbered(spark, docs):
+    texts = [text_of(r) for r in cases.rows()] + ["Un été, deux_mots! 日本語。\u00a0x", "don't 3.14"]
+    coded, sizes = pseudolikelihood.words(pa.array(texts))
+    plain = [lm_words(t) for t in texts]
+    assert coded.to_pylist() == [w for ws in plain for w in ws] and sizes.tolist() == [*map(len, plain)]
+    counted = pseudolikelihood.count_words(docs)
+    counts = Counter(w for r in cases.rows() for w in lm_words(text_of(r)))
+    assert {r.word: r.n for r in counted.collect()} == counts
+    known = pseudolikelihood.vocabulary(counted, 64, 16)
+    best = sorted((w for w in counts if len(w.encode()) <= 64), key=lambda w: (-counts[w], w.encode()))[:48]
+    place = {w: k for k, w in enumerate(best)}
+    number = lambda w: place.get(w, 48 + xxhash.xxh64_intdigest(w, 42) % 16)
+    assert known.known.to_pylist() == best
+    assert known.counts.tolist() == [sum(n for w, n in counts.items() if number(w) == k) for k in range(64)]
+    assert known.encode(pa.array(texts))[0].tolist() == [number(w) for ws in plain for w in ws]
+
+
+def test_pseudolikelihood_scores(spark, docs):
+    known, network = pseudolikelihood.fit(docs, rounds=3, size=64, hashed=16)
+    context = np.array([[3, 64 * 0 + 5, 7, network.border]] * 64)
+    assert np.allclose(np.exp(network.log_probability(context, np.arange(64))).sum(), 1, atol=1e-5)
+    got = pseudolikelihood.score(docs, known, network).collect()
+    assert len(got) == len(cases.rows())
+    for r in got:
         assert (r.pll_mean is None) == (r.n_tokens == 0) and r.pll <= 0
-    direct = {r[0]: network.log_probability(pseudolikelihood.windows([text_of(r)])[0]).sum() for r in cases.rows() if r[0] in (0, 7, 18)}
-    got = {r.doc_id: r.pll for r in pseudolikelihood.score(docs, network).collect()}
-    assert all(abs(got[k] - v) < 0.01 for k, v in direct.items())
+    rows, by_id = {r[0]: text_of(r) for r in cases.rows()}, {r.doc_id: r for r in got}
+    for doc_id in (0, 7, 17, 18):  # one token at a time, by the definition of the network
+        ids = known.encode(pa.array([rows[doc_id]]))[0].tolist()
+        around = [network.border] * 2 + ids + [network.border] * 2
+        embed, w1, b1, w2, b2, w3, b3 = (w.astype(float) for w in network.weights)
+        total = 0.0
+        for k, token in enumerate(ids[:3000]):
+            h = np.tanh(np.concatenate([embed[around[k + j]] for j in (0, 1, 3, 4)]) @ w1 + b1)
+            kind, place = divmod(token, w3.shape[2])
+            outer, inner = h @ w2 + b2, h @ w3[kind] + b3[kind]
+            total += outer[kind] - np.log(np.exp(outer).sum()) + inner[place] - np.log(np.exp(inner).sum())
+        if len(ids) <= 3000:
+            assert by_id[doc_id].n_tokens == len(ids) and abs(by_id[doc_id].pll - total) < 0.01
     assert pseudolikelihood.fit_and_score(cases.empty(spark)).count() == 0
 
 
+def test_training_is_the_same_on_any_partitions_and_in_one_process(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    args = {"rounds": 3, "slice_tokens": 20_000, "size": 256, "hashed": 64}
+    found = [pseudolikelihood.fit(docs.repartition(k), **args) for k in (1, 4, 32)]
+    for _, network in found[1:]:
+        assert all((a == b).all() for a, b in zip(network.weights, found[0][1].weights, strict=True))
+    # the same schedule without Spark's grouping, partitions and sums
+    known, network = found[0]
+    slices = round(int(known.counts.sum()) / args["slice_tokens"])
+    assert slices > 3
+    parts = pseudolikelihood.chunks(docs, known).withColumn("s", F.pmod(F.xxhash64("key", F.lit("slice")), F.lit(slices))).withColumn("r", F.pmod(F.xxhash64("key", F.lit("round")), F.lit(3)))
+    groups = {}
+    for p in sorted(parts.collect(), key=lambda p: (p.key, bytes(p.ids))):
+        groups.setdefault((p.r, p.s), []).append((np.frombuffer(p.ids, "<u2"), p.n))
+    plain = pseudolikelihood.Network.begin(known.counts)
+    for r in range(3):
+        total, units = 0, 0
+        for s in range(slices):
+            if (r, s) in groups:
+                context, token, n = pseudolikelihood._windows_of([i for i, _ in groups[r, s]], [n for _, n in groups[r, s]], plain.border)
+                own = plain.filled(plain.flat())
+                own.fit(context, token, n, 0.02 / (1 + r / 2))
+                weight = -(-len(token) // 1024)
+                total, units = total + np.rint(own.flat().astype(float) * 2**24).astype(int) * weight, units + weight
+        plain = plain.filled(total / (units * 2**24))
+    ids, sizes = known.encode(pa.array([r.text for r in docs.collect()]))
+    both = [n.log_probability(*pseudolikelihood.windows(ids, sizes, n.border)) for n in (plain, network)]  # another process may sum floats in another order
+    assert abs(both[0] - both[1]).mean() < 1e-3 and abs(both[0].mean() - both[1].mean()) < 1e-4
+
+
+def test_network_learns_from_both_sides(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
+    known, network = pseudolikelihood.fit(docs.where("doc_id % 5 <> 0"))
+    held = [r.text for r in docs.where("doc_id % 5 = 0").select("text").collect()]
+    ids, sizes = known.encode(pa.array(held))
+    context, token = pseudolikelihood.windows(ids, sizes, network.border)
+    alone = pseudolikelihood.Network.begin(known.counts).log_probability(context, token).mean()
+    trained = network.log_probability(context, token).mean()
+    blind = network.log_probability(np.full_like(context, network.border), token).mean()
+    mixed = np.random.default_rng(1).permutation(token)
+    assert trained > alone + 0.3 and trained > blind and trained > network.log_probability(context, mixed).mean() + 0.5, (alone, trained, blind)
+
+
 def test_gradient_is_right():
-    network = pseudolikelihood.Network.begin(4, 5)
+    network = pseudolikelihood.Network.begin(np.array([5, 3, 2, 1, 1, 1]), classes=3, width=4, hidden=5)
     network = pseudolikelihood.Network([w.astype(np.float64) for w in network.weights])
-    keys, n = np.unique(pseudolikelihood.windows(["abc abd, xyz"])[0], return_counts=True)
-    loss = lambda: -(network.log_probability(keys) * n).sum() / n.sum()
-    for w, g in zip(network.weights, network.gradient(keys, n), strict=True):
-        at = np.unravel_index(np.abs(g).argmax(), g.shape)
-        before = w[at]
-        w[at] = before + 1e-5
-        up = loss()
-        w[at] = before - 1e-5
-        down = loss()
-        w[at] = before
-        assert abs((up - down) / 2e-5 - g[at]) < 1e-3
+    context, token = pseudolikelihood.windows(np.array([0, 3, 2, 5, 1, 0, 0, 4]), np.array([5, 3]), network.border)
+    n = np.arange(1.0, 9.0)
+    loss = lambda: -(network.log_probability(context, token) * n).sum() / n.sum()
+    for w, g in zip(network.weights, network.gradient(context, token, n), strict=True):
+        for at in (np.unravel_index(np.abs(g).argmax(), g.shape), np.unravel_index(np.abs(g).argmin(), g.shape)):
+            before = w[at]
+            w[at] = before + 1e-5
+            up = loss()
+            w[at] = before - 1e-5
+            down = loss()
+            w[at] = before
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-6
