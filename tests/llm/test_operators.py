@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import random
 import re
 import textwrap
@@ -35,36 +36,77 @@ def test_decontaminate_exact_substituted_and_clean(spark, docs):
     words = item.split()
     changed = [w if k % 8 else "zzz" for k, w in enumerate(words)]
     rows = [(1, "x y " + item + " z"), (2, " ".join(["q"] * 50 + changed)), (3, cases.prose(501, 300)), (4, None), (5, " ".join(words[:8])), (1, "x y " + item + " z"), (6, " ".join(words[5:20]))]
-    bench = spark.createDataFrame([(7, item), (8, None), (9, ""), (10, "one two three four five six"), (11, item)], "item_id bigint, text string")
-    both = spark.createDataFrame([*rows, (12, "see one two three four five six now")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(11, item), (7, item), (8, None), (9, ""), (10, "one two three four five six"), (13, "see"), (14, "two words")], "item_id bigint, text string")
+    both = spark.createDataFrame([*rows, (12, "see one two three four five six now"), (15, "Two  words."), (16, "two words more")], "doc_id bigint, text string")
     found = decontaminate.overlaps(both, bench).collect()
-    assert sorted((r.doc_id, r.item_id) for r in found) == sorted([(1, 7), (1, 7), (1, 11), (1, 11), (2, 7), (2, 11), (6, 7), (6, 11), (12, 10)])
+    assert sorted((r.doc_id, r.item_id, r.n_items) for r in found) == [(1, 7, 2), (1, 7, 2), (2, 7, 2), (6, 7, 2), (12, 10, 1), (15, 14, 1)]
     whole = next(r for r in found if r.doc_id == 1)
-    assert (whole.n_matches, whole.doc_start, whole.item_start) == (30, 2, 0)
-    small = decontaminate.overlaps(both, bench, block_bytes=64)  # several blocks give the same
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, found))
-    assert sorted(r.doc_id for r in decontaminate.clean(both, bench).collect()) == [3, 4, 5]
+    assert (whole.n_matches, whole.n_words, whole.doc_start, whole.item_start, whole.item_words) == (30, 30, 2, 0, 30)
+    for at_once in (1, 2, 9):  # several blocks and passes give the same
+        small = decontaminate.overlaps(both, bench, block_bytes=64, at_once=at_once)
+        assert sorted(map(tuple, small.collect())) == sorted(map(tuple, found))
+        assert sorted(r.doc_id for r in decontaminate.clean(both, bench, block_bytes=64, at_once=at_once).collect()) == [3, 4, 5, 16]
     assert decontaminate.overlaps(docs, bench.limit(0)).count() == 0
     assert decontaminate.overlaps(cases.empty(spark), bench).count() == 0
     assert decontaminate.clean(docs, bench).columns == docs.columns
 
 
-def test_decontaminate_against_brute_force():
-    items = [(k, cases.prose(600 + k, 15 + 3 * k)) for k in range(8)]
-    index = decontaminate.Index(items)
-    texts = [cases.prose(700 + k, 60) + " " + " ".join(items[k % 8][1].split()[k % 4 :]) for k in range(16)] + [cases.prose(800 + k, 200) for k in range(16)]
-    expected = set()
+def test_masks_find_a_fifth_of_substitutions_anywhere():
+    for n in range(5, 22):
+        masks = decontaminate.masks_for(n)
+        kept = [{start + k for k, c in enumerate(m) if c == "1"} for m in masks for start in range(n - len(m) + 1)]
+        for changed in itertools.combinations(range(n), n // 5 if n < 17 else 3 if n < 20 else 4):
+            assert any(k.isdisjoint(changed) for k in kept), (n, changed)
+
+
+def brute_overlaps(texts, items):
+    expected = {}
     for d, text in enumerate(texts):
         w = decontaminate.words(text)
         for k, item in items:
             v = decontaminate.words(item)
-            best = 0
+            if len(v) < 5:
+                if v and v == w:
+                    expected[d, k] = len(v)
+                continue
+            most = 0
             for shift in range(-len(v), len(w)):
                 same = [w[shift + j] == v[j] for j in range(len(v)) if 0 <= shift + j < len(w)]
-                best = max([best, *(sum(same[x:y]) for x in range(len(same)) for y in range(x + 1, len(same) + 1) if 5 * sum(same[x:y]) >= 4 * (y - x))])
-            if best >= min(13, -(-4 * len(v) // 5)):
-                expected.add((d, k))
-    assert {(f[0], f[1]) for f in index.find(texts)} == expected
+                spans = [(y - x, -y, sum(same[x:y])) for x in range(len(same)) for y in range(x + 1, len(same) + 1) if 5 * sum(same[x:y]) >= 4 * (y - x)]
+                most = max(most, max(spans, default=(0, 0, 0))[2])
+            if most >= min(13, -(-4 * len(v) // 5)):
+                expected[d, k] = most
+    return expected
+
+
+def test_decontaminate_against_brute_force():
+    draw = random.Random(5)
+    items = [(n, cases.prose(600 + n, n)) for n in range(1, 41)]
+    texts = []
+    for n, item in items:
+        words = item.split()
+        texts += [item, cases.prose(700 + n, 25) + " " + item + " " + cases.prose(800 + n, 9)]
+        for share in (0.1, 0.2, 0.25):
+            own = words[:]
+            for k in draw.sample(range(n), round(share * n)):
+                own[k] = "zzz"
+            start = draw.randrange(n // 3 + 1)
+            texts.append(cases.prose(900 + n, 12) + " " + " ".join(own[start:]))
+    texts += [cases.prose(1000, 100), ""]
+    expected = brute_overlaps(texts, items)
+    index = decontaminate.Index([(k, t, 1) for k, t in items])
+    got = index.find([decontaminate.words(t) for t in texts])
+    assert len(expected) > 100 and {d: n for d, (n, _) in got.items()} == Counter(d for d, _ in expected)
+    for d, (_, (item, matches, *_)) in got.items():
+        assert matches == max(m for (e, _), m in expected.items() if e == d) and expected[d, index.names[item]] == matches
+
+
+def test_a_seed_of_many_items_is_one_row_a_document(spark):
+    opening = cases.prose(1, 20)
+    bench = spark.createDataFrame([(k, f"{opening} {cases.prose(100 + k, 10)}") for k in range(1500)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(k, f"{cases.prose(5000 + k, 9)} {opening}") for k in range(50)], "doc_id bigint, text string")
+    got = decontaminate.overlaps(docs, bench).collect()
+    assert len(got) == 50 and all((r.n_items, r.item_id, r.n_matches) == (1500, 0, 20) for r in got)
 
 
 def test_bpe_equals_library(spark, docs):
