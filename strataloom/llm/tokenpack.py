@@ -12,13 +12,15 @@ that runs again overwrites its own file with the same bytes. Only one row for ea
 to the driver: its name and counts, from which the running starts are summed.
 
 Defined results: null and empty texts hold the end id alone; repeated rows stay, in order of
-doc_id, then text; null doc_ids come first; an empty table gives no rows; other columns of the
-input are not read.
+doc_id, then hash of the text, then text; null doc_ids come first and doc_ids are longs; a very
+long text is encoded whole and may span blocks, never files; an empty table gives no rows; other
+columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import struct
 import zlib
@@ -26,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import bounded_batches, slices, texts
-from strataloom.llm.pretokens import PieceEncoder
+from strataloom.llm.common import bounded_batches, gathered, texts
+from strataloom.llm.pretokens import PieceMemory
 from strataloom.session import shared_path
 
 MAGIC = b"TOKPACK1"
@@ -75,6 +78,8 @@ def unpack(data: bytes, bits: int, count: int) -> np.ndarray:
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     if "://" not in path and path.startswith("file:"):
         path = path[5:]
+    if path.startswith(("s3a://", "s3n://")):  # what Spark calls them; pyarrow knows one name
+        path = "s3" + path[3:]
     return fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{os.path.abspath(path)}")
 
 
@@ -161,9 +166,9 @@ class Reader:
 
 
 class _Tokenizer:
-    """The tokenizers library on one vocabulary file, asked once for each distinct word."""
+    """The tokenizers library on one vocabulary file, asked once for each remembered piece of text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -173,29 +178,36 @@ class _Tokenizer:
         for token, k in self.whole.get_vocab(with_added_tokens=True).items():
             self.length[k] = len(token)  # in the byte alphabet a character is a byte
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.pieces = PieceEncoder(self._words, most=800_000, encode_spaced=self._spaced)
+        self.pieces = PieceMemory(self._pieces, remembered)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        # words of a space and letters follow each other without a change to how they are split
-        if not words:
-            return []
-        joined = " " + " ".join(words)
-        ids = self._ids(joined)
-        sizes = [*map(len, words)] if joined.isascii() else [len(w.encode()) for w in words]
-        at = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(np.array(sizes) + 1)) + 1
-        data, ends = ids.tobytes(), (4 * at).tolist()
-        return [data[x:y] for x, y in zip([0, *ends], ends, strict=False)]
-
-    def encode(self, batch: list[str]) -> list[np.ndarray]:
-        odd = {k for k, t in enumerate(batch) if any(s in t for s in self.special)}  # the library cuts these out first
-        plain = iter(self.pieces.encode([t for k, t in enumerate(batch) if k not in odd]))
-        return [self._ids(t) if k in odd else np.frombuffer(next(plain), "<u4") for k, t in enumerate(batch)]
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # pieces that start with a blank follow each other without a change to how they are split
+        flat, counts = [], []
+        for some in itertools.batched(pieces, 1 << 14):
+            ids = self._ids("".join(some))
+            sizes = np.array([len(p) if p.isascii() else len(p.encode()) for p in some], np.int64)
+            ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(sizes)) + 1
+            flat.append(ids)
+            counts.append(np.diff(ends, prepend=0))
+        return np.concatenate(flat), np.concatenate(counts)
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of ``column``, without special tokens of its own accord; null is empty."""
+        try:
+            column.validate(full=True)
+            column = pc.fill_null(column, "")
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            column = pa.array(texts(column), pa.string())
+        whole = np.zeros(len(column), bool)  # the library cuts special tokens out first
+        for s in self.special:
+            whole |= pc.match_substring(column, s).to_numpy(zero_copy_only=False)
+        flat, ends, unsafe = self.pieces.encode(pc.if_else(pa.array(whole), "", column))
+        begins = np.concatenate(([0], ends))[:-1]
+        whole |= unsafe
+        return [self._ids(column[k].as_py()) if w else flat[a:b] for k, (a, b, w) in enumerate(zip(begins.tolist(), ends.tolist(), whole.tolist(), strict=True))]
 
 
 @functools.lru_cache(maxsize=4)
@@ -208,7 +220,8 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None, fi
     """Write all documents to files in ``folder`` by ascending id; ``(file, documents, ids)`` of each in order."""
     spark = docs.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.select(id_col, text_col).repartitionByRange(files, F.col(id_col).asc_nulls_first(), F.xxhash64(text_col)).sortWithinPartitions(F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first())
+    order = (F.col(id_col).asc_nulls_first(), F.xxhash64(text_col).asc())  # the same within files as between them
+    ranged = docs.select(id_col, text_col).repartitionByRange(files, *order).sortWithinPartitions(*order, F.col(text_col).asc_nulls_first())
     ranged = ranged.withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,9 +229,9 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None, fi
         tail = np.array([] if end_id is None else [end_id], np.uint32)
         writer = Writer(min_bits(max(own.size, (end_id or 0) + 1)), block)
         part = None
-        for batch in slices(batches, text_col):
+        for batch in gathered(batches, text_col):
             part = batch.column(2)[0].as_py()
-            for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode(texts(batch.column(1))), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1)), strict=True):
                 writer.add(doc_id, np.concatenate((ids, tail)))
         if part is not None:
             name = f"{folder}/part-{part:06d}.tok"
