@@ -77,13 +77,17 @@ def sample_fits(values: DataFrame, value: str) -> DataFrame:
 
 
 def chi_square(cells: DataFrame, x: str, y: str, n: str) -> DataFrame:
-    """Independence of two binned variables: statistic, rows, columns, degrees of freedom (absent rows and columns do not count)."""
+    """Independence of two binned variables: statistic, rows, columns, degrees of freedom (absent rows and columns do not count).
+
+    Of the cells' number less one, rows + columns - 1 more degrees are taken, as the analyses that use it do; the
+    textbook's (rows - 1) * (columns - 1) is one more.
+    """
     whole = Window.partitionBy(F.lit(1))
     e = cells.withColumn("row", F.sum(n).over(Window.partitionBy(x))).withColumn("col", F.sum(n).over(Window.partitionBy(y)))
     marg = cells.groupBy(x).agg(F.sum(n).alias("row")).crossJoin(cells.groupBy(y).agg(F.sum(n).alias("col")))  # one row for each cell of the table
     full = marg.join(e.select(x, y, F.col(n).alias("n")), [x, y], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("expect", F.col("row") * F.col("col") / F.sum("n").over(whole))
     rows, cols = F.countDistinct(x), F.countDistinct(y)
-    return full.agg(F.sum((F.col("n") - F.col("expect")) * (F.col("n") - F.col("expect")) / F.col("expect")).alias("chi2"), rows.alias("n_rows"), cols.alias("n_cols"), ((rows - 1) * (cols - 1)).alias("dof"))
+    return full.agg(F.sum((F.col("n") - F.col("expect")) * (F.col("n") - F.col("expect")) / F.col("expect")).alias("chi2"), rows.alias("n_rows"), cols.alias("n_cols"), (rows * cols - rows - cols).alias("dof"))
 
 
 def upper_gamma(a: float, x: float) -> float:

@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_PAIRS = frozenset(("==", "!=", "<=", ">=", "+=", "-=", "*=", "/=", "%=", "<<", ">>", "**", "//", "&&", "||", "->", "::", "++", "--"))
+from strataloom.functions.text import PAIR_OPERATORS
+
+_PAIRS = frozenset(PAIR_OPERATORS)
 _MARKS = "+-*/%=<>!&|^~()[]{}.,:;@?"
 
 

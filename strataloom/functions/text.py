@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 TOKEN = r"\\.|\\|[A-Za-z0-9_]+[^\x00-\x7F]*|[!-/:-@\[\]^`{-~][^\x00-\x7F]*|[^\x00-\x7F]+"
 #: Fixed value: suffixes of source files; only .c carries its dot.
 SOURCE_FILE = r"([.]c|php|rb|py|java|cpp|scala|js|h|cc|pl|hpp)$"
-#: Character classes of the tokenizers.
+#: The characters of each class of the tokenizers; letters and digits besides.
 CHAR_CLASSES = {
-    "operator": r"^[-+*/%=<>!&|^~]$",
-    "parenthesis": r"^[()\[\]{}]$",
-    "punctuation": r"^[,.:;]$",
-    "string_mark": r"^[\"'`]$",
-    "entity": r"^[A-Za-z_]$",
-    "digit": r"^[0-9]$",
-    "blank": r"^\s$",
+    "operator": "+-*/%~&|^=<>?:!",
+    "parenthesis": "(){}[]",
+    "punctuation": ",; .",
+    "string_mark": "'\"",
+    "meaningless": "@$`#",
 }
+#: Operators of two characters.
+PAIR_OPERATORS = ("==", "!=", "<=", "&&", "~=", "||", "::", "<<", ">>", ">=", "++", "--", "-=", "+=", "*=", "/=", "%=", "^=", "&=", "|=", "//", "/*", "*/")
 
 
 def tokens(text: Column) -> Column:
@@ -37,10 +37,10 @@ def is_number(token: Column) -> Column:
 
 def char_class(c: Column) -> Column:
     """The class of a single character, ``other`` if it has none."""
-    out = F.lit("other")
-    for name, rx in reversed(CHAR_CLASSES.items()):
-        out = F.when(c.rlike(rx), name).otherwise(out)
-    return out
+    out = F.when(c.rlike("^[A-Za-z_]$"), "entity").when(c.rlike("^[0-9]$"), "digit")
+    for name, members in CHAR_CLASSES.items():
+        out = out.when(c.isin(*members), name)
+    return out.otherwise("other")
 
 
 def ngrams(array: Column, n: int, glue: str = ":") -> Column:
@@ -119,8 +119,8 @@ def url_site(url: Column) -> Column:
 
 
 def normal_url(url: Column) -> Column:
-    """A url without scheme, www, query, fragment and trailing slash, lower-cased."""
-    return F.regexp_replace(F.regexp_replace(F.lower(url), r"^[a-z]+://(www\.)?", ""), r"[?#].*$|/+$", "")
+    """A url without scheme, www, query, fragment and the slashes before them, lower-cased."""
+    return F.regexp_replace(F.regexp_replace(F.lower(url), r"^[a-z]+://(www\.)?", ""), r"/*([?#].*)?$", "")
 
 
 def html_text(html: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.session import materialize
+from strataloom.session import materialize, shared_path
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -43,11 +43,32 @@ def strengths(weighted: DataFrame, left: str, right: str, weight: str) -> DataFr
     return ends.groupBy("e.side", "e.node").agg(F.count("*").alias("deg"), F.sum("w").alias("strength"))
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str, block: int = 2000) -> DataFrame:
+    """Inner join on ``key`` whose hubs are cut: a key with many rows on a side is dealt to blocks of about ``block`` of them.
+
+    Every block of one side meets every block of the other, so no task gets more than about ``block`` squared
+    pairs of one key, whatever its size. Keys of one block on either side, nearly all, join as they are.
+    """
+    own = [c for c in left.columns if c != key]
+    other = [c for c in right.columns if c != key]
+    size = lambda rows, name: rows.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias(name)).where(F.col(name) > 1)
+    cuts = size(left, "__m").join(size(right, "__n"), key, "full_outer").select(key, F.coalesce("__m", F.lit(1)).alias("__m"), F.coalesce("__n", F.lit(1)).alias("__n"))
+
+    def dealt(rows: DataFrame, columns: list[str], mine: str, theirs: str, i: str, j: str) -> DataFrame:
+        cut = rows.join(cuts, key, "left").select(key, *columns, F.coalesce(mine, F.lit(1)).alias(mine), F.coalesce(theirs, F.lit(1)).alias(theirs))
+        salt = F.pmod(F.xxhash64(*columns), F.col(mine)).cast("int").alias(i)
+        return cut.select(key, *columns, salt, F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)).alias(j))
+
+    a = dealt(left, own, "__m", "__n", "__i", "__j")
+    b = dealt(right, other, "__n", "__m", "__j", "__i")
+    return a.join(b, [key, "__i", "__j"]).drop("__i", "__j")
+
+
 def projection(pairs: DataFrame, item: str, person: str) -> DataFrame:
-    """``(a, b, w)`` with a < b: the number of items two persons share. The join's output is the wedges of the items."""
+    """``(a, b, w)`` with a < b: the number of items two persons share. The join's output is the wedges of the items, those of hubs in blocks."""
     p = pairs.select(item, person).distinct()
     left, right = p.withColumnRenamed(person, "a"), p.withColumnRenamed(person, "b")
-    return left.join(right, item).where("a < b").groupBy("a", "b").agg(F.count("*").alias("w"))
+    return split_join(left, right, item).where("a < b").groupBy("a", "b").agg(F.count("*").alias("w"))
 
 
 def kl_divergence(weighted: DataFrame, left: str, right: str, weight: str) -> DataFrame:
@@ -74,13 +95,18 @@ def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
     return edges.join(keep.withColumnRenamed("node", "src"), "src", "left_semi").join(keep.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
-def renumbered(edges: DataFrame) -> DataFrame:
-    """Edges with dense ids from 0, in order of the old ones: ranges of ids are counted first, then numbered within."""
+def dense_ids(edges: DataFrame) -> DataFrame:
+    """``(node, id)``: dense ids from 0 in order of the nodes; ranges are counted first, then numbered within."""
     n = nodes(edges).repartitionByRange("node").withColumn("part", F.spark_partition_id())
     n = materialize(n, "renumber")
     sizes = n.groupBy("part").agg(F.count("*").alias("size"))
     starts = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("start"))  # a row for each partition
-    ids = n.join(F.broadcast(starts), "part").select("node", (F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy("node")) - 1).alias("id"))
+    return n.join(F.broadcast(starts), "part").select("node", (F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy("node")) - 1).alias("id"))
+
+
+def renumbered(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Edges with dense ids from 0, in order of the old ones."""
+    ids = dense_ids(edges) if ids is None else ids
     return edges.join(ids.select(F.col("node").alias("src"), F.col("id").alias("s")), "src").join(ids.select(F.col("node").alias("dst"), F.col("id").alias("d")), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
 
 
@@ -109,10 +135,28 @@ def triads(edges: DataFrame) -> DataFrame:
 def common_neighbours(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(a, b, common)`` of asked pairs."""
     s = both_ways(edges)
-    left = pairs.join(s.select(F.col("src").alias("a"), F.col("dst").alias("n")), "a")
+    left = split_join(pairs.select("a", "b"), s.select(F.col("src").alias("a"), F.col("dst").alias("n")), "a")
     return left.join(s.select(F.col("src").alias("b"), F.col("dst").alias("n")), ["b", "n"]).groupBy("a", "b").agg(F.count("*").alias("common"))
 
 
+def two_step_paths(arcs: DataFrame) -> DataFrame:
+    """``(a, b, paths)``: the number of directed paths of two steps between different ends."""
+    first = arcs.select(F.col("src").alias("a"), F.col("dst").alias("m"))
+    second = arcs.select(F.col("src").alias("m"), F.col("dst").alias("b"))
+    return split_join(first, second, "m").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("paths"))
+
+
+def group_triads(edges: DataFrame, group: DataFrame) -> DataFrame:
+    """``(node, in_in, in_out, out_out)``: each node's closed triads by how many of its two other ends lie in ``group(node)``."""
+    t = triangles(edges)
+    corners = F.array(*(F.struct(F.col(n).alias("node"), F.array(F.col(p), F.col(q)).alias("others")) for n, p, q in (("x", "y", "z"), ("y", "x", "z"), ("z", "x", "y"))))
+    each = t.select(F.explode(corners).alias("c")).select("c.node", F.col("c.others")[0].alias("p"), F.col("c.others")[1].alias("q"))
+    mark = group.select("node", F.lit(1).alias("inside")).distinct()
+    each = each.join(mark.select(F.col("node").alias("p"), F.col("inside").alias("i")), "p", "left").join(mark.select(F.col("node").alias("q"), F.col("inside").alias("j")), "q", "left")
+    both = F.coalesce("i", F.lit(0)) + F.coalesce("j", F.lit(0))
+    return each.groupBy("node").agg(F.count_if(both == 2).alias("in_in"), F.count_if(both == 1).alias("in_out"), F.count_if(both == 0).alias("out_out"))
+
+
 def constraint(edges: DataFrame) -> DataFrame:
     """``(node, value)``: structural-hole constraint over neighbours and over two-step contacts.
 
@@ -120,7 +164,7 @@ def constraint(edges: DataFrame) -> DataFrame:
     """
     s = both_ways(edges)
     p = s.join(s.groupBy("src").agg((1 / F.count("*")).alias("p")), "src")
-    two = p.select(F.col("src").alias("i"), F.col("dst").alias("q"), F.col("p").alias("p1")).join(p.select(F.col("src").alias("q"), F.col("dst").alias("j"), F.col("p").alias("p2")), "q").where("i <> j")
+    two = split_join(p.select(F.col("src").alias("i"), F.col("dst").alias("q"), F.col("p").alias("p1")), p.select(F.col("src").alias("q"), F.col("dst").alias("j"), F.col("p").alias("p2")), "q").where("i <> j")
     parts = two.select("i", "j", (F.col("p1") * F.col("p2")).alias("v")).unionAll(p.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("p").alias("v")))
     return parts.groupBy("i", "j").agg(F.sum("v").alias("v")).groupBy(F.col("i").alias("node")).agg(F.sum(F.col("v") * F.col("v")).alias("value"))
 
@@ -173,13 +217,15 @@ def closeness(dist: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """``(node, component)``, component = the least node of each strong component.
 
-    Each round spreads least labels forwards within what is left; a node whose own label came back from
+    First everything without a way in or out is trimmed, which alone settles a graph without cycles. Then
+    each round spreads least labels forwards within what is left; a node whose own label came back from
     its colour's root over reversed edges is done. Nodes without an edge either way are done at once.
     """
     rest = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "scc")
     everyone = nodes(edges)
     done = []
     for _ in range(max_rounds):
+        rest = _trimmed(rest)
         if not rest.limit(1).count():
             break
         inner = nodes(rest)
@@ -197,6 +243,20 @@ def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     return single if out is None else out.unionAll(single)
 
 
+def _trimmed(arcs: DataFrame) -> DataFrame:
+    """What is left of directed edges when those at nodes without an edge in or out are taken away, again and again."""
+    before = arcs.count()
+    while before:
+        both = arcs.select(F.col("src").alias("node")).distinct().join(arcs.select(F.col("dst").alias("node")), "node", "left_semi")
+        left = materialize(induced(arcs, both), "scc")
+        after = left.count()
+        arcs = left
+        if after == before:
+            break
+        before = after
+    return arcs
+
+
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """The least label that reaches each node along directed edges."""
     labels = materialize(labels, "labels")
@@ -223,8 +283,9 @@ def _reach(arcs: DataFrame, start: DataFrame) -> DataFrame:
 
 def core_numbers(edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """``(node, core)``: the largest k of which a node is in the k-core, by peeling."""
-    rest = materialize(edges, "core")
-    out, k = None, 0
+    rest, spark, k = materialize(edges, "core"), edges.sparkSession, 0
+    path, kind = shared_path(spark, "cores"), nodes(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select("node", F.lit(0).alias("core"))
+    kind.limit(0).write.parquet(path)  # one folder of all that is peeled; the plan stays short whatever the rounds
     for _ in range(max_rounds):
         deg = undirected_degrees(rest)
         low = deg.agg(F.min("deg")).first()[0]
@@ -232,14 +293,14 @@ def core_numbers(edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
             break
         k = max(k, low)
         gone = materialize(deg.where(F.col("deg") <= k).select("node", F.lit(k).alias("core")), "core")
-        out = gone if out is None else out.unionAll(gone)
+        gone.write.mode("append").parquet(path)
         dead = gone.select("node")
         left = rest.join(dead.withColumnRenamed("node", "a"), "a", "left_anti").join(dead.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b")
         # ends whose every edge went with a peeled neighbour leave at this k as well
         lost = nodes(rest.select(F.col("a").alias("src"), F.col("b").alias("dst"))).join(nodes(left.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "node", "left_anti").join(dead, "node", "left_anti")
-        out = out.unionAll(materialize(lost.select("node", F.lit(k).alias("core")), "core"))
+        lost.select("node", F.lit(k).alias("core")).write.mode("append").parquet(path)
         rest = materialize(left, "core")
-    return out if out is not None else nodes(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select("node", F.lit(0).alias("core"))
+    return spark.read.schema(kind.schema).parquet(path)
 
 
 def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, eps: float | None = 1e-4) -> DataFrame:
@@ -248,6 +309,8 @@ def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, eps: fl
     out = arcs.groupBy("src").agg(F.count("*").alias("out"))
     arcs = materialize(arcs.join(out, "src"), "pagerank")
     n = (all_nodes := materialize(nodes(edges), "pagerank")).count()
+    if not n:
+        return all_nodes.withColumn("rank", F.lit(0.0))
     ranks = all_nodes.withColumn("rank", F.lit(1.0 / n))
     for _ in range(rounds):
         sent = arcs.join(ranks.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
@@ -279,12 +342,17 @@ def hits(edges: DataFrame, rounds: int = 20) -> DataFrame:
     return v.select("node", "hub", "auth")
 
 
-def eigenvector(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """``(node, value)``: power iteration on an undirected graph, of length 1."""
+def eigenvector(edges: DataFrame, rounds: int = 100, eps: float | None = 1e-4) -> DataFrame:
+    """``(node, value)``: power iteration on an undirected graph, of length 1, until the values move less than ``eps`` in sum."""
     s = materialize(both_ways(edges), "eigen")
-    v = materialize(nodes(s).withColumn("value", F.lit(1.0)), "eigen")
+    v = _unit(materialize(nodes(s).withColumn("value", F.lit(1.0)), "eigen"), "value")
     for _ in range(rounds):
-        v = _unit(materialize(product(s.withColumn("w", F.lit(1.0)), v), "eigen"), "value")
+        new = materialize(product(s.withColumn("w", F.lit(1.0)), v).join(v.withColumnRenamed("value", "old"), "node"), "eigen")
+        v = _unit(new, "value")
+        moved = v.agg(F.sum(F.abs(F.col("value") - F.col("old")))).first()[0] or 0.0
+        v = v.select("node", "value")
+        if eps is not None and moved < eps:
+            break
     return v
 
 

@@ -56,6 +56,11 @@ def active_day_gaps(rows: DataFrame, by: str, ts: str) -> DataFrame:
     return days.withColumn("gap", gap).where("gap is not null")
 
 
+def merged_maps(entries: DataFrame, key: str, name: str, value: str, order: str) -> DataFrame:
+    """``(key, name, value)`` of maps given as entries: the latest entry of a name wins."""
+    return entries.groupBy(key, name).agg(F.max_by(value, order).alias(value))
+
+
 def patch_lines(files: DataFrame, patch: str = "patch", keys: list[str] = ()) -> DataFrame:
     """``(*keys, kind, line_no)`` of the lines that unified diffs add (new numbers) and delete (old numbers).
 

@@ -191,9 +191,20 @@ def column_statistics(spark, sf_dir):
     return li.agg(F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.round(F.stddev_samp("l_extendedprice"), 4).alias("sd"), F.round(F.percentile("l_quantity", 0.5), 4).alias("median"), F.round(F.percentile("l_quantity", 0.9), 4).alias("p90"), F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"), F.round(F.regr_r2("l_extendedprice", "l_quantity"), 6).alias("r2"))
 
 
-@register("gamma_ratio_curve")
+_ALPHAS = [0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.4, 1.5]
+_GAMMA = "a as (select unnest([0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.4, 1.5])::double as alpha), g as (select alpha, n, exp(lgamma(n - alpha + 1) - lgamma(n + 1)) as ratio from a, range(1, 1001) t(n))"
+
+
+@register("gamma_ratio_curve", f"with {_GAMMA} select alpha, n, round(ratio, 9) as ratio from g")
 def gamma_ratio_curve(spark, sf_dir):
-    return fit.gamma_ratio_curve(spark, [0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.4, 1.5], 1000)
+    return fit.gamma_ratio_curve(spark, _ALPHAS, 1000).withColumn("ratio", F.round("ratio", 9))
+
+
+@register("gamma_exponents", f"with {_GAMMA} select alpha, round(regr_slope(log10(ratio), log10(n)), 6) as exponent from g where n <= 100 group by alpha")
+def gamma_exponents(spark, sf_dir):
+    """The slope of each curve over n = 1 .. 100 on logarithmic axes."""
+    f = fit.line(fit.gamma_ratio_curve(spark, _ALPHAS, 100), F.log10("n"), F.log10("ratio"), ["alpha"])
+    return f.select("alpha", F.round("slope", 6).alias("exponent"))
 
 
 FACTORS = "f as (select path, seq, log10(factor) as lf, new_size - old_size as delta from v_size_log where factor > 0)"
@@ -203,10 +214,13 @@ def _factors(spark, sf_dir):
     return Tables(spark, sf_dir).v_size_log.where("factor > 0").select("path", "seq", F.log10("factor").alias("lf"), (F.col("new_size") - F.col("old_size")).alias("delta"))
 
 
-@register("log_factor_hist", oracle(f"with {FACTORS} select cast(least(floor(round((lf + 2) * 499 / 4.0, 6)), 498) as integer) as bin, count(*) as freq from f where lf between -2 and 2 group by 1"))
+@register("log_factor_hist", oracle(f"with {FACTORS}, m as (select max(abs(lf)) as top from f) select cast(least(floor(round((lf + top) * 499 / (2 * top), 6)), 498) as integer) as bin, count(*) as freq from f, m group by 1"))
 def log_factor_hist(spark, sf_dir):
-    v = _factors(spark, sf_dir).where("lf between -2 and 2")
-    return v.groupBy(F.least(F.floor(F.round((F.col("lf") + 2) * 499 / 4.0, 6)), F.lit(498)).cast("int").alias("bin")).agg(F.count("*").alias("freq"))
+    """499 bins from minus to plus the largest absolute logarithm."""
+    v = _factors(spark, sf_dir)
+    top = v.agg(F.max(F.abs("lf")).alias("top"))  # one row
+    place = F.floor(F.round((F.col("lf") + F.col("top")) * 499 / (2 * F.col("top")), 6))
+    return v.crossJoin(F.broadcast(top)).groupBy(F.least(place, F.lit(498)).cast("int").alias("bin")).agg(F.count("*").alias("freq"))
 
 
 @register("initial_size_hist", oracle("select cast(floor(old_size / 1000) as bigint) as bin, count(*) as freq from v_size_log where seq = 2 group by 1"))
@@ -243,7 +257,7 @@ _CHI = """rs as (select x, sum(n) as r from c group by x), cs as (select y, sum(
  e as (select coalesce(c.n, 0) as n, r * q / cast(total as double) as ex from rs cross join cs cross join t left join c using (x, y))"""
 
 
-@register("chi2_independence", oracle(f"with {CELLS}, {_CHI} select round(sum(power(n - ex, 2) / ex), 4) as chi2, (select count(*) from rs) as n_rows, (select count(*) from cs) as n_cols, ((select count(*) from rs) - 1) * ((select count(*) from cs) - 1) as dof from e"))
+@register("chi2_independence", oracle(f"with {CELLS}, {_CHI} select round(sum(power(n - ex, 2) / ex), 4) as chi2, (select count(*) from rs) as n_rows, (select count(*) from cs) as n_cols, (select count(*) from rs) * (select count(*) from cs) - (select count(*) from rs) - (select count(*) from cs) as dof from e"))
 def chi2_independence(spark, sf_dir):
     return fit.chi_square(_cells(spark, sf_dir), "x", "y", "n").withColumn("chi2", F.round("chi2", 4))
 

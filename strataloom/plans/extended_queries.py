@@ -10,7 +10,7 @@ from strataloom.functions import text as tx
 from strataloom.operators import generators as gn
 from strataloom.operators import graph as gr
 from strataloom.operators import graph_local as gl
-from strataloom.plans.graph_queries import S, _arcs, _edges, _small
+from strataloom.plans.graph_queries import EVERY, S, _arcs, _edges
 from strataloom.streaming import jobs
 from strataloom.tables import Tables, oracle
 
@@ -118,26 +118,26 @@ def signed_triads(spark, sf_dir):
     return t.groupBy((sign("x", "y") + sign("y", "z") + sign("x", "z")).alias("balance")).agg(F.count("*").alias("triads"))
 
 
-@register("frequent_neighbours", oracle("select x.dst as a, y.dst as b, count(*) as freq from v_followers x join v_followers y on x.src = y.src and x.dst < y.dst group by 1, 2 having count(*) >= 4"))
+@register("frequent_neighbours", oracle("select x.dst as a, y.dst as b, count(*) as freq from v_followers x join v_followers y on x.src = y.src and x.dst < y.dst group by 1, 2"))
 def frequent_neighbours(spark, sf_dir):
-    return gr.projection(_arcs(spark, sf_dir), "src", "dst").where("w >= 4").select("a", "b", F.col("w").alias("freq"))
+    return gr.projection(_arcs(spark, sf_dir), "src", "dst").select("a", "b", F.col("w").alias("freq"))
 
 
-@register("link_features", oracle(f"with {S}, g as (select src as node, count(*) as deg from s group by src), c as (select x.dst as a, y.dst as b, count(*) as common, sum(1 / ln(z.deg)) as adamic from s x join s y on x.src = y.src and x.dst < y.dst join g z on z.node = x.src group by 1, 2) select a, b, common, round(adamic, 6) as adamic from c where common >= 2"))
+@register("link_features", oracle(f"with {S}, g as (select src as node, count(*) as deg from s group by src), c as (select x.dst as a, y.dst as b, count(*) as common, sum(1 / ln(z.deg)) as adamic from s x join s y on x.src = y.src and x.dst < y.dst join g z on z.node = x.src group by 1, 2) select a, b, common, round(adamic, 6) as adamic from c"))
 def link_features(spark, sf_dir):
     s = gr.both_ways(_edges(spark, sf_dir))
     deg = gr.undirected_degrees(_edges(spark, sf_dir)).withColumnRenamed("node", "src")
     w = s.join(deg, "src").select("src", "dst", (1 / F.log("deg")).alias("w"))
-    pairs = w.withColumnRenamed("dst", "a").join(s.withColumnRenamed("dst", "b"), "src").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"), F.sum("w").alias("adamic"))
-    return pairs.where("common >= 2").select("a", "b", "common", F.round("adamic", 6).alias("adamic"))
+    pairs = gr.split_join(w.withColumnRenamed("dst", "a"), s.withColumnRenamed("dst", "b"), "src").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"), F.sum("w").alias("adamic"))
+    return pairs.select("a", "b", "common", F.round("adamic", 6).alias("adamic"))
 
 
-@register("cascade_candidates", oracle("select x.user_id as src, y.user_id as dst, count(*) as cascades from v_watchers x join v_watchers y on x.repo_id = y.repo_id and x.created_at < y.created_at and x.user_id <> y.user_id group by 1, 2 having count(*) >= 8"))
+@register("cascade_candidates", oracle("select x.user_id as src, y.user_id as dst, count(*) as cascades from v_watchers x join v_watchers y on x.repo_id = y.repo_id and x.created_at < y.created_at and x.user_id <> y.user_id group by 1, 2"))
 def cascade_candidates(spark, sf_dir):
     w = Tables(spark, sf_dir).v_watchers
     x = w.select("repo_id", F.col("user_id").alias("src"), F.col("created_at").alias("t1"))
     y = w.select("repo_id", F.col("user_id").alias("dst"), F.col("created_at").alias("t2"))
-    return x.join(y, "repo_id").where("t1 < t2 and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("cascades")).where("cascades >= 8")
+    return gr.split_join(x, y, "repo_id").where("t1 < t2 and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("cascades"))
 
 
 @register("quote_peaks", "with d as (select doc_id, lang, n_chars % 24 as hour from documents), c as (select lang, hour, count(*) as n from d group by 1, 2), r as (select *, row_number() over (partition by lang order by n desc, hour) as k from c) select lang, hour, n from r where k = 1")

@@ -9,13 +9,14 @@ from strataloom.catalog import register
 from strataloom.operators import distribution as ds
 from strataloom.operators import graph as gr
 from strataloom.operators.components import connected_components
+from strataloom.session import materialize
 from strataloom.tables import Tables, oracle
 
 #: both directions of the undirected follower graph, and its degrees
 S = "s as (select a as src, b as dst from v_edges union all select b, a from v_edges)"
 DEG = f"{S}, g as (select src as node, count(*) as deg from s group by src)"
-#: a small part on which all-pairs searches run: customers below 60
-SMALL = "e0 as (select src, dst from v_followers where src < 60 and dst < 60 and src <> dst), se as (select src, dst from e0 union select dst, src from e0)"
+#: searches start at every twentieth id and run over all edges
+EVERY = 20
 
 
 def _q(name: str, sql: str):
@@ -30,12 +31,12 @@ def _edges(spark, sf_dir):
     return Tables(spark, sf_dir).v_edges
 
 
-def _small(spark, sf_dir):
-    return _arcs(spark, sf_dir).where("src < 60 and dst < 60 and src <> dst")
+def _both(spark, sf_dir):
+    return gr.both_ways(_edges(spark, sf_dir))
 
 
-def _small_both(spark, sf_dir):
-    return gr.both_ways(gr.undirected(_small(spark, sf_dir)))
+def _sources(edges):
+    return gr.nodes(edges).where(F.col("node") % EVERY == 0)
 
 
 @_q("bipartite_weight", "select repo_id, user_id, weight from v_bipartite")
@@ -49,9 +50,9 @@ def bipartite_last_write(spark, sf_dir):
     return Tables(spark, sf_dir).v_commits.groupBy("project_id", "author_id").agg(last.alias("last_commit"))
 
 
-@_q("projection", "select x.user_id as a, y.user_id as b, count(*) as w from v_bipartite x join v_bipartite y on x.repo_id = y.repo_id and x.user_id < y.user_id group by 1, 2 having count(*) >= 3")
+@_q("projection", "select x.user_id as a, y.user_id as b, count(*) as w from v_bipartite x join v_bipartite y on x.repo_id = y.repo_id and x.user_id < y.user_id group by 1, 2")
 def projection(spark, sf_dir):
-    return gr.projection(Tables(spark, sf_dir).v_bipartite, "repo_id", "user_id").where("w >= 3")
+    return gr.projection(Tables(spark, sf_dir).v_bipartite, "repo_id", "user_id")
 
 
 @_q("projection_self", "select user_id as a, count(*) as self_w from v_bipartite group by user_id")
@@ -207,10 +208,15 @@ def common_neighbours(spark, sf_dir):
     return gr.common_neighbours(e, e)
 
 
-@_q("two_step_paths", "select x.src as a, y.dst as b, count(*) as paths from v_followers x join v_followers y on x.dst = y.src where x.src < 100 and x.src <> y.dst group by 1, 2")
+@_q("two_step_paths", "select x.src as a, y.dst as b, count(*) as paths from v_followers x join v_followers y on x.dst = y.src where x.src <> y.dst group by 1, 2")
 def two_step_paths(spark, sf_dir):
-    e = _arcs(spark, sf_dir)
-    return e.where("src < 100").select(F.col("src").alias("a"), F.col("dst").alias("m")).join(e.select(F.col("src").alias("m"), F.col("dst").alias("b")), "m").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("paths"))
+    return gr.two_step_paths(_arcs(spark, sf_dir))
+
+
+@_q("group_triads", f"with {S}, t as (select x.a as p, x.b as q, y.b as r from v_edges x join v_edges y on x.b = y.a join v_edges z on z.a = x.a and z.b = y.b), c as (select p as node, q as y, r as z from t union all select q, p, r from t union all select r, p, q from t), n as (select node, cast(y % 3 = 0 as integer) + cast(z % 3 = 0 as integer) as k from c) select node, count(*) filter (where k = 2) as in_in, count(*) filter (where k = 1) as in_out, count(*) filter (where k = 0) as out_out from n group by node")
+def group_triads(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    return gr.group_triads(e, gr.nodes(gr.both_ways(e)).where("node % 3 = 0"))
 
 
 @_q("constraint", f"with {S}, p as (select src, dst, 1.0 / count(*) over (partition by src) as p from s), v as (select src as i, dst as j, p as v from p union all select x.src, y.dst, x.p * y.p from p x join p y on x.dst = y.src where x.src <> y.dst), w as (select i, j, sum(v) as v from v group by 1, 2) select i as node, round(sum(v * v), 6) as value from w group by i")
@@ -218,12 +224,13 @@ def constraint(spark, sf_dir):
     return gr.constraint(_edges(spark, sf_dir)).select("node", F.round("value", 6).alias("value"))
 
 
-_BFS = f"with recursive {SMALL}, b as (select distinct src as source, src as node, 0 as dist from se union select b.source, se.dst, b.dist + 1 from b join se on se.src = b.node where b.dist < 12), d as (select source, node, min(dist) as dist from b group by source, node)"
+#: distances by the recursion of a table keyed by its pair: a later row never replaces a nearer one
+_BFS = f"with recursive {S}, b as (select distinct src as source, src as node, 0 as dist from s where src % {EVERY} = 0 union select b.source, s.dst, b.dist + 1 from b join s on s.src = b.node where b.dist < 24 and not exists (select 1 from recurring.b k where k.source = b.source and k.node = s.dst)), d as (select source, node, min(dist) as dist from b group by source, node)"
 
 
 def _dist(spark, sf_dir):
-    s = _small_both(spark, sf_dir)
-    return gr.bfs(s, gr.nodes(s))
+    s = _both(spark, sf_dir)
+    return gr.bfs(s, _sources(s))
 
 
 @_q("bfs_hops", f"{_BFS} select source, node, dist from d")
@@ -231,9 +238,9 @@ def bfs_hops(spark, sf_dir):
     return _dist(spark, sf_dir)
 
 
-@_q("bfs_tree", f"{_BFS} select x.source, se.dst as node, se.src as pred from d x join se on se.src = x.node join d y on y.source = x.source and y.node = se.dst and y.dist = x.dist + 1")
+@_q("bfs_tree", f"{_BFS} select x.source, s.dst as node, s.src as pred from d x join s on s.src = x.node join d y on y.source = x.source and y.node = s.dst and y.dist = x.dist + 1")
 def bfs_tree(spark, sf_dir):
-    return gr.bfs_predecessors(_small_both(spark, sf_dir), _dist(spark, sf_dir))
+    return gr.bfs_predecessors(_both(spark, sf_dir), _dist(spark, sf_dir))
 
 
 @_q("hop_histogram", f"{_BFS} select dist, count(*) as pairs from d group by dist")
@@ -259,58 +266,95 @@ def eff_diameter(spark, sf_dir):
     return e.select(F.round("effective", 6).alias("effective"), "full", F.round("mean", 6).alias("mean"))
 
 
-@_q("wcc", f"with recursive {S}, b as (select src as node, src as label from s where src < 40 union select s.dst, b.label from b join s on s.src = b.node), m as (select node, min(label) as component from b group by node) select component, count(*) as size from m group by component having component < 40")
+#: least labels by rounds over all edges: labels only fall, so 24 rounds reach the end of any component here
+_WCC = f"with recursive {S}, loops as (select src, dst from s union select src, src from s), l as (select distinct src as node, src as label, 0 as i from s union all select loops.dst, min(l.label), l.i + 1 from l join loops on loops.src = l.node where l.i < 24 group by loops.dst, l.i), m as (select node, label as component from l where i = 24)"
+
+
+@_q("wcc", f"{_WCC} select component, count(*) as size from m group by component")
 def wcc(spark, sf_dir):
     c = connected_components(_edges(spark, sf_dir).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    return c.groupBy("component").agg(F.count("*").alias("size")).where("component < 40")
+    return c.groupBy("component").agg(F.count("*").alias("size"))
 
 
-@_q("wcc_sizes", f"with recursive {SMALL}, b as (select src as node, src as label from se union select se.dst, b.label from b join se on se.src = b.node), m as (select node, min(label) as component from b group by node), z as (select component, count(*) as size from m group by component) select size, count(*) as freq from z group by size")
+@_q("wcc_sizes", f"{_WCC}, z as (select component, count(*) as size from m group by component) select size, count(*) as freq from z group by size")
 def wcc_sizes(spark, sf_dir):
-    c = connected_components(_small(spark, sf_dir))
-    return c.groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("freq"))
+    return wcc(spark, sf_dir).groupBy("size").agg(F.count("*").alias("freq"))
+
 
+@_q("wcc_largest", f"{_WCC}, z as (select component, count(*) as size from m group by component) select max(size) as largest, round(max(size) / cast(sum(size) as double), 9) as share, count(*) = 1 as connected from z")
+def wcc_largest(spark, sf_dir):
+    """Size and share of the largest weak component, and whether it is the only one."""
+    return wcc(spark, sf_dir).agg(F.max("size").alias("largest"), F.round(F.max("size") / F.sum("size"), 9).alias("share"), (F.count("*") == 1).alias("connected"))
 
-@_q("scc", f"with recursive {SMALL}, r as (select src as x, dst as y from e0 union select r.x, e0.dst from r join e0 on e0.src = r.y), n as (select src as node from e0 union select dst from e0) select node, least(node, coalesce((select min(r.y) from r join r q on q.x = r.y and q.y = r.x where r.x = n.node), node)) as component from n")
+
+@register("scc")  # reachability over all pairs is too slow in SQL; the tests hold it against a depth-first search
 def scc(spark, sf_dir):
-    return gr.strong_components(_small(spark, sf_dir))
+    return gr.strong_components(_arcs(spark, sf_dir))
 
 
-@register("kcore")
+@register("kcore")  # peeling has no SQL form here; the tests hold it against a loop
 def kcore(spark, sf_dir):
     return gr.core_numbers(_edges(spark, sf_dir))
 
 
-def _pr_sql(rounds: int) -> str:
-    ctes = ["n as (select src as node from v_followers union select dst from v_followers)", "k as (select count(*) as k from n)", "o as (select src, count(*) as o from v_followers group by src)", "r0 as (select node, 1.0 / k as r from n, k)"]
-    for i in range(rounds):
-        ctes.append(f"x{i} as (select n.node, 0.85 * coalesce(sum(r.r / o.o), 0) as v from n left join v_followers f on f.dst = n.node left join r{i} r on r.node = f.src left join o on o.src = f.src group by n.node)")
-        ctes.append(f"r{i + 1} as (select node, v + (1 - (select sum(v) from x{i})) / k as r from x{i}, k)")
-    return f"with {', '.join(ctes)} "
+@register("kcore_sizes")
+def kcore_sizes(spark, sf_dir):
+    """Nodes and edges of the k-core of every order."""
+    cores = gr.core_numbers(_edges(spark, sf_dir))
+    e = _edges(spark, sf_dir).join(cores.select(F.col("node").alias("a"), F.col("core").alias("ca")), "a").join(cores.select(F.col("node").alias("b"), F.col("core").alias("cb")), "b")
+    counts = cores.groupBy("core").agg(F.count("*").alias("n")).join(e.groupBy(F.least("ca", "cb").alias("core")).agg(F.count("*").alias("m")), "core", "left")
+    over = Window.orderBy(F.col("core").desc()).rowsBetween(Window.unboundedPreceding, 0)  # a row for each core order
+    return counts.select(F.col("core").alias("k"), F.sum("n").over(over).alias("nodes"), F.sum(F.coalesce("m", F.lit(0))).over(over).alias("edges"))
+
 
+#: power iterations as recursions: every node has an edge of weight 0 to itself, which keeps its row and its last value
+_PR = """with recursive n as (select src as node from v_followers union select dst from v_followers), k as (select count(*) as k from n), o as (select src, count(*) as o from v_followers group by src),
+ w as (select f.src, f.dst, 1.0 / o.o as w, 0 as own from v_followers f join o on o.src = f.src union all select node, node, 0, 1 from n),
+ r as (select node, 1.0 / k as rank, cast(1 as double) as moved, 0 as i from n, k
+ union all select node, v + (1 - sum(v) over ()) / k, sum(abs(v + (1 - total) / k - old)) over (), i + 1 from (select *, sum(v) over () as total from (select w.dst as node, 0.85 * sum(r.rank * w.w) as v, sum(case when own = 1 then r.rank end) as old, r.i from r join w on w.src = r.node where r.moved >= 1e-4 and r.i < 100 group by w.dst, r.i) a) b, k),
+ ranks as (select node, rank from r where i = (select max(i) from r))"""
 
-@_q("pagerank_k", f"{_pr_sql(3)} select node, round(r, 9) as rank from r3")
+
+@_q("pagerank_k", f"{_PR} select node, round(rank, 9) as rank from ranks")
 def pagerank_k(spark, sf_dir):
-    return gr.pagerank(_arcs(spark, sf_dir), rounds=3, eps=None).select("node", F.round("rank", 9).alias("rank"))
+    """Damping 0.85 until the ranks move less than 1e-4 in sum, or 100 rounds."""
+    return gr.pagerank(_arcs(spark, sf_dir)).select("node", F.round("rank", 9).alias("rank"))
 
 
-@_q("pagerank_developers", f"{_pr_sql(2)}, d as (select node, round(r, 9) as r from r2 where node in (select author_id from v_commits)) select node, dense_rank() over (order by r desc) as place from d")
+@_q("pagerank_developers", f"{_PR}, d as (select node, round(rank, 9) as r from ranks where node in (select author_id from v_commits)) select node, dense_rank() over (order by r desc) as place from d")
 def pagerank_developers(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    ranks = gr.pagerank(_arcs(spark, sf_dir), rounds=2, eps=None).select("node", F.round("rank", 9).alias("r"))
+    ranks = gr.pagerank(_arcs(spark, sf_dir)).select("node", F.round("rank", 9).alias("r"))
     devs = ranks.join(t.v_commits.select(F.col("author_id").alias("node")), "node", "left_semi")
-    values = devs.select("r").distinct().withColumn("place", F.dense_rank().over(Window.orderBy(F.col("r").desc())))
-    return devs.join(values, "r").select("node", F.col("place"))
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    values = materialize(devs.select("r").distinct().repartitionByRange(F.col("r").desc()).withColumn("part", F.spark_partition_id()), "places")
+    starts = values.groupBy("part").agg(F.count("*").alias("size")).select("part", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("start"))  # a row for each range
+    places = values.join(F.broadcast(starts), "part").select("r", (F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy(F.col("r").desc()))).alias("place"))
+    return devs.join(places, "r").select("node", "place")
+
 
+_HITS = """with recursive n as (select src as node from v_followers union select dst from v_followers),
+ x as (select src, dst, 1 as w from v_followers union all select node, node, 0 from n),
+ r as (select node, cast(1 as double) as hub, cast(0 as double) as auth, 0 as i from n
+ union all select node, case when norm > 0 then h / norm else 0 end, a, i + 1 from (select b.node, h, q.a, b.i, sqrt(sum(h * h) over ()) as norm from (select x.src as node, sum(x.w * a) as h, sum(case when x.src = x.dst and x.w = 0 then a end) as a, i from
+ (select node, case when norm > 0 then g / norm else 0 end as a, i from (select x.dst as node, sum(x.w * r.hub) as g, r.i, sqrt(sum(sum(x.w * r.hub) * sum(x.w * r.hub)) over ()) as norm from r join x on x.src = r.node where r.i < 20 group by x.dst, r.i) c) q0 join x on x.dst = q0.node group by x.src, i) b, lateral (select b.a) q) d)"""
 
-@register("hits")
+
+@_q("hits", f"{_HITS} select node, round(hub, 9) as hub, round(auth, 9) as auth from r where i = 20")
 def hits(spark, sf_dir):
-    return gr.hits(_arcs(spark, sf_dir), rounds=5)
+    h = gr.hits(_arcs(spark, sf_dir), rounds=20)
+    return h.select("node", F.round("hub", 9).alias("hub"), F.round("auth", 9).alias("auth"))
+
+
+_EIGEN = f"""with recursive {S}, x as (select src, dst, 1 as w from s union all select distinct src, src, 0 from s), k as (select count(distinct src) as k from s),
+ r as (select distinct src as node, 1 / sqrt(k) as value, cast(1 as double) as moved, 0 as i from s, k
+ union all select node, g / norm, sum(abs(g / norm - old)) over (), i + 1 from (select x.dst as node, sum(x.w * r.value) as g, sum(case when x.w = 0 then r.value end) as old, r.i, sqrt(sum(sum(x.w * r.value) * sum(x.w * r.value)) over ()) as norm from r join x on x.src = r.node where r.moved >= 1e-4 and r.i < 100 group by x.dst, r.i) c)"""
 
 
-@register("eigenvector_centrality")
+@_q("eigenvector_centrality", f"{_EIGEN} select node, round(value, 9) as value from r where i = (select max(i) from r)")
 def eigenvector_centrality(spark, sf_dir):
-    return gr.eigenvector(_edges(spark, sf_dir), rounds=8)
+    """Until the values move less than 1e-4 in sum, or 100 rounds."""
+    return gr.eigenvector(_edges(spark, sf_dir)).withColumn("value", F.round("value", 9))
 
 
 @_q("sparse_product", f"with {S} select s.src as node, cast(sum(s.dst % 7) as double) as value from s group by s.src")

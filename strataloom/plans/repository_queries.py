@@ -37,18 +37,17 @@ sql_query("sql_except_keys", "select actor_id as user_id from v_issue_events exc
 sql_query("top_files", "select file_id, count(*) as n from v_commit_files group by file_id order by n desc, file_id limit 10")
 
 
-@register("catalog_tables")
+@register("catalog_tables", """select 'repository_info' as "tableName" where (select count(*) from supplier) >= 0""")
 def catalog_tables(spark, sf_dir):
     Tables(spark, sf_dir).v_projects.createOrReplaceTempView("repository_info")
     return spark.sql("show tables").select("tableName").where("tableName = 'repository_info'")
 
 
-@register("language_map_merge", """select n_regionkey as id, list_sort(list(distinct upper(left(n_name, 1)))) as keys from nation group by n_regionkey""")
+@register("language_map_merge", """select n_regionkey as id, upper(left(n_name, 1)) as key, max_by(n_name, n_nationkey) as value from nation group by 1, 2""")
 def language_map_merge(spark, sf_dir):
-    """Maps of several sources merged, later values winning; the keys of each."""
-    one = F.create_map(F.upper(F.substring("n_name", 1, 1)), F.col("n_nationkey"))
-    grouped = Tables(spark, sf_dir).nation.groupBy(F.col("n_regionkey").alias("id")).agg(F.collect_list(F.map_entries(one)[0]).alias("e"))
-    return grouped.select("id", F.array_sort(F.array_distinct(F.transform("e", lambda x: x["key"]))).alias("keys"))
+    """Maps of several sources merged; of a key's values the one of the last source stays."""
+    entries = Tables(spark, sf_dir).nation.select(F.col("n_regionkey").alias("id"), F.upper(F.substring("n_name", 1, 1)).alias("key"), F.col("n_name").alias("value"), F.col("n_nationkey").alias("at"))
+    return rp.merged_maps(entries, "id", "key", "value", "at")
 
 
 def _simple(name: str, sql: str):
@@ -213,11 +212,11 @@ def bug_per_commit(spark, sf_dir):
     return _bugs_commits(spark, sf_dir).where("commits > 0").select("user_id", "bugs", "commits", F.round(ratio, 6).alias("ratio"), (ratio > 0.8).alias("often"))
 
 
-@_simple("touch_file", "select c.project_id, c.author_id, f.file_id, coalesce(nullif(additions, 0), -1) as additions, coalesce(nullif(deletions, 0), -1) as deletions from v_commit_files f join v_commits c on c.id = f.commit_id")
+@_simple("touch_file", "select c.project_id, c.author_id, f.file_id, coalesce(additions, -1) as additions, coalesce(deletions, -1) as deletions from v_commit_files f join v_commits c on c.id = f.commit_id")
 def touch_file(spark, sf_dir):
     t = Tables(spark, sf_dir)
     rows = t.v_commit_files.join(t.v_commits.select(F.col("id").alias("commit_id"), "project_id", "author_id"), "commit_id")
-    missing = lambda c: F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(-1)).alias(c)
+    missing = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
     return rows.select("project_id", "author_id", "file_id", missing("additions"), missing("deletions"))
 
 
@@ -238,11 +237,12 @@ def developer_info(spark, sf_dir):
     return devs.agg(F.countDistinct("company").alias("companies"), F.countDistinct("location").alias("locations"), F.count("*").alias("developers"))
 
 
-@_simple("orphan_commits", "select id from v_commits where project_id % 7 = 0 and project_id not in (select id from v_projects where id % 14 = 0)")
+@_simple("orphan_commits", "select id from v_commits where project_id not in (select id from v_projects where forked_from is null)")
 def orphan_commits(spark, sf_dir):
+    """Commits whose project is not among the listed ones, here those that are no forks."""
     t = Tables(spark, sf_dir)
-    known = t.v_projects.where("id % 14 = 0").select(F.col("id").alias("project_id"))
-    return t.v_commits.where("project_id % 7 = 0").join(known, "project_id", "left_anti").select("id")
+    known = t.v_projects.where("forked_from is null").select(F.col("id").alias("project_id"))
+    return t.v_commits.join(known, "project_id", "left_anti").select("id")
 
 
 @_simple("root_projects", "select id, name from v_projects where forked_from is null")
@@ -271,14 +271,25 @@ def _gap_mean(rows, by):
     return rows.groupBy(F.col(by).alias("k")).agg(F.count("*").alias("gaps"), F.round(F.avg("gap"), 6).alias("mean_gap"))
 
 
-@_simple("commit_gap_hours", _gap_sql("v_commits", "project_id", "created_at", "id", "s / 3600.0"))
+_ROOTS = "roots as (select id as node, id as root from v_projects where forked_from is null or forked_from not in (select id from v_projects) union all select p.id, r.root from roots r join v_projects p on p.forked_from = r.node)"
+
+
+@_simple("commit_gap_hours", f"with recursive {_ROOTS}, g as (select root, epoch(cast(created_at as timestamp)) - lag(epoch(cast(created_at as timestamp))) over (partition by root order by created_at, id) as s from v_commits c join roots on node = project_id) select root, cast(floor(s / 3600.0) as bigint) as value, count(*) as freq from g where s is not null group by 1, 2")
 def commit_gap_hours(spark, sf_dir):
-    return _gap_mean(rp.gaps(Tables(spark, sf_dir).v_commits, ["project_id"], "created_at", "hours", "id"), "project_id")
+    """Whole hours between consecutive commits to a root repository and its forks, as a distribution of each root."""
+    t = Tables(spark, sf_dir)
+    commits = t.v_commits.join(rp.fork_roots(t.v_projects).withColumnRenamed("node", "project_id"), "project_id")
+    return ds.pdf(rp.gaps(commits, ["root"], "created_at", "hours", "id").withColumn("gap", F.floor("gap")), "gap", ["root"])
 
 
-@_simple("fork_gap_minutes", _gap_sql("v_issue_events", "event", "created_at", "id", "s / 60.0"))
+@_simple("fork_gap_minutes", f"""with recursive {_ROOTS}, born as (select project_id, min(created_at) as born_at from v_commits group by 1), f as (select root, node, born_at from roots join born on project_id = node where node <> root),
+ g as (select root, epoch(cast(born_at as timestamp)) - lag(epoch(cast(born_at as timestamp))) over (partition by root order by born_at, node) as s from f) select root, cast(floor(s / 60.0) as bigint) as value, count(*) as freq from g where s is not null group by 1, 2""")
 def fork_gap_minutes(spark, sf_dir):
-    return _gap_mean(rp.gaps(Tables(spark, sf_dir).v_issue_events, ["event"], "created_at", "minutes", "id"), "event")
+    """Whole minutes between the births of a root's consecutive forks; a fork is born with its first commit."""
+    t = Tables(spark, sf_dir)
+    born = t.v_commits.groupBy(F.col("project_id").alias("node")).agg(F.min("created_at").alias("at"))
+    forks = rp.fork_roots(t.v_projects).where("node <> root").join(born, "node")
+    return ds.pdf(rp.gaps(forks, ["root"], "at", "minutes", "node").withColumn("gap", F.floor("gap")), "gap", ["root"])
 
 
 @_simple("watcher_gap_days", _gap_sql("v_watchers", "repo_id", "created_at", "user_id", "floor(s / 86400.0)"))
@@ -296,9 +307,9 @@ _ACTIVE = "d as (select project_id, cast(created_at as date) as date, count(*) a
 
 
 @_simple("activity_zero_filled", f"""with {_ACTIVE}, e as (select project_id, min(date) as f, max(date) as l from d group by 1), c as (select project_id, f, unnest(generate_series(f, l, interval 1 day))::date as date from e)
- select c.project_id, cast(datediff('day', c.f, c.date) + 1 as integer) as day, coalesce(d.n, 0) as n from c left join d using (project_id, date) where c.project_id < 20""")
+ select c.project_id, cast(datediff('day', c.f, c.date) + 1 as integer) as day, coalesce(d.n, 0) as n from c left join d using (project_id, date)""")
 def activity_zero_filled(spark, sf_dir):
-    return rp.active_days(Tables(spark, sf_dir).v_commits.where("project_id < 20"), "project_id", "created_at")
+    return rp.active_days(Tables(spark, sf_dir).v_commits, "project_id", "created_at")
 
 
 @_simple("active_day_gap_pdf", f"with {_ACTIVE}, g as (select cast(datediff('day', lag(date) over (partition by project_id order by date), date) as integer) as gap from d) select gap as value, count(*) as freq from g where gap is not null group by gap")

@@ -77,16 +77,26 @@ def token_length_hist(spark, sf_dir):
     return ds.pdf(fr.token_rows(Tables(spark, sf_dir).documents, []).select(F.length("tok").alias("len")), "len")
 
 
-@register("char_class_hist", """with c as (select unnest(string_split(text, '')) as c from documents)
- select case when regexp_matches(c, '^[-+*/%=<>!&|^~]$') then 'operator' when regexp_matches(c, '^[()\\[\\]{}]$') then 'parenthesis'
- when regexp_matches(c, '^[,.:;]$') then 'punctuation' when regexp_matches(c, '^["''`]$') then 'string_mark' when regexp_matches(c, '^[A-Za-z_]$') then 'entity'
- when regexp_matches(c, '^[0-9]$') then 'digit' when regexp_matches(c, '^\\s$') then 'blank' else 'other' end as class, count(*) as freq from c where c <> '' group by 1""")
+_MEMBERS = {name: ", ".join("'" + c.replace("'", "''") + "'" for c in members) for name, members in tx.CHAR_CLASSES.items()}
+
+
+@register("char_class_hist", f"""with c as (select unnest(string_split(text, '')) as c from documents)
+ select case when regexp_matches(c, '^[A-Za-z_]$') then 'entity' when regexp_matches(c, '^[0-9]$') then 'digit' {" ".join(f"when c in ({m}) then '{n}'" for n, m in _MEMBERS.items())} else 'other' end as class, count(*) as freq from c where c <> '' group by 1""")
 def char_class_hist(spark, sf_dir):
     # characters are counted first, so a class is found once for each different character
     chars = Tables(spark, sf_dir).documents.select(F.explode(F.split("text", "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count("*").alias("n"))
     return chars.groupBy(tx.char_class(F.col("c")).alias("class")).agg(F.sum("n").alias("freq"))
 
 
+@register("pair_operator_freq", " union all ".join(f"select '{p}' as pair, cast(coalesce(sum((length(text) - length(replace(text, '{p}', ''))) // 2), 0) as bigint) as freq from documents" for p in tx.PAIR_OPERATORS))
+def pair_operator_freq(spark, sf_dir):
+    """Operators of two characters in all texts, from the left without overlap."""
+    text = F.col("text")
+    counts = [((F.length(text) - F.length(F.replace(text, F.lit(p), F.lit("")))) / 2).cast("bigint") for p in tx.PAIR_OPERATORS]
+    sums = Tables(spark, sf_dir).documents.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"n{k}") for k, c in enumerate(counts)))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(p).alias("pair"), F.col(f"n{k}").alias("freq")) for k, p in enumerate(tx.PAIR_OPERATORS)))).alias("r")).select("r.*")
+
+
 def _grams_sql(n: int, keep: str = "true") -> str:
     """CTEs of the n-grams of every document, by window functions."""
     leads = ", ".join(f"lead(tok, {k}) over w" for k in range(1, n))
@@ -116,10 +126,10 @@ def ngram_program_only(spark, sf_dir):
 
 
 @register("ngram_merge_counts", f"""with {_grams_sql(2)}, m as (select doc_id, ngram, count(*) as n from grams group by doc_id, ngram)
- select ngram, sum(n) as freq, count(*) as records from m group by ngram having sum(n) >= 20""")
+ select ngram, sum(n) as freq, count(*) as records from m group by ngram""")
 def ngram_merge_counts(spark, sf_dir):
     f = fr.ngram_frequency(Tables(spark, sf_dir).documents, 2)
-    return f.where("freq >= 20").select("ngram", "freq", F.col("n_files").alias("records"))
+    return f.select("ngram", "freq", F.col("n_files").alias("records"))
 
 
 @register("refine_ngram", """with p as (select p_partkey, list_filter(string_split(translate(concat(p_name, '=', p_type, '@', p_brand), '%#&@:,=[]', '.........'), '.'), lambda x: x <> '') as a from part),
@@ -203,7 +213,7 @@ def url_domain(spark, sf_dir):
     return Tables(spark, sf_dir).pages.groupBy(tx.url_domain(F.col("url")).alias("domain"), tx.url_site(F.col("url")).alias("site")).agg(F.count("*").alias("pages"))
 
 
-@register("url_normal", "select page_id, regexp_replace(regexp_replace(lower(url), '^[a-z]+://(www\\.)?', ''), '[?#].*$|/+$', '', 'g') as url from pages")
+@register("url_normal", "select page_id, rtrim(regexp_extract(regexp_replace(lower(url), '^[a-z]+://(www\\.)?', ''), '^[^?#]*'), '/') as url from pages")
 def url_normal(spark, sf_dir):
     return Tables(spark, sf_dir).pages.select("page_id", tx.normal_url(F.col("url")).alias("url"))
 
@@ -297,9 +307,9 @@ def heaps_fit(spark, sf_dir):
 @register("heaps_token_curve", f"""with arrs as (select doc_id, lang, regexp_extract_all(trim(text), '{RX}', 0) as a from documents),
  rows as (select lang, doc_id, unnest(a) as tok, unnest(range(0, len(a))) as pos from arrs), numbered as (select lang, tok, row_number() over (partition by lang order by doc_id, pos) as total,
  row_number() over (partition by lang, tok order by doc_id, pos) as nth from rows), u as (select lang, total, sum(case when nth = 1 then 1 else 0 end) over (partition by lang order by total) as uniq from numbered)
- select lang, total, uniq from u where total % 1000 = 0""")
+ select lang, total, uniq from u""")
 def heaps_token_curve(spark, sf_dir):
-    return fr.heaps_by_token(Tables(spark, sf_dir).documents, "doc_id", ["lang"]).where("total % 1000 = 0")  # a point for each thousand tokens
+    return fr.heaps_by_token(Tables(spark, sf_dir).documents, "doc_id", ["lang"])
 
 
 @register("finite_observation", f"""with {HEAPS}, t as (select unnest([100, 500, 1000, 5000, 10000]) as threshold)

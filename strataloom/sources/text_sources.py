@@ -54,17 +54,23 @@ def read_edge_list(spark: SparkSession, path: str, sep: str = "\t", weighted: bo
 
 def read_named_edges(spark: SparkSession, path: str, sep: str = "\t") -> tuple[DataFrame, DataFrame]:
     """Edges between strings with dense ids, and the ids ``(name, id)`` in order of the names."""
-    from strataloom.operators.graph import renumbered
+    from strataloom.operators.graph import dense_ids, renumbered
 
     e = spark.read.schema("src string, dst string").option("sep", sep).option("comment", "#").csv(path).dropna()
-    names = e.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
-    return renumbered(e), names
+    ids = dense_ids(e)
+    return renumbered(e, ids), ids.withColumnRenamed("node", "name")
 
 
 def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
-    """``(src, dst)`` of lines ``node neighbour...``."""
+    """``(src, dst)`` of lines ``node neighbour...``; comments (#) and fields that are no numbers are skipped."""
+    return read_named_adjacency(spark, path).select(F.col("src").try_cast("long").alias("src"), F.col("dst").try_cast("long").alias("dst")).dropna().distinct()
+
+
+def read_named_adjacency(spark: SparkSession, path: str) -> DataFrame:
+    """``(src, dst)`` of lines ``node neighbour...`` between strings; comments (#) are skipped."""
     parts = F.split(F.trim("value"), "[ \t]+")
-    return spark.read.text(path).select(parts[0].cast("long").alias("src"), F.explode(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))).cast("array<bigint>")).alias("dst")).dropna().distinct()
+    lines = spark.read.text(path).where("trim(value) <> '' and not trim(value) like '#%'")
+    return lines.select(parts[0].alias("src"), F.explode(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).alias("dst")).distinct()
 
 
 def read_pajek(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -86,9 +92,9 @@ def write_dot(edges: DataFrame, path: str, directed: bool = True) -> None:
 
 
 def parse_crawl_log(lines: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``(repo, user, weight)`` of ``repo:... user:... weight:...`` lines, renamed repositories by their new name."""
+    """``(repo, user, weight)`` of ``repo:... user:... weight:...`` lines, renamed repositories by their new name; without a weight it is 1."""
     part = lambda k: F.regexp_extract("value", rf"\b{k}:(\S+)", 1)
-    rows = lines.select(part("repo").alias("repo"), part("user").alias("user"), part("weight").cast("long").alias("weight")).where("repo <> '' and user <> ''")
+    rows = lines.select(part("repo").alias("repo"), part("user").alias("user"), F.coalesce(part("weight").try_cast("long"), F.lit(1)).alias("weight")).where("repo <> '' and user <> ''")
     return rows.join(aliases, rows.repo == aliases.old, "left").select(F.coalesce("new", "repo").alias("repo"), "user", "weight")
 
 

@@ -29,8 +29,7 @@ VIEWS = {
     "v_issues": "select distinct issue_id as id, issue_id % 20 as repo_id from v_issue_events",
     "v_watchers": """select issue_id as repo_id, actor_id as user_id, min(created_at) as created_at from v_issue_events
        where event = 'view' group by issue_id, actor_id""",
-    "v_followers": """select distinct o_custkey as src, l_partkey % 1500 as dst from orders join lineitem on l_orderkey = o_orderkey
-       where l_partkey % 7 = 0""",
+    "v_followers": """select distinct o_custkey as src, l_partkey % 1500 as dst from orders join lineitem on l_orderkey = o_orderkey""",
     "v_edges": "select distinct least(src, dst) as a, greatest(src, dst) as b from v_followers where src <> dst",
     "v_bipartite": "select project_id as repo_id, author_id as user_id, count(*) as weight from v_commits group by project_id, author_id",
     "v_size_log": """select path, new_size / old_size as factor, new_size, old_size, seq from (
