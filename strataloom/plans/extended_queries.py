@@ -9,6 +9,7 @@ from strataloom.functions import lexing
 from strataloom.functions import text as tx
 from strataloom.operators import generators as gn
 from strataloom.operators import graph as gr
+from strataloom.operators import graph_blocks as gb
 from strataloom.operators import graph_local as gl
 from strataloom.plans.graph_queries import EVERY, S, _arcs, _edges
 from strataloom.streaming import jobs
@@ -72,27 +73,44 @@ def lexed_class_freq(spark, sf_dir):
 
 @register("biconnected_blocks")
 def biconnected_blocks(spark, sf_dir):
-    return gl.biconnected(_edges(spark, sf_dir))
+    return gb.biconnected(_edges(spark, sf_dir))
 
 
 @register("articulation_points")
 def articulation_points(spark, sf_dir):
-    return gl.articulation_points(gl.biconnected(_edges(spark, sf_dir)))
+    return gb.articulation_points(gb.biconnected(_edges(spark, sf_dir)))
+
+
+def _between(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    return gb.betweenness(e, gr.nodes(gr.both_ways(e)).where(F.col("node") % EVERY == 0))
 
 
 @register("betweenness")
 def betweenness(spark, sf_dir):
-    return gl.betweenness(gr.undirected(_small(spark, sf_dir)))
+    """Of all nodes, from every twentieth as a source."""
+    return _between(spark, sf_dir)[0].withColumn("value", F.round("value", 6))
+
+
+@register("edge_betweenness")
+def edge_betweenness(spark, sf_dir):
+    return _between(spark, sf_dir)[1].withColumn("value", F.round("value", 6))
 
 
 @register("greedy_communities")
 def greedy_communities(spark, sf_dir):
-    return gl.greedy_communities(gr.undirected(_small(spark, sf_dir)))
+    return gl.greedy_communities(_edges(spark, sf_dir), most_edges=2_000_000)
 
 
 @register("maximal_cliques")
 def maximal_cliques(spark, sf_dir):
-    return gl.maximal_cliques(_edges(spark, sf_dir)).select(F.array_join("clique", "-").alias("clique"))
+    return gb.maximal_cliques(_edges(spark, sf_dir)).select(F.array_join("clique", "-").alias("clique"))
+
+
+@register("clique_communities")
+def clique_communities(spark, sf_dir):
+    """Communities by percolation of cliques of four nodes."""
+    return gb.clique_communities(gb.maximal_cliques(_edges(spark, sf_dir)), 4).select("community", "size", "node")
 
 
 @register("neighbourhood_function")
@@ -169,8 +187,6 @@ def sir_epidemic(spark, sf_dir):
 
 @register("nmf_factors")
 def nmf_factors(spark, sf_dir):
-    import numpy as np
-
-    g = np.abs(gl.gram(Tables(spark, sf_dir).embeddings, "embedding"))
-    w, h = gl.factorise(g, 3, 100)
-    return spark.createDataFrame([(i, k, float(w[i, k])) for i in range(w.shape[0]) for k in range(3)], "i int, k int, w double")
+    """Three non-negative factors of the absolute embeddings."""
+    vectors = Tables(spark, sf_dir).embeddings.select(F.col("vec_id").alias("id"), F.transform("embedding", F.abs).alias("v"))
+    return gl.factorise(vectors, "id", "v", 3)[0].withColumn("w", F.round("w", 6))
