@@ -2,7 +2,7 @@
 
 Tokens are words (runs of letters, marks and digits), single other marks, and single characters
 of scripts written without blanks. The most frequent words of the whole corpus are tokens of
-their own; every other word is one of ``hashed`` tokens, by its XXH64, so that rare words and other
+their own; every other word is one of ``hashed`` tokens, by its hash, so that rare words and other
 scripts stay apart. Every token is predicted from the two before and the two after it by a small
 network: their embeddings, a hidden layer, then a softmax over classes of tokens and one over
 the tokens of the class. The product sums to 1 over all tokens, so scores are exact conditional
@@ -18,8 +18,8 @@ whose sums are the same in any order. The driver gets one row for each block of
 size depends neither on the corpus nor on its vocabulary. A last pass scores every document.
 
 Defined results: null, empty and blank texts have no tokens, a sum of 0 and no mean (null); very
-long texts are read whole, in as many chunks as they take; a row that repeats with doc_id and
-text trains as often as it stands, with one chunk and a weight; of words of equal counts the
+long texts are read whole, in as many chunks as they take; equal texts train as
+often as they stand, by a weight; of words of equal counts the
 first in byte order are tokens; without any token the network keeps its first weights; an empty
 table gives no rows; a null doc_id stays null; other columns are not read.
 """
@@ -32,7 +32,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +39,6 @@ from strataloom.llm.common import arrow_rows, bounded_batches, gathered, map_tex
 from strataloom.session import materialize, shared_path
 
 WINDOW = 2
-SEED = 42
 #: What stands alone: any character that is no letter, mark, digit or blank, and letters of scripts without blanks between words.
 _ALONE = r"([^\p{L}\p{N}\p{M}\s]|[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
 #: Words of more bytes are never tokens of their own.
@@ -50,8 +48,26 @@ _SCALE = 1 << 24
 _UNIT = 1024
 
 
-def words(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """The words of all texts one after the other, and their number in each text; null is empty."""
+_POWERS = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def hashes(found: pa.StringArray) -> np.ndarray:
+    """A 64-bit hash of each word, over its UTF-8 bytes; of longer words the powers come round again."""
+    _, offsets, data = found.buffers()
+    ends = np.frombuffer(offsets, np.int32)[found.offset : found.offset + len(found) + 1].astype(np.int64)
+    if data is None or not len(found):
+        return np.zeros(len(found), np.uint64)
+    size = np.diff(ends)
+    place = np.arange(ends[0], ends[-1]) - np.repeat(ends[:-1], size)
+    value = (np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)) * _POWERS[place % len(_POWERS)]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value)))
+    out = sums[ends[1:] - ends[0]] - sums[ends[:-1] - ends[0]]
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
+
+
+def words(column: pa.Array) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """The different words of all texts, the number of each word where it stands, and how many words each text has; null is empty."""
     try:
         column.validate(full=True)
         column = pc.fill_null(column, "")
@@ -59,10 +75,11 @@ def words(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
         column = pa.array(texts(column), pa.string())
     lists = pc.utf8_split_whitespace(pc.replace_substring_regex(column, _ALONE, r" \1 "))
     ends = lists.offsets.to_numpy().astype(np.int64)
-    found = lists.values[ends[0] : ends[-1]]
-    some = pc.not_equal(found, "")  # blanks at a text's ends leave empty words
-    before = np.concatenate(([0], np.cumsum(some.to_numpy(zero_copy_only=False))))
-    return found.filter(some).dictionary_encode(), np.diff(before[ends - ends[0]])
+    coded = lists.values[ends[0] : ends[-1]].dictionary_encode()
+    at, different = coded.indices.to_numpy(), coded.dictionary
+    some = at != pc.index(different, "").as_py()  # blanks at a text's ends leave empty words
+    before = np.concatenate(([0], np.cumsum(some)))
+    return different, at[some], np.diff(before[ends - ends[0]])
 
 
 @dataclass
@@ -79,27 +96,24 @@ class Vocabulary:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Token numbers of all texts, and how many each text has."""
-        coded, sizes = words(column)
-        at = pc.index_in(coded.dictionary, value_set=self.known)
-        other = [len(self.known) + xxhash.xxh64_intdigest(w, SEED) % self.hashed for w in coded.dictionary.filter(at.is_null()).to_pylist()]
-        at = at.fill_null(-1).to_numpy().astype(np.int64)
-        at[at < 0] = other
-        return at[coded.indices.to_numpy()].astype(np.uint16), sizes
+        different, at, sizes = words(column)
+        number = pc.index_in(different, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        other = len(self.known) + (hashes(different) % np.uint64(self.hashed)).astype(np.int64)
+        return np.where(number < 0, other, number).astype(np.uint16)[at], sizes
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(word, n)`` over all documents."""
+    """``(word, n, hash)`` over all documents."""
 
     def summed(parts: list[pa.Table]) -> pa.Table:
-        return pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+        return pa.concat_tables(parts).group_by("word").aggregate([("n", "sum"), ("hash", "min")]).rename_columns(["word", "n", "hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in gathered(batches, text_col):
-            found = pc.value_counts(words(batch.column(0))[0])
-            word = found.field("values").cast(pa.string())
-            held.append(pa.table({"word": word, "n": found.field("counts")}))
-            rows += len(word)
+            different, at, _ = words(batch.column(0))
+            held.append(pa.table({"word": different, "n": np.bincount(at, minlength=len(different)), "hash": hashes(different).view(np.int64)}).filter(pc.field("n") > 0))
+            rows += held[-1].num_rows
             if rows > 1 << 20:
                 held = [summed(held)]
                 rows = held[0].num_rows
@@ -109,14 +123,14 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if held:
             yield from summed(held).to_batches(1 << 14)
 
-    return bounded_batches(docs).select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return bounded_batches(docs).select(text_col).mapInArrow(run, "word string, n bigint, hash bigint").groupBy("word").agg(F.sum("n").alias("n"), F.min("hash").alias("hash"))
 
 
 def vocabulary(counted: DataFrame, size: int = 2048, hashed: int = 512) -> Vocabulary:
-    """The ``size - hashed`` most frequent words of ``(word, n)``; the driver gets ``size`` rows."""
+    """The ``size - hashed`` most frequent words of ``(word, n, hash)``; the driver gets ``size`` rows."""
     if hashed & (hashed - 1) or size > 0xFFFF:
         raise ValueError("hashed is a power of two, size below 65,536")
-    bucket = F.pmod(F.xxhash64("word"), F.lit(hashed)).cast("int")
+    bucket = F.pmod("hash", F.lit(hashed)).cast("int")
     held = counted.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect()
     best = counted.where(F.octet_length("word") <= _LONGEST).orderBy(F.desc("n"), "word").limit(size - hashed).collect()
     counts = np.zeros(size, np.int64)
@@ -126,13 +140,13 @@ def vocabulary(counted: DataFrame, size: int = 2048, hashed: int = 512) -> Vocab
     for r in held:
         others[r.bucket] = r.n
     for r in best:
-        others[xxhash.xxh64_intdigest(r.word, SEED) % hashed] -= r.n
+        others[r.hash % hashed] -= r.n
     counts[len(best) : len(best) + hashed] = others
     return Vocabulary(pa.array([r.word for r in best], pa.string()), hashed, counts)
 
 
 class Network:
-    """Embeddings, hidden weights and bias, class weights and bias, weights and biases of the tokens of each class."""
+    """Weights: embeddings; hidden layer; classes; the tokens of each class. The last row of each layer is its bias."""
 
     def __init__(self, weights: list[np.ndarray]):
         self.weights = weights
@@ -146,42 +160,53 @@ class Network:
         share[: len(counts)] += counts
         share = share.reshape(classes, each)
         total = share.sum(axis=1)
-        shapes = ((classes * each + 1, width), (2 * WINDOW * width, hidden), (hidden, classes), (classes, hidden, each))
-        embed, w1, w2, w3 = ((draw.standard_normal(s) / np.sqrt(s[-2] if k else 4)).astype(np.float32) for k, s in enumerate(shapes))
-        return cls([embed, w1, np.zeros(hidden, np.float32), w2 * 0.1, np.log(total / total.sum()).astype(np.float32), w3 * 0.1, np.log(share / total[:, None]).astype(np.float32)])
+        normal = lambda scale, *shape: draw.standard_normal(shape) * scale
+        embed, w1 = normal(0.5, classes * each + 1, width), normal((2 * WINDOW * width) ** -0.5, 2 * WINDOW * width + 1, hidden)
+        w2, w3 = (normal(0.1 * hidden**-0.5, *shape) for shape in ((hidden + 1, classes), (classes, hidden + 1, each)))
+        w1[-1], w2[-1], w3[:, -1] = 0, np.log(total / total.sum()), np.log(share / total[:, None])
+        return cls([w.astype(np.float32) for w in (embed, w1, w2, w3)])
 
     @property
     def border(self) -> int:
         """The number that stands before and after a text."""
         return len(self.weights[0]) - 1
 
+    @staticmethod
+    def _exp(z: np.ndarray, layer: np.ndarray) -> np.ndarray | float:
+        """Exponentials in place; what was taken off each row before, which is nothing as long as no value can overflow (inputs are at most 1)."""
+        top = 0.0
+        if np.abs(layer).sum(axis=-2).max() > 80:
+            top = z.max(axis=1)
+            z -= top[:, None]
+        np.exp(z, out=z)
+        return top
+
     def _forward(self, context: np.ndarray, token: np.ndarray):
         """Windows are taken in order of their token's class, which ``order`` gives."""
-        embed, w1, b1, w2, b2, w3, b3 = self.weights
+        embed, w1, w2, w3 = self.weights
         classes, _, each = w3.shape
         order = np.argsort((token // each).astype(np.uint16), kind="stable")
         context, token = context[order], token[order]
         kind, place = np.divmod(token, each)
         ends = np.searchsorted(kind, np.arange(classes + 1))
         rows = np.arange(len(token))
-        x = embed[context].reshape(len(token), -1)
-        h = np.tanh(x @ w1 + b1)
-        e = h @ w2 + b2
-        e -= e.max(axis=1, keepdims=True)
+        x = np.ones((len(token), len(w1)), embed.dtype)
+        x[:, :-1] = embed[context].reshape(len(token), -1)
+        h = np.ones((len(token), len(w2)), embed.dtype)
+        np.tanh(x @ w1, out=h[:, :-1])
+        e = h @ w2
         log = e[rows, kind]
-        np.exp(e, out=e)
+        log -= self._exp(e, w2)
         total = e.sum(axis=1)
         inner = np.empty((len(token), each), e.dtype)
         for k in range(classes):
             a, b = ends[k], ends[k + 1]
             if a < b:
                 np.matmul(h[a:b], w3[k], out=inner[a:b])
-                inner[a:b] += b3[k]
-        inner -= inner.max(axis=1, keepdims=True)
-        log = log + inner[rows, place]
-        np.exp(inner, out=inner)
+        log += inner[rows, place]
+        log -= self._exp(inner, w3)
         inner_total = inner.sum(axis=1)
-        log = log - np.log(total) - np.log(inner_total)
+        log -= np.log(total * inner_total)
         return order, context, kind, place, ends, x, h, e, total, inner, inner_total, log
 
     def log_probability(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -194,7 +219,7 @@ class Network:
 
     def gradient(self, context: np.ndarray, token: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
         """Of the mean loss, each window weighted by ``n``."""
-        embed, w1, _, w2, _, w3, _ = self.weights
+        embed, w1, w2, w3 = self.weights
         order, context, kind, place, ends, x, h, e, total, inner, inner_total, _ = self._forward(context, token)
         share = (n[order] / n.sum()).astype(embed.dtype)
         rows = np.arange(len(kind))
@@ -202,30 +227,30 @@ class Network:
         e[rows, kind] -= share
         inner *= (share / inner_total)[:, None]
         inner[rows, place] -= share
-        dh, d3, db3 = e @ w2.T, np.zeros_like(w3), np.zeros((len(w3), w3.shape[2]), w3.dtype)
+        dh, d3 = e @ w2.T, np.zeros_like(w3)
         for k in range(len(w3)):
             a, b = ends[k], ends[k + 1]
             if a < b:
                 np.matmul(h[a:b].T, inner[a:b], out=d3[k])
                 dh[a:b] += inner[a:b] @ w3[k].T
-                db3[k] = inner[a:b].sum(axis=0)
-        d2, db2 = h.T @ e, e.sum(axis=0)
-        dh *= 1 - h * h
-        dx = (dh @ w1.T).reshape(-1, embed.shape[1])
+        d2 = h.T @ e
+        dh, h = dh[:, :-1], h[:, :-1]
+        dh = dh * (1 - h * h)
+        dx = (dh @ w1[:-1].T).reshape(-1, embed.shape[1])
         flat = context.reshape(-1)
         de = np.stack([np.bincount(flat, dx[:, k], len(embed)) for k in range(dx.shape[1])], axis=1).astype(embed.dtype)
-        return [de, x.T @ dh, dh.sum(axis=0), d2, db2, d3, db3]
+        return [de, x.T @ dh, d2, d3]
 
-    def fit(self, context: np.ndarray, token: np.ndarray, n: np.ndarray, rate: float, batch: int = 2048) -> None:
-        """One pass of Adam over the windows in a fixed shuffled order."""
-        order = np.random.default_rng(11).permutation(len(token))
+    def fit(self, context: np.ndarray, token: np.ndarray, n: np.ndarray, rate: float, batch: int = 4096) -> None:
+        """One pass of Adam over the windows, neighbours in different batches of ``batch`` at most; slopes far below 1e-5 hardly count, so the last bits of sums do not spread."""
         mean, square = ([np.zeros_like(w) for w in self.weights] for _ in range(2))
-        for step, at in enumerate(range(0, len(order), batch), 1):
-            own = order[at : at + batch]
+        steps = -(-len(token) // batch)
+        for step in range(1, steps + 1):
+            own = slice(step - 1, None, steps)
             for w, g, m, v in zip(self.weights, self.gradient(context[own], token[own], n[own]), mean, square, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                w -= (rate / (1 - 0.9**step)) * m / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+                w -= (rate / (1 - 0.9**step)) * m / (np.sqrt(v / (1 - 0.99**step)) + 1e-5)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([w.reshape(-1) for w in self.weights])
@@ -241,14 +266,24 @@ class Network:
 def windows(ids: np.ndarray, sizes: np.ndarray, border: int) -> tuple[np.ndarray, np.ndarray]:
     """Contexts and tokens of texts that stand one after the other in ``ids``."""
     n = len(ids)
-    padded = np.full(n + WINDOW * (len(sizes) + 1), border, np.int64)
+    padded = np.full(n + WINDOW * (len(sizes) + 1), border, np.int32)
     at = np.arange(n) + np.repeat(WINDOW * np.arange(1, len(sizes) + 1), sizes)
     padded[at] = ids
-    return np.stack([padded[at + k] for k in range(-WINDOW, WINDOW + 1) if k], axis=1), padded[at]
+    return _around(padded, at)
+
+
+def _around(padded: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    context = np.empty((len(at), 2 * WINDOW), np.int32)
+    for column, k in enumerate(k for k in range(-WINDOW, WINDOW + 1) if k):
+        context[:, column] = padded[at + k]
+    return context, padded[at]
+
 
+def chunks(docs: DataFrame, known: Vocabulary, text_col: str = "text") -> DataFrame:
+    """``(key, ids, n)``: the tokens of all documents in chunks, with ``WINDOW`` more on either side, and how often each stands.
 
-def chunks(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(key, ids, n)``: the tokens of all documents in chunks, with ``WINDOW`` more on either side, and how often each stands."""
+    Equal texts have equal chunks, of which one stays with their number: a group of copies is no hot key.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +300,7 @@ def chunks(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.binary())], ["key", "ids"])
 
-    rows = bounded_batches(docs).select(F.xxhash64(F.col(id_col).cast("string"), text_col).alias("key"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "key bigint, ids binary").groupBy("key", "ids").agg(F.count("*").alias("n"))
 
 
@@ -278,10 +313,10 @@ def dealt(parts: DataFrame, slices: int, rounds: int) -> DataFrame:
 def _windows_of(parts: list[np.ndarray], n: list[int], border: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of chunks, each of which brings its own context, and their weights."""
     sizes = np.array([len(p) - 2 * WINDOW for p in parts])
-    whole = np.concatenate(parts).astype(np.int64)
+    whole = np.concatenate(parts).astype(np.int32)
     whole[whole == 0xFFFF] = border
     at = np.arange(sizes.sum()) + np.repeat(WINDOW * (2 * np.arange(len(parts)) + 1), sizes)
-    return np.stack([whole[at + k] for k in range(-WINDOW, WINDOW + 1) if k], axis=1), whole[at], np.repeat(np.array(n, np.float64), sizes)
+    return *_around(whole, at), np.repeat(np.array(n, np.float64), sizes)
 
 
 def train(groups: DataFrame, network: Network, rounds: int, rate: float = 0.02, blocks: int = 16) -> Network:
@@ -325,12 +360,12 @@ def train(groups: DataFrame, network: Network, rounds: int, rate: float = 0.02,
     return network
 
 
-def fit(docs: DataFrame, rounds: int = 8, slice_tokens: int = 1 << 21, size: int = 2048, hashed: int = 512, rate: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> tuple[Vocabulary, Network]:
+def fit(docs: DataFrame, rounds: int = 8, slice_tokens: int = 1 << 21, size: int = 2048, hashed: int = 512, rate: float = 0.02, text_col: str = "text") -> tuple[Vocabulary, Network]:
     """Vocabulary and network of all of ``docs``."""
     counted = materialize(count_words(docs, text_col), "pll-words")
     known = vocabulary(counted, size, hashed)
     slices = max(1, round(int(known.counts.sum()) / slice_tokens))
-    groups = dealt(chunks(docs, known, id_col, text_col), slices, rounds)
+    groups = dealt(chunks(docs, known, text_col), slices, rounds)
     path = shared_path(docs.sparkSession, "pll-chunks")
     groups.write.partitionBy("round").parquet(path)  # a round reads its own folder
     groups = docs.sparkSession.read.schema(groups.schema).parquet(path)
@@ -356,5 +391,5 @@ def score(docs: DataFrame, known: Vocabulary, network: Network, id_col: str = "d
 
 def fit_and_score(docs: DataFrame, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Count, train and score over all of ``docs``."""
-    known, network = fit(docs, rounds, id_col=id_col, text_col=text_col)
+    known, network = fit(docs, rounds, text_col=text_col)
     return score(docs, known, network, id_col, text_col)

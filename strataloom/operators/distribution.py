@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.operators.prefix import running_sums
+
 
 def pdf(values: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """``(*by, value, freq)``."""
@@ -18,6 +20,12 @@ def count_of_counts(rows: DataFrame, key: str) -> DataFrame:
 
 def cumulative(dist: DataFrame, by: list[str] = (), descending: bool = False) -> DataFrame:
     """A ``(value, freq)`` distribution with ``cum``, the running sum by value: cdf, or ccdf if descending."""
+    if not by:  # no key to deal the values by: ranges of them
+        whole = running_sums(dist, [], "value", {"freq": "cum"})
+        if not descending:
+            return whole
+        total = dist.agg(F.sum("freq").alias("__total"))
+        return whole.crossJoin(F.broadcast(total)).withColumn("cum", F.col("__total") - F.col("cum") + F.col("freq")).drop("__total")  # one row
     order = F.col("value").desc() if descending else F.col("value").asc()
     over = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return dist.withColumn("cum", F.sum("freq").over(over))
@@ -26,7 +34,9 @@ def cumulative(dist: DataFrame, by: list[str] = (), descending: bool = False) ->
 def dense(dist: DataFrame, by: list[str] = (), descending: bool = True) -> DataFrame:
     """The cumulative form at every whole value from 1 to the largest; values below 1 count at none."""
     top = dist.groupBy(*by).agg(F.max("value").alias("top")).where("top >= 1")
-    grid = top.select(*by, F.explode(F.expr("sequence(1L, cast(top as bigint))")).alias("value"))
+    # laid out in two steps, so that a long grid grows in many tasks
+    steps = top.select(*by, "top", F.explode(F.expr("sequence(0L, cast(top as bigint), 65536L)")).alias("begin")).repartition("begin")
+    grid = steps.select(*by, F.explode(F.expr("sequence(begin, least(begin + 65535, cast(top as bigint)))")).alias("value")).where("value >= 1")
     filled = grid.join(dist, [*by, "value"], "left").select(*by, "value", F.coalesce("freq", F.lit(0)).alias("freq"))
     return cumulative(filled, by, descending)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import text as tx
 from strataloom.operators.prefix import running_sums
+from strataloom.session import materialize
 
 
 def token_rows(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -14,8 +15,28 @@ def token_rows(docs: DataFrame, keys: list[str], text_col: str = "text") -> Data
     return docs.select(*keys, F.posexplode(tx.tokens(F.col(text_col))).alias("pos", "tok"))
 
 
-def term_document_frequency(docs: DataFrame, doc: str, by: list[str] = (), text_col: str = "text") -> DataFrame:
-    """``(*by, tok, tf, df)``. Counts within a document first, so the second shuffle gets a row for each document's term at most."""
+def _firsts(terms: Column) -> Column:
+    """Terms of one row in order, each with whether it is the first of its kind in the row."""
+
+    def marked(s: Column) -> Column:
+        return F.transform(s, lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get(s, i - 1) != x)).cast("int").alias("first")))
+
+    return F.get(F.transform(F.array(F.sort_array(terms)), marked), F.lit(0))
+
+
+def _by_row(docs: DataFrame, terms: Column, by: list[str], name: str, freq: str, rows: str) -> DataFrame:
+    """``(*by, name, freq, rows)``: how often a term stands and in how many rows, in one shuffle: a row marks its own first of each term."""
+    marked = docs.select(*by, F.explode(_firsts(terms)).alias("t"))
+    return marked.groupBy(*by, F.col("t.term").alias(name)).agg(F.count("*").alias(freq), F.sum("t.first").alias(rows))
+
+
+def term_document_frequency(docs: DataFrame, doc: str | None, by: list[str] = (), text_col: str = "text") -> DataFrame:
+    """``(*by, tok, tf, df)``; without ``doc`` each row is a document of its own, and one shuffle does.
+
+    With it, counts are taken within a document first, so the second shuffle gets a row for each document's term at most.
+    """
+    if doc is None:
+        return _by_row(docs, tx.tokens(F.col(text_col)), list(by), "tok", "tf", "df")
     each = token_rows(docs, [doc, *by], text_col).groupBy(doc, *by, "tok").agg(F.count("*").alias("n"))
     return each.groupBy(*by, "tok").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
 
@@ -25,10 +46,7 @@ def ngram_frequency(docs: DataFrame, n: int, by: list[str] = (), text_col: str =
     toks = tx.tokens(F.col(text_col))
     if keep is not None:
         toks = keep
-    numbered = docs.select(*by, F.monotonically_increasing_id().alias("__row"), tx.ngrams(toks, n).alias("__grams"))
-    grams = numbered.select(*by, "__row", F.explode("__grams").alias("ngram"))
-    each = grams.groupBy("__row", *by, "ngram").agg(F.count("*").alias("n"))
-    return each.groupBy(*by, "ngram").agg(F.sum("n").alias("freq"), F.count("*").alias("n_files"))
+    return _by_row(docs, tx.ngrams(toks, n), list(by), "ngram", "freq", "n_files")
 
 
 def document_counts(docs: DataFrame, by: list[str] = (), text_col: str = "text") -> DataFrame:
@@ -53,8 +71,10 @@ def heaps_by_document(docs: DataFrame, order: str, by: list[str], text_col: str
 
 
 def _heaps(docs: DataFrame, order: str, by: list[str], text_col: str) -> DataFrame:
-    rows = docs.select(order, *by, F.explode(tx.tokens(F.col(text_col))).alias("tok"))
-    sizes = docs.select(order, *by, F.size(tx.tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("n"))
+    toks = tx.tokens(F.coalesce(F.col(text_col), F.lit("")))
+    each = materialize(docs.select(order, *by, toks.alias("toks")).select(order, *by, F.size("toks").alias("n"), F.array_distinct("toks").alias("toks")), "heaps")  # read twice, cut once
+    rows = each.select(order, *by, F.explode("toks").alias("tok"))
+    sizes = each.select(order, *by, "n")
     first = rows.groupBy(*by, "tok").agg(F.min(order).alias(order)).groupBy(*by, order).agg(F.count("*").alias("new"))
     both = sizes.join(first, [*by, order], "left").select(*by, order, "n", F.coalesce("new", F.lit(0)).alias("new"))
     return running_sums(both, list(by), order, {"n": "total", "new": "uniq"})

@@ -30,14 +30,33 @@ def stream_token_counts(spark, sf_dir):
 
 @register("stream_vocab_growth", f"with {TOK} select lang, count(*) as total, count(distinct tok) as uniq from toks group by lang")
 def stream_vocab_growth(spark, sf_dir):
-    counts = jobs.drain(jobs.vocabulary_counts(_stream(spark, sf_dir, "documents"), "lang"), "complete")
-    return jobs.vocabulary_growth(counts, "lang")
+    """Where the growth of each language stands after the last batch."""
+    g = jobs.growth(_stream(spark, sf_dir, "documents"), "lang")
+    return g.groupBy("lang").agg(F.max_by("all_total", "batch").alias("total"), F.max_by("all_uniq", "batch").alias("uniq"))
+
+
+@register("stream_retractions", f"with t as (select doc_id, unnest(regexp_extract_all(trim(text), '{RX}', 0)) as tok from documents) select count(*) as total, count(distinct tok) as uniq from t where doc_id % 3 <> 0")
+def stream_retractions(spark, sf_dir):
+    """Every document comes, every third is taken away again: what is left after the last batch."""
+    docs = Tables(spark, sf_dir).documents.select("doc_id", "text", F.lit(1).alias("delta"))
+    taken = docs.where("doc_id % 3 = 0").withColumn("delta", F.lit(-1))
+    rows = jobs.landed(docs.unionAll(taken), 5).select(F.lit("all").alias("by"), F.explode(tx.tokens(F.col("text"))).alias("tok"), "delta")
+    g = jobs.changes(rows)
+    return g.agg(F.max_by("all_total", "batch").alias("total"), F.max_by("all_uniq", "batch").alias("uniq"))
+
+
+@register("stream_ngram_counts", f"with t as (select doc_id, unnest(regexp_extract_all(trim(text), '{RX}', 0)) as tok, unnest(range(0, len(regexp_extract_all(trim(text), '{RX}', 0)))) as pos from documents), g as (select concat_ws(':', tok, lead(tok) over w) as ngram, lead(tok) over w as nxt from t window w as (partition by doc_id order by pos)) select ngram, count(*) as freq from g where nxt is not null group by ngram")
+def stream_ngram_counts(spark, sf_dir):
+    return jobs.drain(jobs.ngram_counts(_stream(spark, sf_dir, "documents"), 2), "complete")
 
 
 @register("stream_arrival_gap", "with g as (select user_id, epoch(ts) - lag(epoch(ts)) over (partition by user_id order by ts) as gap from events) select user_id as key, count(*) as gaps, round(sum(gap), 3) as total_gap from g where gap is not null group by user_id")
 def stream_arrival_gap(spark, sf_dir):
-    rows = jobs.drain(jobs.arrival_gaps(_stream(spark, sf_dir, "events", 1000), "user_id", "ts"), "append")
-    return rows.groupBy("key").agg(F.count("*").alias("gaps"), F.round(F.sum("gap_seconds"), 3).alias("total_gap"))
+    """One file a batch, in no order of time; a last row far ahead in time closes the stream."""
+    events = Tables(spark, sf_dir).events.select("user_id", "ts")
+    closing = spark.createDataFrame([(None,)], "user_id bigint").select("user_id", F.lit("2100-01-01 00:00:00").cast(events.schema["ts"].dataType).alias("ts"))
+    rows = jobs.drain(jobs.arrival_gaps(jobs.landed(events, 4, 1, closing), "user_id", "ts", "400 days"), "append")
+    return rows.where("key is not null").groupBy("key").agg(F.count("*").alias("gaps"), F.round(F.sum("gap_seconds"), 3).alias("total_gap"))
 
 
 @register("window_counts", "select date_trunc('hour', ts) as start, count(*) as n from events group by 1")

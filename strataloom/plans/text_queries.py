@@ -36,7 +36,7 @@ def token_freq(spark, sf_dir):
 
 @register("doc_freq", f"with {TOK} select lang, tok, count(*) as tf, count(distinct doc_id) as df from toks group by lang, tok")
 def doc_freq(spark, sf_dir):
-    return fr.term_document_frequency(Tables(spark, sf_dir).documents, "doc_id", ["lang"])
+    return fr.term_document_frequency(Tables(spark, sf_dir).documents, None, ["lang"])
 
 
 @register("project_as_doc_freq", f"with {TOK} select tok, count(*) as tf, count(distinct source) as df from toks group by tok")

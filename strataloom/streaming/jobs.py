@@ -6,13 +6,17 @@ table, so that the same code serves a long-running query and a test.
 
 from __future__ import annotations
 
+import bisect
+import itertools
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strataloom.functions import text as tx
-from strataloom.session import shared_path
+from strataloom.session import drop_path, shared_path
 
 
 def source(spark: SparkSession, folder: str, like: DataFrame, files_per_trigger: int = 1) -> DataFrame:
@@ -20,24 +24,43 @@ def source(spark: SparkSession, folder: str, like: DataFrame, files_per_trigger:
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def landed(table: DataFrame, files: int = 4, files_per_trigger: int = 1) -> DataFrame:
-    """A table written to a folder of the shared place and read from there as a stream, some files at a time."""
+def landed(table: DataFrame, files: int = 4, files_per_trigger: int = 1, closing: DataFrame | None = None) -> DataFrame:
+    """A table written to a folder of the shared place and read from there as a stream, some files at a time; ``closing`` rows come last."""
     folder = shared_path(table.sparkSession, "stream-in")
     table.repartition(files).write.parquet(folder)
+    if closing is not None:
+        closing.select(*table.columns).coalesce(1).write.mode("append").parquet(folder)
     return source(table.sparkSession, folder, table, files_per_trigger)
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that is available; in append mode the rows, in complete mode the last table."""
+    """Run a stream over all that is available; in append mode the rows, in complete mode the last table.
+
+    Each batch overwrites a folder of its own number, so a batch that is run again after a failure doubles nothing.
+    """
+    path, last = run_batches(stream, mode, lambda batch, folder, _: batch.write.mode("overwrite").parquet(folder))
+    spark = stream.sparkSession
+    if last is None:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "append":
+        return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(path)
+    return spark.read.schema(stream.schema).parquet(f"{path}/{last:09d}")
+
+
+def run_batches(stream: DataFrame, mode: str, work: Callable[[DataFrame, str, int], None]) -> tuple[str, int | None]:
+    """Run ``work(batch, folder of its number, number)`` over all that is available; the common folder and the last number."""
     spark = stream.sparkSession
     path, state = shared_path(spark, "stream-out"), shared_path(spark, "stream-state")
+    last: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(path)
+        work(batch, f"{path}/{number:09d}", number)
+        last.append(number)
 
     query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    drop_path(spark, state)
+    return path, max(last, default=None)
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -60,21 +83,66 @@ def vocabulary_growth(counts: DataFrame, by: str) -> DataFrame:
 
 
 def arrival_gaps(events: DataFrame, key: str, ts: str, delay: str = "1 hour") -> DataFrame:
-    """``(key, ts, gap_seconds)``: time since the key's event before, state holding the last one."""
+    """``(key, ts, gap_seconds)``: time since the key's event before, in order of time whatever the order of arrival.
+
+    An event waits in the key's state until the watermark, ``delay`` behind the latest event, has passed it, so
+    events that come up to ``delay`` late still stand in their place; later ones are dropped. The state holds the
+    last event given out and those that wait. Times are whole microseconds.
+    """
     kind = events.schema[key].dataType.simpleString()
 
     def step(keys, batches, state: GroupState):
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("ts")
-        gaps = []
-        for t in rows["ts"]:
-            gaps.append(None if last is None else t.timestamp() - last)
-            last = t.timestamp()
-        state.update((last,))
-        yield pd.DataFrame({"key": keys[0], "ts": rows["ts"], "gap_seconds": gaps}).dropna()
-
-    rows = events.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", delay)
-    return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, ts timestamp, gap_seconds double", "last double", "append", GroupStateTimeout.NoTimeout)
+        last, waiting = state.get if state.exists else (None, [])
+        mark = state.getCurrentWatermarkMs() * 1000
+        waiting = [*waiting]
+        if not state.hasTimedOut:
+            for rows in batches:
+                waiting += [t for t in rows["at"].tolist() if t > mark]
+        waiting.sort()
+        ready = bisect.bisect_right(waiting, mark)
+        given = ([] if last is None else [last]) + waiting[:ready]
+        last, waiting = (given[-1] if given else None), waiting[ready:]
+        state.update((last, waiting))
+        if waiting:  # comes back once the watermark has passed the first
+            state.setTimeoutTimestamp(waiting[0] // 1000 + 1)
+        yield pd.DataFrame({"key": [keys[0]] * (len(given) - 1), "at": given[1:], "gap_seconds": [(b - a) / 1e6 for a, b in itertools.pairwise(given)]})
+
+    t = F.col(ts).cast("timestamp")
+    rows = events.select(F.col(key).alias("key"), t.alias("ts"), F.unix_micros(t).alias("at")).withWatermark("ts", delay)
+    gaps = rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, at bigint, gap_seconds double", "last bigint, waiting array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return gaps.select("key", F.timestamp_micros("at").alias("ts"), "gap_seconds")
+
+
+def growth(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
+    """``(by, batch, total, uniq, all_total, all_uniq)``: tokens and new tokens of each batch of a stream, and both up to it.
+
+    What was seen is a table of tokens in the shared folder, a folder for each batch, which a batch that runs again
+    overwrites; a batch's tokens meet it in one join.
+    """
+    return changes(docs.select(F.col(by).alias("by"), F.explode(tx.tokens(F.col(text))).alias("tok"), F.lit(1).alias("delta"))).withColumnRenamed("by", by)
+
+
+def changes(rows: DataFrame) -> DataFrame:
+    """The same for a stream of signed changes ``(by, tok, delta)``: a token counts as long as its sum is above 0."""
+    spark = rows.sparkSession
+    seen = shared_path(spark, "stream-seen")
+    kind = f"by {rows.schema['by'].dataType.simpleString()}, tok string, n bigint"
+
+    def work(batch: DataFrame, folder: str, number: int) -> None:
+        own = batch.groupBy("by", "tok").agg(F.sum("delta").alias("n"))
+        own.write.mode("overwrite").parquet(f"{seen}/batch={number}")
+        own = spark.read.schema(kind).parquet(f"{seen}/batch={number}")
+        before = spark.read.schema(f"{kind}, batch bigint").parquet(seen).where(F.col("batch") < number).groupBy("by", "tok").agg(F.sum("n").alias("m"))
+        now = own.join(before, ["by", "tok"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
+        step = (F.col("m") + F.col("n") > 0).cast("int") - (F.col("m") > 0).cast("int")
+        now.groupBy("by").agg(F.sum("n").alias("total"), F.sum(step).alias("uniq")).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(folder)
+
+    path, last = run_batches(rows, "append", work)
+    schema = f"by {rows.schema['by'].dataType.simpleString()}, total bigint, uniq bigint, batch int"
+    out = spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+    drop_path(spark, seen)
+    over = Window.partitionBy("by").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)  # a row for each batch
+    return out.select("by", "batch", "total", "uniq", F.sum("total").over(over).alias("all_total"), F.sum("uniq").over(over).alias("all_uniq"))
 
 
 def tumbling_counts(events: DataFrame, ts: str, width: str = "1 hour", delay: str = "1 day") -> DataFrame:
