@@ -12,7 +12,6 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import regex
-import xxhash
 from pyspark.sql import functions as F
 
 from strataloom.llm import automaton, bpe, decontaminate, langid, licenses, minhash, pseudolikelihood, secrets, simhash, simhash_similar, tokenpack, urlfilter
@@ -394,16 +393,18 @@ def lm_words(text):
 
 def test_words_are_counted_and_numbered(spark, docs):
     texts = [text_of(r) for r in cases.rows()] + ["Un été, deux_mots! 日本語。\u00a0x", "don't 3.14"]
-    coded, sizes = pseudolikelihood.words(pa.array(texts))
+    different, at, sizes = pseudolikelihood.words(pa.array(texts))
     plain = [lm_words(t) for t in texts]
-    assert coded.to_pylist() == [w for ws in plain for w in ws] and sizes.tolist() == [*map(len, plain)]
+    assert different.take(pa.array(at)).to_pylist() == [w for ws in plain for w in ws] and sizes.tolist() == [*map(len, plain)]
+    assert len(set(pseudolikelihood.hashes(different).tolist())) == len(different)
+    assert pseudolikelihood.hashes(different[3:9]).tolist() == pseudolikelihood.hashes(different).tolist()[3:9]
     counted = pseudolikelihood.count_words(docs)
     counts = Counter(w for r in cases.rows() for w in lm_words(text_of(r)))
     assert {r.word: r.n for r in counted.collect()} == counts
     known = pseudolikelihood.vocabulary(counted, 64, 16)
     best = sorted((w for w in counts if len(w.encode()) <= 64), key=lambda w: (-counts[w], w.encode()))[:48]
     place = {w: k for k, w in enumerate(best)}
-    number = lambda w: place.get(w, 48 + xxhash.xxh64_intdigest(w, 42) % 16)
+    number = lambda w: place.get(w, 48 + int(pseudolikelihood.hashes(pa.array([w]))[0]) % 16)
     assert known.known.to_pylist() == best
     assert known.counts.tolist() == [sum(n for w, n in counts.items() if number(w) == k) for k in range(64)]
     assert known.encode(pa.array(texts))[0].tolist() == [number(w) for ws in plain for w in ws]
@@ -421,12 +422,12 @@ def test_pseudolikelihood_scores(spark, docs):
     for doc_id in (0, 7, 17, 18):  # one token at a time, by the definition of the network
         ids = known.encode(pa.array([rows[doc_id]]))[0].tolist()
         around = [network.border] * 2 + ids + [network.border] * 2
-        embed, w1, b1, w2, b2, w3, b3 = (w.astype(float) for w in network.weights)
+        embed, w1, w2, w3 = (w.astype(float) for w in network.weights)
         total = 0.0
         for k, token in enumerate(ids[:3000]):
-            h = np.tanh(np.concatenate([embed[around[k + j]] for j in (0, 1, 3, 4)]) @ w1 + b1)
+            h = np.tanh(np.concatenate([embed[around[k + j]] for j in (0, 1, 3, 4)]) @ w1[:-1] + w1[-1])
             kind, place = divmod(token, w3.shape[2])
-            outer, inner = h @ w2 + b2, h @ w3[kind] + b3[kind]
+            outer, inner = h @ w2[:-1] + w2[-1], h @ w3[kind][:-1] + w3[kind][-1]
             total += outer[kind] - np.log(np.exp(outer).sum()) + inner[place] - np.log(np.exp(inner).sum())
         if len(ids) <= 3000:
             assert by_id[doc_id].n_tokens == len(ids) and abs(by_id[doc_id].pll - total) < 0.01
@@ -455,7 +456,7 @@ def test_training_is_the_same_on_any_partitions_and_in_one_process(spark):
                 context, token, n = pseudolikelihood._windows_of([i for i, _ in groups[r, s]], [n for _, n in groups[r, s]], plain.border)
                 own = plain.filled(plain.flat())
                 own.fit(context, token, n, 0.02 / (1 + r / 2))
-                weight = -(-len(token) // 1024)
+                weight = -(-int(n.sum()) // 1024)
                 total, units = total + np.rint(own.flat().astype(float) * 2**24).astype(int) * weight, units + weight
         plain = plain.filled(total / (units * 2**24))
     ids, sizes = known.encode(pa.array([r.text for r in docs.collect()]))
