@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.operators.prefix import running_sums
+
 
 def line(points: DataFrame, x: Column, y: Column, by: list[str] = ()) -> DataFrame:
     """Least squares of y on x: slope, intercept, r2 and the number of points."""
@@ -68,6 +70,87 @@ def power_law_mle(dist: DataFrame, xmin: float) -> DataFrame:
     return s.select("n", "alpha", "mu", "sigma", power.alias("loglik_power"), lognormal.alias("loglik_lognormal"))
 
 
+def power_law_scan(dist: DataFrame, least_tail: int = 10) -> DataFrame:
+    """``(xmin, n, alpha, ks)`` for every value as the lower bound of a power law, and which has the least KS distance.
+
+    Exponents come from sums over each tail; the distance is the largest gap between the tail's distribution and the
+    law, on either side of each step. The table of different values meets itself once, so it should be binned first
+    where values are many. Tails of fewer than ``least_tail`` points are left out.
+    """
+    d = dist.select(F.col("value").cast("double").alias("value"), "freq").where("value > 0")
+    tail = d.select(F.col("value").alias("xmin")).join(d, F.col("value") >= F.col("xmin"))
+    sums = tail.groupBy("xmin").agg(F.sum("freq").alias("n"), F.sum(F.log(F.col("value") / F.col("xmin")) * F.col("freq")).alias("s")).where((F.col("n") >= least_tail) & (F.col("s") > 0))
+    fitted = sums.select("xmin", "n", (1 + F.col("n") / F.col("s")).alias("alpha"))
+    up = Window.partitionBy("xmin").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    steps = tail.join(fitted, "xmin").withColumn("cum", F.sum("freq").over(up) / F.col("n")).withColumn("before", F.col("cum") - F.col("freq") / F.col("n"))
+    law = 1 - F.pow(F.col("value") / F.col("xmin"), 1 - F.col("alpha"))
+    ks = steps.groupBy("xmin").agg(F.max(F.greatest(F.abs(F.col("cum") - law), F.abs(F.col("before") - law))).alias("ks"))
+    scan = fitted.join(ks, "xmin")
+    least = scan.agg(F.min(F.struct(F.round("ks", 12), "xmin")).alias("m"))  # one row
+    return scan.crossJoin(F.broadcast(least)).select("xmin", "n", "alpha", "ks", (F.col("xmin") == F.col("m.xmin")).alias("best"))
+
+
+def pareto_ml(dist: DataFrame, steps: int = 400) -> DataFrame:
+    """``(shape, scale, loglik)``: a generalised Pareto law by maximum likelihood, over a grid of the one free parameter.
+
+    With t = shape / scale the best shape is the mean of ln(1 + t x), so one pass sums it for every t of a grid, whose
+    range follows from the largest value and the mean.
+    """
+    d = dist.select(F.col("value").cast("double").alias("x"), "freq").where("x > 0")
+    s = d.agg(F.max("x").alias("top"), (F.sum(F.col("x") * F.col("freq")) / F.sum("freq")).alias("mean"), F.sum("freq").alias("n"))  # one row
+    low, high = -0.999 / F.col("top"), 10 / F.col("mean")
+    t = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: low + (high - low) * k / steps)).alias("t")
+    grid = d.crossJoin(F.broadcast(s.select("n", t)))  # steps + 1 rows
+    k = grid.where(F.abs("t") > 1e-12).groupBy("t", "n").agg((F.sum(F.log(1 + F.col("t") * F.col("x")) * F.col("freq")) / F.first("n")).alias("shape"))
+    k = k.withColumn("scale", F.col("shape") / F.col("t")).where("scale > 0 and shape > -0.5")
+    like = k.withColumn("loglik", -F.col("n") * (F.log("scale") + F.col("shape") + 1))
+    return like.agg(F.max_by(F.struct("shape", "scale", "loglik"), F.struct(F.round("loglik", 9), "t")).alias("r")).select("r.*")
+
+
+def least_squares_rate(dist: DataFrame) -> DataFrame:
+    """``(rate, scale)``: an exponential law by least squares of the logarithm of the ccdf."""
+    over = Window.orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, 0)  # a row for each different value
+    c = dist.withColumn("ccdf", F.sum("freq").over(over) / F.sum("freq").over(Window.partitionBy(F.lit(1))))
+    return c.agg((-F.regr_slope(F.log("ccdf"), F.col("value").cast("double"))).alias("rate"), F.exp(F.regr_intercept(F.log("ccdf"), F.col("value").cast("double"))).alias("scale"))
+
+
+def four_laws(points: DataFrame, x: str, y: str) -> DataFrame:
+    """``(law, a, b, chi2, r2)`` of y = a + b x, a x^b, a + b ln x and a e^(b x); chi2 is the sum of squared misses of y, points must be positive."""
+    p = points.where((F.col(x) > 0) & (F.col(y) > 0)).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    forms = {"linear": ("x", "y"), "power": ("ln(x)", "ln(y)"), "log": ("ln(x)", "y"), "exp": ("x", "ln(y)")}
+    long = p.select(F.explode(F.array(*(F.struct(F.lit(k).alias("law"), F.expr(u).alias("u"), F.expr(v).alias("v"), F.col("y").alias("y")) for k, (u, v) in forms.items()))).alias("r")).select("r.*")
+    fits = long.groupBy("law").agg(F.regr_intercept("v", "u").alias("c"), F.regr_slope("v", "u").alias("b"), F.regr_r2("v", "u").alias("r2"))
+    value = F.col("c") + F.col("b") * F.col("u")
+    miss = F.col("y") - F.when(F.col("law").isin("power", "exp"), F.exp(value)).otherwise(value)
+    errors = long.join(F.broadcast(fits), "law").groupBy("law").agg(F.sum(miss * miss).alias("chi2"))  # four rows
+    return fits.join(errors, "law").select("law", F.when(F.col("law").isin("power", "exp"), F.exp("c")).otherwise(F.col("c")).alias("a"), "b", "chi2", "r2")
+
+
+def welch(rows: DataFrame, value: str, group: Column) -> DataFrame:
+    """``(t, dof)`` of Welch's test between the rows where ``group`` is true and the others."""
+    s = rows.select(F.col(value).cast("double").alias("v"), group.alias("g")).where("g is not null")
+    own = lambda g: F.when(F.col("g") == g, F.col("v"))
+    m = s.agg(*(f(own(g)).alias(f"{n}{k}") for k, g in ((1, True), (0, False)) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))))
+    a, b = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0")
+    return m.select(((F.col("m1") - F.col("m0")) / F.sqrt(a + b)).alias("t"), ((a + b) * (a + b) / (a * a / (F.col("n1") - 1) + b * b / (F.col("n0") - 1))).alias("dof"))
+
+
+def kolmogorov_smirnov(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(d, n, m)``: the largest gap between two distributions ``(value, freq)``."""
+    both = left.select("value", F.col("freq").alias("a"), F.lit(0).alias("b")).unionAll(right.select("value", F.lit(0).alias("a"), F.col("freq").alias("b"))).groupBy("value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    cum = running_sums(both, [], "value", {"a": "ca", "b": "cb"})
+    total = both.agg(F.sum("a").alias("n"), F.sum("b").alias("m"))  # one row
+    return cum.crossJoin(F.broadcast(total)).agg(F.max(F.abs(F.col("ca") / F.col("n") - F.col("cb") / F.col("m"))).alias("d"), F.first("n").alias("n"), F.first("m").alias("m"))
+
+
+def plane(rows: DataFrame, x1: str, x2: str, y: str) -> DataFrame:
+    """``(b0, b1, b2)`` of least squares on two columns, from their covariances."""
+    s = rows.agg(*(F.covar_pop(p, q).alias(n) for n, p, q in (("s11", x1, x1), ("s22", x2, x2), ("s12", x1, x2), ("s1", x1, y), ("s2", x2, y))), F.avg(x1).alias("m1"), F.avg(x2).alias("m2"), F.avg(y).alias("m"))
+    d = F.col("s11") * F.col("s22") - F.col("s12") * F.col("s12")
+    s = s.withColumn("b1", (F.col("s1") * F.col("s22") - F.col("s2") * F.col("s12")) / d).withColumn("b2", (F.col("s2") * F.col("s11") - F.col("s1") * F.col("s12")) / d)
+    return s.select((F.col("m") - F.col("b1") * F.col("m1") - F.col("b2") * F.col("m2")).alias("b0"), "b1", "b2")
+
+
 def sample_fits(values: DataFrame, value: str) -> DataFrame:
     """Closed-form fits: exponential and Poisson rates, lognormal parameters, generalised Pareto by moments."""
     v = F.col(value).cast("double")

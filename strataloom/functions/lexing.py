@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.functions.text import PAIR_OPERATORS
+from strataloom.functions.text import PAIR_OPERATORS, tokens
 
 _PAIRS = frozenset(PAIR_OPERATORS)
 _MARKS = "+-*/%=<>!&|^~()[]{}.,:;@?"
@@ -63,18 +64,77 @@ def tokenise_scripts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return arrays.select("id", F.posexplode("toks").alias("pos", "tok"))
 
 
-def lexed(docs: DataFrame, id_col: str, text_col: str, language: str = "python") -> DataFrame:
-    """``(id, pos, tok_class, tok)`` by syntax class (Pygments); blank tokens are dropped."""
+#: The languages that are lexed, with the names of their lexers.
+LEXERS = {
+    "ada": "ada",
+    "asm": "nasm",
+    "c": "c",
+    "c++": "cpp",
+    "erlang": "erlang",
+    "fortran": "fortran",
+    "haskell": "haskell",
+    "java": "java",
+    "lisp": "common-lisp",
+    "lua": "lua",
+    "matlab": "matlab",
+    "newlisp": "newlisp",
+    "octave": "octave",
+    "pl": "perl",
+    "py": "python",
+    "rb": "ruby",
+    "php": "php",
+    "sml": "sml",
+}
+
+
+def can_lex() -> bool:
+    """Is the lexer library there?"""
+    return importlib.util.find_spec("pygments") is not None
+
+
+def lexed(docs: DataFrame, id_col: str, text_col: str, language_col: str) -> DataFrame:
+    """``(id, language, pos, tok_class, tok)`` by syntax class, each row by its own language's lexer.
+
+    Blank tokens are dropped; rows of a language without a lexer give none.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pygments.lexers import get_lexer_by_name
 
-        lexer = get_lexer_by_name(language)
+        lexers: dict = {}
         shape = pa.list_(pa.struct([("tok_class", pa.string()), ("tok", pa.string())]))
         for batch in batches:
-            rows = [[{"tok_class": str(c), "tok": v} for c, v in lexer.get_tokens(t or "") if v.strip()] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, shape)], ["id", "toks"])
-
-    arrays = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, toks array<struct<tok_class:string,tok:string>>")
-    return arrays.select("id", F.posexplode("toks").alias("pos", "t")).select("id", "pos", "t.tok_class", "t.tok")
+            for k in range(batch.num_rows):  # a row at a time: its tokens may be many
+                language, text = batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
+                if language not in lexers:
+                    lexers[language] = get_lexer_by_name(LEXERS[language])
+                toks = [{"tok_class": str(c), "tok": v} for c, v in lexers[language].get_tokens(text or "") if v.strip()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([toks], shape)], ["id", "language", "toks"])
+
+    known = docs.select(id_col, language_col, text_col).where(F.col(language_col).isin(*LEXERS))
+    arrays = known.mapInArrow(run, f"id {kind}, language string, toks array<struct<tok_class:string,tok:string>>")
+    return arrays.select("id", "language", F.posexplode("toks").alias("pos", "t")).select("id", "language", "pos", "t.tok_class", "t.tok")
+
+
+def resplit(toks: DataFrame) -> DataFrame:
+    """``lexed`` rows cut again by the naive tokenizer, each part with its token's class."""
+    return toks.select("id", "language", "tok_class", F.explode(tokens(F.col("tok"))).alias("tok"))
+
+
+#: Named groups of syntax classes by what their names begin with; ``all`` takes any.
+CLASS_GROUPS = {
+    "all": ("Token",),
+    "comment": ("Token.Comment",),
+    "literal": ("Token.Literal",),
+    "program": ("Token.Keyword", "Token.Name"),
+    "program_operator": ("Token.Keyword", "Token.Name", "Token.Operator"),
+}
+
+
+def class_group_counts(parts: DataFrame) -> DataFrame:
+    """``(language, group, uniq, total)`` of ``resplit`` rows: different tokens of each group of classes, and all of them."""
+    counted = parts.groupBy("language", "tok_class", "tok").agg(F.count("*").alias("n"))
+    inside = [F.when(F.col("tok_class").rlike("^(" + "|".join(p.replace(".", "[.]") for p in prefixes) + ")"), F.lit(name)) for name, prefixes in CLASS_GROUPS.items()]
+    grouped = counted.select("language", "tok", "n", F.explode(F.array_compact(F.array(*inside))).alias("group"))
+    return grouped.groupBy("language", "group", "tok").agg(F.sum("n").alias("n")).groupBy("language", "group").agg(F.count("*").alias("uniq"), F.sum("n").alias("total"))

@@ -98,6 +98,32 @@ def snapshots(docs: DataFrame, order: str, by: list[str], thresholds: list[int],
     return reached.groupBy(*by, "threshold").agg(F.min_by(F.struct(order, "total", "uniq"), order).alias("s")).select(*by, "threshold", "s.*")
 
 
+def snapshot_frequency(docs: DataFrame, order: str, shares: list[float], text_col: str = "text") -> DataFrame:
+    """``(share, tok, tf, df)`` over the documents up to each share of the largest ``order``.
+
+    A document's terms are counted once, with the first snapshot that holds it; a running sum over the few
+    snapshots of each term does the rest.
+    """
+    top = docs.agg(F.max(order).alias("top"))  # one row
+    held = [F.when(F.col(order) <= F.lit(s) * F.col("top"), F.lit(k)) for k, s in enumerate(sorted(shares))]
+    first = docs.crossJoin(F.broadcast(top)).select(F.coalesce(*held).alias("k"), text_col).where("k is not null")
+    each = _by_row(first, tx.tokens(F.col(text_col)), ["k"], "tok", "tf", "df")
+    levels = F.array(*(F.struct(F.lit(float(s)).alias("share"), F.lit(k).alias("at")) for k, s in enumerate(sorted(shares))))
+    seen = each.select("tok", "tf", "df", F.explode(F.filter(levels, lambda x: x["at"] >= F.col("k"))).alias("s"))
+    return seen.groupBy(F.col("s.share").alias("share"), "tok").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
+def snapshot_vocabulary(docs: DataFrame, order: str, text_col: str = "text") -> DataFrame:
+    """``(order, uniq_all, n_all, uniq_program, n_program)`` after each document, from one cut of the texts."""
+    toks = tx.tokens(F.coalesce(F.col(text_col), F.lit("")))
+    each = materialize(docs.select(order, toks.alias("toks")).select(order, F.size("toks").alias("n"), F.size(F.filter("toks", tx.is_entity)).alias("p"), F.array_distinct("toks").alias("toks")), "snapshots")
+    first = each.select(order, F.explode("toks").alias("tok")).groupBy("tok").agg(F.min(order).alias(order))
+    new = first.groupBy(order).agg(F.count("*").alias("new"), F.count_if(tx.is_entity(F.col("tok"))).alias("new_p"))
+    both = each.select(order, "n", "p").join(new, order, "left").select(order, "n", "p", F.coalesce("new", F.lit(0)).alias("new"), F.coalesce("new_p", F.lit(0)).alias("new_p"))
+    names = {"new": "uniq_all", "n": "n_all", "new_p": "uniq_program", "p": "n_program"}
+    return running_sums(both, [], order, names).select(order, *names.values())
+
+
 def vocabulary_with_retractions(changes: DataFrame, order: str, tok: str = "tok", delta: str = "delta") -> DataFrame:
     """``(order, uniq, total)`` under signed changes of token counts.
 

@@ -191,6 +191,65 @@ def column_statistics(spark, sf_dir):
     return li.agg(F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.round(F.stddev_samp("l_extendedprice"), 4).alias("sd"), F.round(F.percentile("l_quantity", 0.5), 4).alias("median"), F.round(F.percentile("l_quantity", 0.9), 4).alias("p90"), F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"), F.round(F.regr_r2("l_extendedprice", "l_quantity"), 6).alias("r2"))
 
 
+_TAILS = "p as (select cast(value as double) as value, freq from d where value > 0), t as (select a.value as xmin, b.value, b.freq from p a join p b on b.value >= a.value), s as (select xmin, sum(freq) as n, sum(ln(value / xmin) * freq) as s from t group by xmin having sum(freq) >= 10 and sum(ln(value / xmin) * freq) > 0), f as (select xmin, n, 1 + n / s as alpha from s), c as (select t.xmin, n, alpha, value, sum(freq) over (partition by t.xmin order by value) / n as cum, freq / cast(n as double) as own from t join f on f.xmin = t.xmin), k as (select xmin, max(greatest(abs(cum - (1 - power(value / xmin, 1 - alpha))), abs(cum - own - (1 - power(value / xmin, 1 - alpha))))) as ks from c group by xmin)"
+
+
+@register("power_law_scan", oracle(f"with {PDF}, {_TAILS} select f.xmin, n, round(alpha, 6) as alpha, round(ks, 6) as ks, row_number() over (order by round(ks, 12), f.xmin) = 1 as best from f join k on k.xmin = f.xmin"))
+def power_law_scan(spark, sf_dir):
+    """Every lower bound of a power law, and the one of least distance."""
+    s = fit.power_law_scan(_dist(spark, sf_dir))
+    return s.select("xmin", "n", F.round("alpha", 6).alias("alpha"), F.round("ks", 6).alias("ks"), "best")
+
+
+@register("pareto_ml", oracle(f"with {PDF}, p as (select cast(value as double) as x, freq from d where value > 0), s as (select max(x) as top, sum(x * freq) / sum(freq) as mean, sum(freq) as n from p), g as (select -0.999 / top + (10 / mean + 0.999 / top) * i / 400 as t, n from s, range(0, 401) r(i)), k as (select t, n, sum(ln(1 + t * x) * freq) / n as shape from p, g where abs(t) > 1e-12 group by t, n), l as (select t, shape, shape / t as scale, -n * (ln(shape / t) + shape + 1) as loglik from k where shape / t > 0 and shape > -0.5) select round(shape, 6) as shape, round(scale, 6) as scale, round(loglik, 4) as loglik from l order by round(l.loglik, 9) desc, t desc limit 1"))
+def pareto_ml(spark, sf_dir):
+    f = fit.pareto_ml(_dist(spark, sf_dir))
+    return f.select(F.round("shape", 6).alias("shape"), F.round("scale", 6).alias("scale"), F.round("loglik", 4).alias("loglik"))
+
+
+@register("exponential_least_squares", oracle(f"with {PDF}, c as (select value, sum(freq) over (order by value desc) / cast(sum(freq) over () as double) as ccdf from d) select round(-regr_slope(ln(ccdf), value), 9) as rate, round(exp(regr_intercept(ln(ccdf), value)), 6) as scale from c"))
+def exponential_least_squares(spark, sf_dir):
+    f = fit.least_squares_rate(_dist(spark, sf_dir))
+    return f.select(F.round("rate", 9).alias("rate"), F.round("scale", 6).alias("scale"))
+
+
+@register("four_laws", oracle(f"with {PDF}, p as (select cast(value as double) as x, cast(freq as double) as y from d where value > 0 and freq > 0), l as (select 'linear' as law, x as u, y as v, y from p union all select 'power', ln(x), ln(y), y from p union all select 'log', ln(x), y, y from p union all select 'exp', x, ln(y), y from p), f as (select law, regr_intercept(v, u) as c, regr_slope(v, u) as b, regr_r2(v, u) as r2 from l group by law), e as (select law, sum(power(y - case when law in ('power', 'exp') then exp(c + b * u) else c + b * u end, 2)) as chi2 from l join f using (law) group by law) select law, round(case when law in ('power', 'exp') then exp(c) else c end, 4) as a, round(b, 6) as b, round(chi2, 3) as chi2, round(r2, 6) as r2 from f join e using (law)"))
+def four_laws(spark, sf_dir):
+    f = fit.four_laws(_dist(spark, sf_dir), "value", "freq")
+    return f.select("law", F.round("a", 4).alias("a"), F.round("b", 6).alias("b"), F.round("chi2", 3).alias("chi2"), F.round("r2", 6).alias("r2"))
+
+
+@register("distribution_entropy", oracle(f"with {PDF}, t as (select sum(freq) as n from d) select round(-sum(freq / cast(n as double) * log2(freq / cast(n as double))), 6) as entropy, count(*) as kinds from d, t"))
+def distribution_entropy(spark, sf_dir):
+    d = _dist(spark, sf_dir)
+    p = F.col("freq") / F.col("n")
+    return d.crossJoin(F.broadcast(d.agg(F.sum("freq").alias("n")))).agg(F.round(-F.sum(p * F.log2(p)), 6).alias("entropy"), F.count("*").alias("kinds"))  # one row
+
+
+@register("welch_test", """with s as (select avg(l_extendedprice) filter (where l_returnflag = 'R') as m1, var_samp(l_extendedprice) filter (where l_returnflag = 'R') as v1, count(l_extendedprice) filter (where l_returnflag = 'R') as n1,
+ avg(l_extendedprice) filter (where l_returnflag <> 'R') as m0, var_samp(l_extendedprice) filter (where l_returnflag <> 'R') as v0, count(l_extendedprice) filter (where l_returnflag <> 'R') as n0 from lineitem)
+ select round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) as t, round(power(v1 / n1 + v0 / n0, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v0 / n0, 2) / (n0 - 1)), 3) as dof from s""")
+def welch_test(spark, sf_dir):
+    w = fit.welch(Tables(spark, sf_dir).lineitem, "l_extendedprice", F.col("l_returnflag") == "R")
+    return w.select(F.round("t", 6).alias("t"), F.round("dof", 3).alias("dof"))
+
+
+@register("kolmogorov_smirnov", """with c as (select l_quantity as value, count(*) filter (where l_returnflag = 'R') as a, count(*) filter (where l_returnflag = 'N') as b from lineitem group by 1), r as (select sum(a) over (order by value) as ca, sum(b) over (order by value) as cb, sum(a) over () as n, sum(b) over () as m from c)
+ select round(max(abs(ca / cast(n as double) - cb / cast(m as double))), 9) as d, max(n) as n, max(m) as m from r""")
+def kolmogorov_smirnov(spark, sf_dir):
+    li = Tables(spark, sf_dir).lineitem
+    k = fit.kolmogorov_smirnov(ds.pdf(li.where("l_returnflag = 'R'"), "l_quantity"), ds.pdf(li.where("l_returnflag = 'N'"), "l_quantity"))
+    return k.select(F.round("d", 9).alias("d"), "n", "m")
+
+
+@register("plane_fit", """with s as (select var_pop(l_quantity) as s11, var_pop(l_discount) as s22, covar_pop(l_quantity, l_discount) as s12, covar_pop(l_quantity, l_extendedprice) as s1, covar_pop(l_discount, l_extendedprice) as s2, avg(l_quantity) as m1, avg(l_discount) as m2, avg(l_extendedprice) as m from lineitem),
+ b as (select *, (s1 * s22 - s2 * s12) / (s11 * s22 - s12 * s12) as b1, (s2 * s11 - s1 * s12) / (s11 * s22 - s12 * s12) as b2 from s) select round(m - b1 * m1 - b2 * m2, 3) as b0, round(b1, 5) as b1, round(b2, 3) as b2 from b""")
+def plane_fit(spark, sf_dir):
+    li = Tables(spark, sf_dir).lineitem.select(*(F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount", "l_extendedprice")))
+    p = fit.plane(li, "l_quantity", "l_discount", "l_extendedprice")
+    return p.select(F.round("b0", 3).alias("b0"), F.round("b1", 5).alias("b1"), F.round("b2", 3).alias("b2"))
+
+
 _ALPHAS = [0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.4, 1.5]
 _GAMMA = "a as (select unnest([0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.4, 1.5])::double as alpha), g as (select alpha, n, exp(lgamma(n - alpha + 1) - lgamma(n + 1)) as ratio from a, range(1, 1001) t(n))"
 

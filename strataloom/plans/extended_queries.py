@@ -84,10 +84,31 @@ def script_token_freq(spark, sf_dir):
     return toks.groupBy("tok").agg(F.count("*").alias("tf"), F.countDistinct("id").alias("df"))
 
 
-@register("lexed_class_freq")
+def _lexed(spark, sf_dir):
+    """Every document lexed as one of the languages, by turns."""
+    names = F.array(*map(F.lit, lexing.LEXERS))
+    docs = Tables(spark, sf_dir).documents.select("doc_id", "text", F.get(names, (F.col("doc_id") % len(lexing.LEXERS)).cast("int")).alias("language"))
+    return lexing.lexed(docs, "doc_id", "text", "language")
+
+
 def lexed_class_freq(spark, sf_dir):
-    toks = lexing.lexed(Tables(spark, sf_dir).documents, "doc_id", "text")
-    return toks.groupBy("tok_class").agg(F.count("*").alias("freq"), F.countDistinct("id").alias("n_files"))
+    return _lexed(spark, sf_dir).groupBy("language", "tok_class").agg(F.count("*").alias("freq"), F.countDistinct("id").alias("n_files"))
+
+
+def lexed_class_split(spark, sf_dir):
+    """Different and all tokens of comments, literals, programs and programs with operators, cut again by the naive tokenizer."""
+    return lexing.class_group_counts(lexing.resplit(_lexed(spark, sf_dir)))
+
+
+def lexed_reserved_ratio(spark, sf_dir):
+    """Keywords and names as a share of all tokens."""
+    n = lexed_class_split(spark, sf_dir).groupBy("language").pivot("group", ["all", "program"]).agg(F.first("uniq").alias("uniq"), F.first("total").alias("total"))
+    return n.select("language", F.round(F.col("program_uniq") / F.col("all_uniq"), 6).alias("ratio_uniq"), F.round(F.col("program_total") / F.col("all_total"), 6).alias("ratio_total"))
+
+
+if lexing.can_lex():
+    for _query in (lexed_class_freq, lexed_class_split, lexed_reserved_ratio):
+        register(_query.__name__)(_query)
 
 
 @register("biconnected_blocks")

@@ -29,6 +29,25 @@ def zipf_by_lang(spark, sf_dir):
     return f.select("lang", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "points")
 
 
+@register("zipf_normalised", f"""with {TOK}, c as (select lang, tok, count(*) as tf from toks group by lang, tok),
+ r as (select lang, tf / cast(sum(tf) over (partition by lang) as double) as p, row_number() over (partition by lang order by tf desc, tok) as rk, count(*) over (partition by lang) as n from c)
+ select lang, round(regr_slope(log10(p), log10(rk)), 6) as slope, round(regr_intercept(log10(p), log10(rk)), 6) as intercept, count(*) as points from r where rk >= 100 and rk <= floor(n * 0.1) group by lang""")
+def zipf_normalised(spark, sf_dir):
+    """The fit over ranks 100 to a tenth, of shares in place of counts: the slope is the same, the intercept moves by the logarithm of the total."""
+    counted = fr.token_rows(Tables(spark, sf_dir).documents, ["lang"]).groupBy("lang", "tok").agg(F.count("*").alias("tf"))
+    dist = counted.groupBy("lang", F.col("tf").alias("freq")).agg(F.count("*").alias("n"))
+    total = dist.groupBy("lang").agg(F.sum(F.col("freq") * F.col("n")).alias("total"))
+    f = fit.zipf_from_counts(dist, ["lang"], first=100).join(total, "lang")
+    return f.select("lang", F.round("slope", 6).alias("slope"), F.round(F.col("intercept") - F.log10("total"), 6).alias("intercept"), "points")
+
+
+@register("loglog_series", f"with {TOK}, c as (select tok, count(*) as tf from toks group by tok) select log10(cast(tok as bigint) + 1)::decimal(12,6)::double as x, log10(sum(tf))::decimal(12,6)::double as y from c where regexp_matches(tok, '^[0-9]{{1,9}}$') group by cast(tok as bigint)")
+def loglog_series(spark, sf_dir):
+    """Points of a series whose keys are whole numbers only, on logarithmic axes."""
+    c = fr.token_rows(Tables(spark, sf_dir).documents, []).where(F.col("tok").rlike("^[0-9]{1,9}$")).groupBy(F.col("tok").cast("bigint").alias("key")).agg(F.count("*").alias("tf"))
+    return c.select(F.round(F.log10(F.col("key") + 1), 6).alias("x"), F.round(F.log10("tf"), 6).alias("y"))
+
+
 @register("token_freq", f"with {TOK} select tok, count(*) as tf from toks group by tok")
 def token_freq(spark, sf_dir):
     return fr.token_rows(Tables(spark, sf_dir).documents, []).groupBy("tok").agg(F.count("*").alias("tf"))
@@ -318,6 +337,30 @@ def finite_observation(spark, sf_dir):
     return fr.snapshots(Tables(spark, sf_dir).documents, "doc_id", ["lang"], [100, 500, 1000, 5000, 10000])
 
 
+@register("snapshot_doc_freq", f"with {TOK}, s as (select unnest([0.25, 0.5, 1.0])::double as share), m as (select max(doc_id) as top from documents) select share, tok, count(*) as tf, count(distinct doc_id) as df from toks, s, m where doc_id <= share * top group by share, tok")
+def snapshot_doc_freq(spark, sf_dir):
+    """Frequencies as they stood when a quarter, half and all of the documents had come."""
+    return fr.snapshot_frequency(Tables(spark, sf_dir).documents, "doc_id", [0.25, 0.5, 1.0])
+
+
+@register("snapshot_file_sizes", f"with {ARR} select arrs.doc_id, len(a) as n_all, len(list_filter(a, lambda t: regexp_matches(t, '^[A-Za-z_]'))) as n_program, octet_length(encode(text)) as n_bytes from arrs join documents using (doc_id)")
+def snapshot_file_sizes(spark, sf_dir):
+    toks = tx.tokens(F.col("text"))
+    return Tables(spark, sf_dir).documents.select("doc_id", F.size(toks).cast("bigint").alias("n_all"), F.size(F.filter(toks, tx.is_entity)).cast("bigint").alias("n_program"), F.octet_length("text").cast("bigint").alias("n_bytes"))
+
+
+def _four(keep: str, name: str) -> str:
+    return f"""f{name} as (select tok, min(doc_id) as doc_id from toks where {keep} group by tok), c{name} as (select doc_id, count(*) as n from f{name} group by doc_id), t{name} as (select doc_id, count(*) as n from toks where {keep} group by doc_id)"""
+
+
+@register("snapshot_vocabulary", f"""with {TOK}, {_four("true", "a")}, {_four("regexp_matches(tok, '^[A-Za-z_]')", "p")}
+ select doc_id, sum(coalesce(ca.n, 0)) over w as uniq_all, sum(coalesce(ta.n, 0)) over w as n_all, sum(coalesce(cp.n, 0)) over w as uniq_program, sum(coalesce(tp.n, 0)) over w as n_program
+ from documents left join ca using (doc_id) left join ta using (doc_id) left join cp using (doc_id) left join tp using (doc_id) window w as (order by doc_id)""")
+def snapshot_vocabulary(spark, sf_dir):
+    """After each document: different and all tokens, and those of programs."""
+    return fr.snapshot_vocabulary(Tables(spark, sf_dir).documents, "doc_id")
+
+
 CHANGES = f"""{TOK}, d as (select doc_id * 2 as seq, tok, 1 as delta from toks union all select doc_id * 2 + 101 as seq, tok, -1 as delta from toks where doc_id % 3 = 0),
  e as (select seq, tok, sum(delta) as d from d group by seq, tok), r as (select seq, tok, d, sum(d) over (partition by tok order by seq) as c from e),
  s as (select seq, d, case when c > 0 then 1 else 0 end - case when coalesce(lag(c) over (partition by tok order by seq), 0) > 0 then 1 else 0 end as step from r),
