@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions import text as tx
+from strataloom.operators.prefix import running_sums
+from strataloom.session import materialize
+
 
+def read_tree(spark: SparkSession, folder: str, languages: dict[str, str] | None = None, only: tuple[str, ...] = ()) -> DataFrame:
+    """``(path, ext, lang, content)`` of all files below a folder, routed by extension; others have no language.
 
-def read_tree(spark: SparkSession, folder: str, languages: dict[str, str] | None = None) -> DataFrame:
-    """``(path, ext, lang, content)`` of all files below a folder, routed by extension; others have no language."""
+    ``only`` keeps the files of these extensions, before their contents are read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     ext = tx.file_extension(F.col("path"))
+    if only:
+        files = files.where(ext.isin(*only))
     rows = files.select("path", ext.alias("ext"), F.decode("content", "UTF-8").alias("content"))
     if not languages:
         return rows.withColumn("lang", F.lit(None).cast("string"))
@@ -81,14 +90,168 @@ def read_pajek(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return vertices.select(F.col("id").cast("long").alias("id"), "label"), edges
 
 
-def write_edge_list(edges: DataFrame, path: str, sep: str = "\t") -> None:
-    edges.select(F.concat_ws(sep, "src", "dst").alias("value")).write.text(path)
+def write_edge_list(edges: DataFrame, path: str, sep: str = "\t", header: bool = False) -> None:
+    """Lines ``src dst``, further columns after them; with ``header`` each part begins with a comment that names the columns."""
+    columns = ["src", "dst", *(c for c in edges.columns if c not in ("src", "dst"))]
+    line = edges.select(F.concat_ws(sep, *columns).alias("value"))
+    if header:
+        head = edges.sparkSession.createDataFrame([("# " + sep.join(columns),)], "value string")
+        line = head.unionAll(line)
+    line.write.text(path)
 
 
 def write_dot(edges: DataFrame, path: str, directed: bool = True) -> None:
-    """The edge lines of a DOT graph, one each."""
-    arrow = " -> " if directed else " -- "
-    edges.select(F.concat(F.col("src"), F.lit(arrow), F.col("dst"), F.lit(";")).alias("value")).write.text(path)
+    """A DOT graph in one file: its head, an edge a line, its end."""
+    arrow, kind = (" -> ", "digraph G {") if directed else (" -- ", "graph G {")
+    lines = edges.select(F.lit(1).alias("part"), F.concat(F.lit("  "), F.col("src"), F.lit(arrow), F.col("dst"), F.lit(";")).alias("value"))
+    ends = edges.sparkSession.createDataFrame([(0, kind), (2, "}")], "part int, value string")
+    ends.unionAll(lines).repartition(1).sortWithinPartitions("part", "value").select("value").write.text(path)  # the form allows one file only
+
+
+def write_matlab(edges: DataFrame, path: str) -> None:
+    """Lines ``row column 1`` of a sparse matrix, counted from 1."""
+    edges.select(F.concat_ws("\t", F.col("src") + 1, F.col("dst") + 1, F.lit(1)).alias("value")).write.text(path)
+
+
+def write_pajek(vertices: DataFrame, edges: DataFrame, path: str) -> None:
+    """A Pajek file of vertices ``(id, label)`` and arcs ``(src, dst)`` in one file."""
+    spark = edges.sparkSession
+    heads = spark.createDataFrame([(0, f"*Vertices {vertices.count()}"), (2, "*Arcs")], "part int, value string")
+    rows = vertices.select(F.lit(1).alias("part"), F.concat(F.col("id"), F.lit(' "'), F.col("label"), F.lit('"')).alias("value"))
+    arcs = edges.select(F.lit(3).alias("part"), F.concat_ws(" ", "src", "dst").alias("value"))
+    heads.unionAll(rows).unionAll(arcs).repartition(1).sortWithinPartitions("part", "value").select("value").write.text(path)  # the form allows one file only
+
+
+#: what parts the fields of each kind of table
+SEPARATORS = {"tab": "\t", "comma": ",", "semicolon": ";", "bar": r"\|", "space": " ", "white": r"[ \t]+"}
+
+
+def read_separated(spark: SparkSession, path: str, kind: str, columns: list[str]) -> DataFrame:
+    """Fields of lines, as strings; comments (#) and lines with fewer fields are skipped."""
+    parts = F.split(F.trim("value") if kind == "white" else F.col("value"), SEPARATORS[kind])
+    lines = spark.read.text(path).where("not value like '#%'").select(parts.alias("f")).where(F.size("f") >= len(columns))
+    return lines.select(*(F.col("f")[k].alias(c) for k, c in enumerate(columns)))
+
+
+def read_dynetml(spark: SparkSession, path: str) -> DataFrame:
+    """``(src, dst)`` of the links or edges of DyNetML files."""
+    out = None
+    for tag in ("link", "edge"):
+        rows = spark.read.format("xml").option("rowTag", tag).schema("_source string, _target string").load(path)
+        rows = rows.select(F.col("_source").alias("src"), F.col("_target").alias("dst")).dropna()
+        out = rows if out is None else out.unionAll(rows)
+    return out.distinct()
+
+
+def read_timed_edges(spark: SparkSession, path: str, kind: str = "tab", layout: str = "yyyy-MM-dd") -> DataFrame:
+    """``(src, dst, ts)`` of lines ``src dst date``; malformed lines are skipped."""
+    rows = read_separated(spark, path, kind, ["src", "dst", "at"])
+    return rows.select(F.col("src").try_cast("long").alias("src"), F.col("dst").try_cast("long").alias("dst"), F.try_to_timestamp("at", F.lit(layout)).alias("ts")).dropna()
+
+
+def read_citations(spark: SparkSession, path: str) -> DataFrame:
+    """``(src, dst)`` of citation lists ``"citing","cited"`` whose first line names the columns, as patent offices publish them."""
+    rows = read_separated(spark, path, "comma", ["src", "dst"])
+    bare = lambda c: F.translate(c, '" ', "").try_cast("long").alias(c)
+    return rows.select(bare("src"), bare("dst")).dropna().distinct()
+
+
+def read_reviews(spark: SparkSession, path: str) -> DataFrame:
+    """``(item, user)`` of blocks ``Id: n`` followed by lines ``date cutomer|customer: user rating: ...``: each line goes with the block before it, within its file."""
+    lines = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n(?=Id:)")).alias("block"))
+    item = F.regexp_extract("block", r"^\s*Id:\s*([0-9]+)", 1)
+    users = F.regexp_extract_all("block", F.lit(r"cus?tomer:\s*(\S+)"), F.lit(1))
+    return lines.select(item.try_cast("long").alias("item"), F.explode(users).alias("user")).dropna().distinct()
+
+
+def write_corpus(docs: DataFrame, path: str, language: str = "lang") -> None:
+    """A corpus in folders by language, so that a job on one language reads its own folder."""
+    docs.write.partitionBy(language).parquet(path)
+
+
+def reassembled(lines: DataFrame, order: str, value: str, header: str) -> DataFrame:
+    """``(path, content)`` of documents laid out as lines in order, each begun by a line ``header`` + path.
+
+    The number of headers up to a line names its document; ranges of lines are summed, so no task reads them all.
+    """
+    marked = lines.select(F.col(order).alias("at"), F.col(value).alias("value"), F.startswith(value, F.lit(header)).cast("int").alias("head"))
+    numbered = running_sums(marked, [], "at", {"head": "doc"}).where("doc > 0")
+    parts = numbered.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("l"))
+    return parts.select(F.substring(F.col("l")[0]["value"], F.lit(len(header) + 1), F.length(F.col("l")[0]["value"])).alias("path"), F.array_join(F.transform(F.slice("l", F.lit(2), F.size("l")), lambda x: x["value"]), "\n").alias("content"))
+
+
+def read_branch_log(spark: SparkSession, path: str) -> DataFrame:
+    """``(branch, sha, parent)`` of lines ``branch sha date [parent]``; without a parent it is null."""
+    parts = F.split(F.trim("value"), r"\s+")
+    lines = spark.read.text(path).select(parts.alias("p")).where("size(p) >= 2")
+    return lines.select(F.col("p")[0].alias("branch"), F.col("p")[1].alias("sha"), F.when(F.size("p") == 4, F.get("p", F.lit(3))).alias("parent"))
+
+
+def read_pair_log(spark: SparkSession, path: str) -> DataFrame:
+    """``(repo, user)``, each pair once, of lines ``repo user date``; both get a leading slash."""
+    parts = F.split(F.trim("value"), r"\s+")
+    lines = spark.read.text(path).select(parts.alias("p")).where("size(p) >= 2")
+    return lines.select(F.concat(F.lit("/"), F.col("p")[0]).alias("repo"), F.concat(F.lit("/"), F.col("p")[1]).alias("user")).distinct()
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """``(paper, author)`` edges of a sparse matrix in lines ``row column value``, counted from 1; zeros are no edges."""
+    m = read_separated(spark, path, "white", ["i", "j", "v"]).select(F.col("i").try_cast("long").alias("i"), F.col("j").try_cast("long").alias("j"), F.col("v").try_cast("double").alias("v")).dropna()
+    return m.where("v <> 0").select(F.concat(F.lit("Paper"), F.col("i") - 1).alias("paper"), F.concat(F.lit("Author"), F.col("j") - 1).alias("author"))
+
+
+def read_weighted_network(spark: SparkSession, path: str) -> DataFrame:
+    """``(left, right, weight)`` of a saved bipartite network; a missing weight is 1."""
+    parts = F.split("value", "\t")
+    lines = spark.read.text(path).select(parts.alias("p")).where("size(p) >= 2")
+    return lines.select(F.col("p")[0].alias("left"), F.col("p")[1].alias("right"), F.coalesce(F.get("p", F.lit(2)).try_cast("long"), F.lit(1)).alias("weight"))
+
+
+def read_blame_log(spark: SparkSession, path: str) -> DataFrame:
+    """``(current_sha, introducing_sha, file, line_no, introducer, fixer)`` of lines with these fields between blanks; malformed lines are skipped."""
+    layout = r"^(\S+)\s+(\S+)\s+(\S+)\s+([0-9]+)\s+(\S+)\s+(\S+)\s*$"
+    names = ("current_sha", "introducing_sha", "file", "line_no", "introducer", "fixer")
+    lines = spark.read.text(path).where(F.col("value").rlike(layout))
+    return lines.select(*(F.regexp_extract("value", layout, k).cast("int" if n == "line_no" else "string").alias(n) for k, n in enumerate(names, 1)))
+
+
+def last_page(exists: Callable[[int], bool], most: int = 1 << 30) -> int:
+    """The last page that exists, if all before it do: doubling, then halving; 0 if there is none."""
+    high = 1
+    while high <= most and exists(high):
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if exists(middle) else (low, middle)
+    return low
+
+
+def crawl(links: DataFrame, seeds: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """``(node, round)``: pages in the round that a breadth-first crawl from ``seeds(node)`` meets them; none is met twice."""
+    arcs = links.select("src", "dst")
+    visited = materialize(seeds.select("node", F.lit(0).alias("round")).distinct(), "crawl")
+    frontier = visited
+    for k in range(1, most_rounds + 1):
+        found = frontier.select(F.col("node").alias("src")).join(arcs, "src").select(F.col("dst").alias("node")).distinct()
+        frontier = materialize(found.join(visited, "node", "left_anti").withColumn("round", F.lit(k)), "crawl")
+        if not frontier.limit(1).count():
+            return visited
+        visited = materialize(visited.unionByName(frontier), "crawl")
+    raise RuntimeError(f"pages are further than {most_rounds} rounds")
+
+
+def page_links(pages: DataFrame, html: str = "html", keys: list[str] = ()) -> DataFrame:
+    """``(*keys, href, label)`` of the links of stored pages, in whatever list, card or menu they stand."""
+    tag = r'<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
+    links = F.arrays_zip(F.regexp_extract_all(html, F.lit(tag), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(tag), F.lit(2)).alias("label"))
+    return pages.select(*keys, F.explode(links).alias("l")).select(*keys, "l.href", "l.label")
+
+
+def page_counters(pages: DataFrame, html: str = "html", keys: list[str] = ()) -> DataFrame:
+    """``(*keys, language, title, headings, links, scripts, images)`` of stored pages."""
+    count = lambda rx: F.size(F.regexp_extract_all(html, F.lit(rx), F.lit(0)))
+    return pages.select(*keys, F.regexp_extract(html, r'<html[^>]* lang="([^"]*)"', 1).alias("language"), tx.xml_tag(F.col(html), "title").alias("title"), count("<h[1-6]").alias("headings"), count("<a ").alias("links"), count("<script").alias("scripts"), count("<img").alias("images"))
 
 
 def parse_crawl_log(lines: DataFrame, aliases: DataFrame) -> DataFrame:
