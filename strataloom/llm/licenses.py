@@ -3,13 +3,15 @@
 A text is cut into pieces at line ends and after ``. ! ? ;`` before a blank, each normalised (lower case,
 marks and comment leaders dropped, blanks collapsed). Pieces in a row that make up a known licence
 sentence are joined, the longest first, never over an empty line: so hard-wrapped licences read
-as on one line, and ``v. 2.0`` is whole. Every other piece is a sentence. A sentence is looked up among known licence
+as on one line, and ``v. 2.0`` is whole. So are pieces after the fixed head of a sentence with a varying part. Every other piece is a sentence. A sentence is looked up among known licence
 sentences and becomes its identifier; unknown sentences give none, but ``gap`` or more of them
 in a row part what lies before from what follows. The rules, in order, are then matched against
 each part's identifiers: the first rule that fits at a place names the licence and takes its
-identifiers. Identifiers that no rule takes are reported as they are.
+identifiers. Identifiers that no rule takes are reported as they are. That all rights are reserved says nothing
+where the same text grants a licence: by several sentences or a licence's title, not only a notice that names one.
 
-Defined results: null and empty texts have no sentences and no licences; repeated rows repeat;
+Defined results: null and empty texts have no sentences and no licences; very long texts are read whole; of rules that
+fit at one place the first listed counts, of known sentences the longest; repeated rows repeat;
 a licence found twice in a text is named once, at its first place; an empty table gives no
 rows; a null doc_id stays null; other columns are not read.
 """
@@ -41,10 +43,34 @@ SENTENCES = {
     "Gpl3Free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "Gpl2Free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"],
     "Gpl3Plus": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "Gpl2Plus": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "either version 2 of the License, or (at your option) any later version"],
     "GplHope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
     "GplNoWarranty": ["without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
     "GplSee": ["See the GNU General Public License for more details"],
+    "Gpl1Plus": ["either version 1, or (at your option) any later version"],
+    "GplTerms": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
+    "LgplFree": ["This library is free software"],
+    "LgplTerms": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation"],
+    "Lgpl2Plus": ["either version 2 of the License, or (at your option) any later version"],
+    "Lgpl21Plus": ["either version 2.1 of the License, or (at your option) any later version"],
+    "Lgpl3Plus": ["either version 3 of the License, or (at your option) any later version"],
+    "LgplHope": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
+    "LgplSee": ["See the GNU Lesser General Public License for more details", "See the GNU Library General Public License for more details"],
+    "Lgpl3Notice": ["Licensed under the GNU Lesser General Public License, version 3", "This work is licensed under the GNU Lesser General Public License, version 3"],
+    "Lgpl21Notice": ["Licensed under the GNU Lesser General Public License, version 2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1"],
+    "Gpl1Title": ["GNU GENERAL PUBLIC LICENSE Version 1, February 1989"],
+    "Gpl2Title": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "Gpl3Title": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "Lgpl2Title": ["GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "Lgpl21Title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "Lgpl3Title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "Gfdl12Title": ["GNU Free Documentation License Version 1.2, November 2002"],
+    "Gfdl13Title": ["GNU Free Documentation License Version 1.3, 3 November 2008"],
+    "ApacheTitle": ["Apache License Version 2.0, January 2004"],
+    "Mpl11Title": ["MOZILLA PUBLIC LICENSE Version 1.1"],
+    "Mpl2Title": ["Mozilla Public License Version 2.0"],
+    "Mpl11Subject": ["The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\")"],
+    "Cc0Title": ["CC0 1.0 Universal"],
+    "ArtisticTitle": ["The \"Artistic License\"", "The Artistic License"],
     "BsdRedistribute": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "BsdSource": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "BsdBinary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
@@ -61,20 +87,58 @@ SENTENCES = {
     "AllRights": ["All rights reserved"],
 }
 #: Sentences with a varying part, tried on normalised text.
-PATTERNS = (("SpdxTag", re.compile(r"spdx license identifier (.+)")), ("Copyright", re.compile(r"copyright\b.*\d{4}.*|copyright c .*")))
+PATTERNS = (
+    ("SpdxTag", re.compile(r"spdx license identifier (.+)")),
+    ("Copyright", re.compile(r"copyright\b.*\d{4}.*|copyright c .*")),
+    ("BsdEndorse", re.compile(r"neither the names? of .+ may be used to endorse or promote products derived from this software without specific prior written permission")),
+    ("BsdAsIs", re.compile(r"this software is provided by .+ as is and any express or implied warranties .+ are disclaimed")),
+)
+#: The fixed heads of those that may go on over several lines, and over how many.
+HEADS = ("neither the name", "this software is provided by")
+MOST_LINES = 24
 #: Ordered rules: a licence and the identifiers that name it, one after the other; the more specific come first.
 LICENCES = (
     ("MIT", ("MitNotice", "MitGrant", "MitInclude", "AsIsSoftware", "NoLiability")),
     ("MIT", ("MitGrant", "MitInclude", "AsIsSoftware", "NoLiability")),
+    ("MIT", ("MitGrant", "MitInclude", "AsIsSoftware")),
     ("Apache-2.0", ("ApacheNotice", "ApacheCompliance", "ApacheObtain", "ApacheAsIs", "ApacheSee")),
     ("GPL-3.0-or-later", ("Gpl3Free", "GplHope", "GplNoWarranty", "GplSee")),
     ("GPL-2.0-or-later", ("Gpl2Free", "GplHope", "GplNoWarranty", "GplSee")),
     ("GPL-3.0-or-later", ("Gpl3Free",)),
     ("GPL-2.0-or-later", ("Gpl2Free",)),
     ("GPL-3.0-or-later", ("GplFree", "Gpl3Plus", "GplHope", "GplNoWarranty", "GplSee")),
-    ("GPL-2.0-or-later", ("GplFree", "Gpl2Plus", "Gpl2Plus", "GplHope", "GplNoWarranty", "GplSee")),
+    ("GPL-3.0-or-later", ("GplFree", "GplTerms", "Lgpl3Plus", "GplHope", "GplNoWarranty", "GplSee")),
+    ("GPL-3.0-or-later", ("GplFree", "GplTerms", "Lgpl3Plus")),
+    ("GPL-2.0-or-later", ("GplFree", "GplTerms", "Lgpl2Plus", "GplHope", "GplNoWarranty", "GplSee")),
+    ("GPL-2.0-or-later", ("GplFree", "GplTerms", "Lgpl2Plus")),
+    ("GPL-1.0-or-later", ("GplFree", "GplTerms", "Gpl1Plus", "GplHope", "GplNoWarranty", "GplSee")),
+    ("LGPL-3.0-or-later", ("LgplFree", "LgplTerms", "Lgpl3Plus", "LgplHope", "GplNoWarranty", "LgplSee")),
+    ("LGPL-2.1-or-later", ("LgplFree", "LgplTerms", "Lgpl21Plus", "LgplHope", "GplNoWarranty", "LgplSee")),
+    ("LGPL-2.0-or-later", ("LgplFree", "LgplTerms", "Lgpl2Plus", "LgplHope", "GplNoWarranty", "LgplSee")),
+    ("LGPL-3.0-or-later", ("LgplFree", "LgplTerms", "Lgpl3Plus")),
+    ("LGPL-2.1-or-later", ("LgplFree", "LgplTerms", "Lgpl21Plus")),
+    ("LGPL-2.0-or-later", ("LgplFree", "LgplTerms", "Lgpl2Plus")),
+    ("BSD-3-Clause", ("BsdRedistribute", "BsdSource", "BsdBinary", "BsdEndorse", "BsdAsIs")),
     ("BSD-3-Clause", ("BsdRedistribute", "BsdSource", "BsdBinary", "BsdEndorse")),
+    ("BSD-2-Clause", ("BsdRedistribute", "BsdSource", "BsdBinary", "BsdAsIs")),
     ("BSD-2-Clause", ("BsdRedistribute", "BsdSource", "BsdBinary")),
+    ("MPL-1.1", ("Mpl11Subject", "ApacheCompliance", "ApacheObtain")),
+    ("MPL-1.1", ("Mpl11Subject",)),
+    ("GPL-3.0", ("Gpl3Title",)),
+    ("GPL-2.0", ("Gpl2Title",)),
+    ("GPL-1.0", ("Gpl1Title",)),
+    ("LGPL-3.0", ("Lgpl3Title",)),
+    ("LGPL-2.1", ("Lgpl21Title",)),
+    ("LGPL-2.0", ("Lgpl2Title",)),
+    ("GFDL-1.3", ("Gfdl13Title",)),
+    ("GFDL-1.2", ("Gfdl12Title",)),
+    ("Apache-2.0", ("ApacheTitle",)),
+    ("MPL-1.1", ("Mpl11Title",)),
+    ("MPL-2.0", ("Mpl2Title",)),
+    ("CC0-1.0", ("Cc0Title",)),
+    ("Artistic", ("ArtisticTitle",)),
+    ("LGPL-3.0-only", ("Lgpl3Notice",)),
+    ("LGPL-2.1-only", ("Lgpl21Notice",)),
     ("ISC", ("IscGrant",)),
     ("MPL-2.0", ("MplForm",)),
     ("Unlicense", ("PublicDomain",)),
@@ -109,29 +173,27 @@ BEGUN = frozenset(s[:k] for s in KNOWN for k, c in enumerate(s) if c == " ")
 def sentences(text: str) -> list[str]:
     """Normalised sentences of a text: its pieces, those of a known sentence joined."""
     found = pieces(text)
-    if BEGUN.isdisjoint(found):
+    if BEGUN.isdisjoint(found) and not any(p.startswith(HEADS) for p in found):
         return found
     out, at = [], 0
     while at < len(found):
         whole, best, end = found[at], found[at], at + 1
         last = end
-        while whole in BEGUN and last < len(found) and found[last]:
+        varying = whole.startswith(HEADS)
+        while (whole in BEGUN or varying and last < at + MOST_LINES) and last < len(found) and found[last]:
             whole = f"{whole} {found[last]}"
             last += 1
-            if whole in KNOWN:
+            if whole in KNOWN or varying and identify(whole):
                 best, end = whole, last
         out.append(best)
         at = end
     return out
 
 
-_HEADS = frozenset(("copyright", "spdx"))
-
-
 def identify(sentence: str) -> str | None:
     if (name := KNOWN.get(sentence)) is not None:
         return name
-    if sentence[:9] == "copyright" or sentence[:4] == "spdx":
+    if sentence[:9] == "copyright" or sentence[:4] == "spdx" or sentence.startswith(HEADS):
         for name, pattern in PATTERNS:
             if found := pattern.fullmatch(sentence):
                 return f"{name}:{found[1]}" if name == "SpdxTag" else name
@@ -153,15 +215,18 @@ def scan(text: str, gap: int = 3) -> tuple[int, list[str], list[str], list[str]]
             parts.append([])
         parts[-1].append(name)
         since = 0
-    licences, left = [], []
+    licences, left, granted = [], [], False
     for names in parts:
         at = 0
         while at < len(names):
             licence, size = names[at].partition(":")[2], 1
             if not licence:
                 licence, size = next(((name, len(rule)) for name, rule in LICENCES if tuple(names[at : at + len(rule)]) == rule), ("", 1))
+            granted |= bool(licence) and licence != "Proprietary" and (size > 1 or names[at].endswith("Title"))
             (licences if licence else left).append(licence or names[at])
             at += size
+    if granted:
+        licences = [name for name in licences if name != "Proprietary"]
     return count, [n for names in parts for n in names], [*dict.fromkeys(licences)], left
 
 

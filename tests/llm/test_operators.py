@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import itertools
+import os
 import random
 import re
 import textwrap
@@ -189,6 +190,23 @@ def test_url_rules_and_terms(spark):
     assert urlfilter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_terms_against_brute_force(spark):
+    draw = random.Random(8)
+    terms, marks = [*urlfilter.STRICT, *urlfilter.SOFT], ["-", ".", "/", "_", "x", "7", "?q=", "&"]
+    urls = ["http://site.org/" + "".join(draw.choice(marks) + (draw.choice(terms) if draw.random() < 0.5 else cases.prose(draw.randrange(999), 1)) for _ in range(draw.randint(0, 6))) for _ in range(400)]
+    urls += ["http://site.org/" + "a/" * 200_000 + "casino", urls[3], "http://site.org/Free-FREE-free", "http://site.org/free-click"]
+    rows = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).collect()}
+    for k, url in enumerate(urls):
+        found = {t for t in terms if re.search(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", url.lower())}
+        strict, weights = found & set(urlfilter.STRICT), [urlfilter.SOFT[t] for t in found & set(urlfilter.SOFT)]
+        assert (rows[k].n_strict, rows[k].n_soft, rows[k].soft_weight) == (len(strict), len(weights), sum(weights)), url[:200]
+        if rows[k].rule is None:
+            assert rows[k].verdict == ("block" if strict or len(weights) > 1 and sum(weights) >= 3 else "allow")
+    assert rows[402].n_soft == 1 and rows[403].verdict == "allow" and rows[400].verdict == "block"
+    assert urlfilter.read_vocabulary(["# head", "Casino", "free\t1", "bet\t2 # often", ""]) == (("casino",), {"free": 1, "bet": 2})
+    assert not set(urlfilter.STRICT) & set(urlfilter.SOFT)
+
+
 def brute_secrets(text: str) -> list[tuple[int, int, str]]:
     fold = "".join
     any_case = lambda w: fold(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
@@ -360,7 +378,7 @@ def test_licences_hard_wrapped():
     wrapped = {}
     for name, rule in licenses.LICENCES:
         if len(rule) > 1 or name in ("ISC", "MPL-2.0") or rule[0] in ("Gpl3Free", "Gpl2Free"):
-            text = ". ".join(licenses.SENTENCES[part][0] for part in dict.fromkeys(rule) if part != "Copyright") + "."
+            text = ". ".join(licenses.SENTENCES[part][0] for part in dict.fromkeys(rule) if part in licenses.SENTENCES) + "."
             wrapped.setdefault(name, text)
     assert len(wrapped) >= 9
     for name, text in wrapped.items():
@@ -386,6 +404,44 @@ def test_licences_hard_wrapped():
     assert licenses.scan("Permission is hereby granted, free of charge, to any person obtaining a copy\n\nof this software")[1] == []
 
 
+def test_licences_against_brute_force():
+    """Known sentences laid among others, at any width and with any leader: found where they were laid, and by the first rule that fits."""
+    draw = random.Random(12)
+    forms = [(name, s) for name, sentences in licenses.SENTENCES.items() for s in sentences if len(s.split()) > 4]
+    # the sentences of these rules are one known sentence together, which wins
+    rules = [(licence, ids) for licence, ids in licenses.LICENCES if all(i in licenses.SENTENCES for i in ids) and ids[0] != "GplFree"]
+    for _ in range(150):
+        laid, names = [], []
+        for _ in range(draw.randint(1, 4)):
+            if draw.random() < 0.5:
+                group = [(i, draw.choice(licenses.SENTENCES[i])) for i in draw.choice(rules)[1]]
+            else:
+                group = [draw.choice(forms)]
+            laid += [s.rstrip(":") for _, s in group]
+            names.append([i for i, _ in group])
+            laid += [cases.prose(draw.randrange(10**6), 9) for _ in range(4)]  # parts what is before from what follows
+        leader = draw.choice(("", "# ", " * ", "// "))
+        text = "\n".join(textwrap.fill(s + ".", draw.choice((40, 66, 100)), initial_indent=leader, subsequent_indent=leader, break_long_words=False, break_on_hyphens=False) for s in laid)
+        expected, left = [], []
+        for group in names:
+            while group:
+                licence, size = next(((n, len(ids)) for n, ids in licenses.LICENCES if tuple(group[: len(ids)]) == ids), (None, 1))
+                (expected if licence else left).append(licence or group[0])
+                group = group[size:]
+        got = licenses.scan(text)
+        assert got[1] == [i for group in names for i in group], text
+        assert [n for n in got[2] if n != "Proprietary"] == [n for n in dict.fromkeys(expected) if n != "Proprietary"] and got[3] == left
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts on this machine")
+def test_published_licences():
+    named = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "GFDL-1.3": "GFDL-1.3"}
+    for file, licence in named.items():
+        with open(f"/usr/share/common-licenses/{file}") as text:
+            found = licenses.scan(text.read())[2]
+        assert found[0] == licence and "Proprietary" not in found, (file, found)
+
+
 def lm_words(text):
     alone = regex.compile(r"[^\p{L}\p{N}\p{M}\s]|[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
     return alone.sub(lambda m: f" {m[0]} ", text).split()
