@@ -10,7 +10,7 @@ centroids of the other half of the rows. Short clean texts lie far from all cent
 
 The classifier is fitted on a bounded sample: at most ``per_language`` rows of each language,
 those of least hash of doc_id. Only their hashed counts go to the driver. Everything else runs
-over all rows, and a text is read whole.
+over all rows, and a text, however long, is read whole.
 
 Defined results: a null text and one without a letter is ``und`` with score 0 and rejected;
 ties go to the first language in alphabetical order; repeated rows repeat; without training

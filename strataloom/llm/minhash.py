@@ -16,7 +16,7 @@ first document of the next bucket; so a window within the bucket finds every suc
 texts are shuffled once. The number of buckets, which bounds what goes to the driver and what is
 broadcast, is ``most_buckets`` at most.
 
-Defined results: a null text is empty; texts without a word have the empty fingerprint, alike
+Defined results: a null text is empty; a very long text is hashed whole in its row; shingles of equal hashes are one; texts without a word have the empty fingerprint, alike
 to each other (1) and unlike any other (0); equal texts have equal fingerprints; repeated
 doc_ids follow each other by text; null doc_ids come first; the last document is followed by
 the first, a single one by itself; an empty table gives no rows; other columns are not read.

@@ -4,7 +4,8 @@ Spans are leftmost and non-overlapping within a kind, in code points, the end ex
 match that is too short is dropped but still takes up its text, as with a backtracking engine.
 
 Defined results: a null or empty text has no spans; a text without UTF-8 validity is scanned as
-bytes; spans of different kinds may overlap; repeated rows repeat; an empty table gives no
+bytes; spans of different kinds may overlap; very long texts are read whole; of rules that match at one place
+each gives its span, in their order; repeated rows repeat; an empty table gives no
 rows; other columns of the input are not read, but ``redact`` returns them as they are.
 """
 

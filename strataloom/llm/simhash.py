@@ -13,7 +13,8 @@ which bounds the one table that is broadcast. A count vector with more fingerpri
 ``tile_rows`` is split into several tiles by a hash, so no task gets more than two tiles at a
 time. From a tile pair only a spanning forest of its links leaves, never all its pairs.
 
-Defined results: a null or blank text has fingerprint zero and links like any other; repeated
+Defined results: a bit that is set in just half the hashes is 0; very long texts are hashed whole, some shingles at
+a time; a null or blank text has fingerprint zero and links like any other; repeated
 rows and equal texts have equal fingerprints and one component; a null doc_id gets a row, and
 ``component_id`` is the least non-null doc_id reachable (null if there is none); an empty table gives no rows;
 other columns of the input are not read.

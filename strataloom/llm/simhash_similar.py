@@ -18,7 +18,7 @@ every candidate pair that no link joins yet is counted exactly. Components of th
 Both steps grow with the square: of the fingerprints in a band, and of the blocks in a
 component of candidates; the README states what that means for large inputs.
 
-Defined results: null, empty and blank texts are alike and one stays; of each group the row of
+Defined results: very long texts are hashed whole; a likeness of just four fifths links; null, empty and blank texts are alike and one stays; of each group the row of
 least doc_id, then least hash of the text, stays; of rows that repeat with doc_id and text one stays; null
 doc_ids come first; rows keep all their columns; an empty table gives no rows.
 """
