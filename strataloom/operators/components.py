@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.session import drop_path, materialize, shared_path
+from strataloom.session import drop_path, materialize, scratch, shared_path
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -48,7 +48,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        after_links, after_path, after = keep(_small_star(_large_star(links).distinct()))
+        with scratch(spark):
+            after_links, after_path, after = keep(_small_star(_large_star(links).distinct()))
         drop_path(spark, path)
         links, path = after_links, after_path
         if after == before:

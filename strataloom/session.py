@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -22,13 +23,15 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where none is set and all runs in one process, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strataloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -45,10 +48,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: folders of all tables that materialize wrote, in order
+_written: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables materialized within the block are deleted at its end: for steps whose result is written before."""
+    start = len(_written)
+    try:
+        yield
+    finally:
+        sweep(spark, start)
+
+
+def sweep(spark: SparkSession, start: int = 0) -> None:
+    """Delete all tables that ``materialize`` wrote, once no DataFrame reads them any more."""
+    while len(_written) > start:
+        drop_path(spark, _written.pop())
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder below the shared one, whatever file system holds it."""
     jvm = spark.sparkContext._jvm
