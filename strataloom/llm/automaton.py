@@ -288,6 +288,7 @@ class Scanner:
                 ends.append((at, row[256]))
         if not ends:
             return
+        view = memoryview(data)  # parts of a long text are never copied
         for rule in range(len(self.rules)):
             own = [e for e, mask in ends if mask >> rule & 1]
             last, blocked = 0, False
@@ -295,12 +296,12 @@ class Scanner:
                 goes_on = k + 1 < len(own) and own[k + 1] == end + 1
                 if end <= last or blocked and goes_on:
                     continue
-                begin = self._reach(back[rule], reversed(data[last:end]))
+                begin = self._reach(back[rule], reversed(view[last:end]))
                 # of a stretch of ends that only a start inside the last match leads to, just the final one is tried again
                 blocked = not begin and goes_on
                 if begin:
                     start = end - begin
-                    last = start + self._reach(ahead[rule], data[start:])
+                    last = start + self._reach(ahead[rule], view[start:])
                     yield rule, start, last
 
     @staticmethod
