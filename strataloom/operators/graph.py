@@ -169,15 +169,19 @@ def constraint(edges: DataFrame) -> DataFrame:
     return parts.groupBy("i", "j").agg(F.sum("v").alias("v")).groupBy(F.col("i").alias("node")).agg(F.sum(F.col("v") * F.col("v")).alias("value"))
 
 
-def bfs(edges: DataFrame, sources: DataFrame, max_hops: int = 1000) -> DataFrame:
-    """``(source, node, dist)`` along directed edges from each of ``sources(node)``."""
+def bfs(edges: DataFrame, sources: DataFrame, max_hops: int = 1000, direction: str = "out", most: int | None = None) -> DataFrame:
+    """``(source, node, dist)`` from each of ``sources(node)`` along directed edges, against them (``in``) or both ways, up to ``most`` hops if given."""
+    if direction == "in":
+        edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    elif direction == "both":
+        edges = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
     seen = materialize(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("dist")), "bfs")
     frontier, parts = seen, [seen]
     for hop in range(1, max_hops + 1):
+        if most is not None and hop > most:
+            return known_of(parts)
         step = frontier.select("source", F.col("node").alias("src")).join(edges, "src").select("source", F.col("dst").alias("node")).distinct()
-        known = parts[0]
-        for p in parts[1:]:
-            known = known.unionAll(p)
+        known = known_of(parts)
         frontier = materialize(step.join(known.select("source", "node"), ["source", "node"], "left_anti").withColumn("dist", F.lit(hop)), "bfs")
         if not frontier.limit(1).count():
             return known
@@ -185,6 +189,80 @@ def bfs(edges: DataFrame, sources: DataFrame, max_hops: int = 1000) -> DataFrame
     raise RuntimeError(f"nodes are further than {max_hops} hops")
 
 
+def known_of(parts: list[DataFrame]) -> DataFrame:
+    """All rows of the tables of a search's rounds."""
+    known = parts[0]
+    for p in parts[1:]:
+        known = known.unionAll(p)
+    return known
+
+
+def random_paths(edges: DataFrame, dist: DataFrame, seed: int = 1) -> DataFrame:
+    """``(source, node, path)``: one shortest path to each node reached, its steps drawn by a hash among the predecessors."""
+    drawn = bfs_predecessors(edges, dist).groupBy("source", "node").agg(F.min_by("pred", F.xxhash64("source", "node", "pred", F.lit(seed))).alias("pred"))
+    drawn = materialize(drawn, "paths")
+    done = materialize(dist.where("dist = 0").select("source", "node", F.array("node").alias("path")), "paths")
+    level, parts = done, [done]
+    while True:
+        up = level.select("source", F.col("node").alias("pred"), "path")
+        level = materialize(drawn.join(up, ["source", "pred"]).select("source", "node", F.concat("path", F.array("node")).alias("path")), "paths")
+        if not level.limit(1).count():
+            return known_of(parts)
+        parts.append(level)
+
+
+def diameter(edges: DataFrame) -> int:
+    """The exact diameter of an undirected graph, from all its nodes; raises if it does not hang together."""
+    s = materialize(both_ways(edges), "diameter")
+    everyone = materialize(nodes(s), "diameter")
+    dist = bfs(s, everyone)
+    n, pairs, longest = everyone.count(), *dist.agg(F.count("*"), F.max("dist")).first()
+    if pairs < n * n:
+        raise ValueError("the graph is not connected: it has no diameter")
+    return longest or 0
+
+
+def spectrum(edges: DataFrame, k: int, rounds: int = 60, eps: float = 1e-7) -> DataFrame:
+    """``(k, value, ipr)``: the ``k`` eigenvalues of greatest absolute value of an undirected graph, and the inverse participation ratios of their vectors.
+
+    Orthogonal iteration: all vectors are multiplied in one join a round; what reaches the driver are the k * k
+    products that make them orthogonal again.
+    """
+    import numpy as np
+
+    s = materialize(both_ways(edges), "spectrum")
+    names = [f"v{i}" for i in range(k)]
+    draw = [(F.pmod(F.xxhash64("node", F.lit(i)), F.lit(1 << 20)) / float(1 << 20) - 0.5 + (1.0 if i == 0 else 0.0)).alias(n) for i, n in enumerate(names)]
+    v = materialize(nodes(s).select("node", *draw), "spectrum")
+
+    def products(left: DataFrame, a: list[str], b: list[str]) -> np.ndarray:
+        return np.array([x or 0.0 for x in left.agg(*(F.sum(F.col(p) * F.col(q)) for p in a for q in b)).first()]).reshape(len(a), len(b))
+
+    def turned(left: DataFrame, by: np.ndarray) -> list:
+        return [sum((F.lit(float(by[j, i])) * F.col(n) for j, n in enumerate(names)), F.lit(0.0)).alias(f"_{i}") for i in range(k)]
+
+    values = np.zeros(k)
+    for _ in range(rounds):
+        lower = np.linalg.cholesky(products(v, names, names) + 1e-12 * np.eye(k))
+        v = v.select("node", *turned(v, np.linalg.inv(lower).T)).toDF("node", *names)
+        moved = s.join(v.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(*(F.sum(n).alias(f"w{i}") for i, n in enumerate(names)))
+        both = materialize(v.join(moved, "node"), "spectrum")
+        inner = products(both, names, [f"w{i}" for i in range(k)])
+        found, basis = np.linalg.eigh((inner + inner.T) / 2)
+        order = np.argsort(-np.abs(found))
+        new, basis = found[order], basis[:, order]
+        if np.abs(new - values).max() < eps:
+            values = new
+            break
+        values = new
+        v = both.select("node", *(F.col(f"w{i}").alias(n) for i, n in enumerate(names)))
+    unit = v.select("node", *turned(v, basis)).toDF("node", *names) if k else v
+    if not s.limit(1).count():
+        return s.sparkSession.createDataFrame([], "k int, value double, ipr double")
+    lengths = unit.agg(*(F.sum(F.pow(n, F.lit(2))) for n in names), *(F.sum(F.pow(n, F.lit(4))) for n in names)).first()
+    return s.sparkSession.createDataFrame([(i, float(values[i]), float(lengths[k + i] / lengths[i] ** 2)) for i in range(k)], "k int, value double, ipr double")
+
+
 def bfs_predecessors(edges: DataFrame, dist: DataFrame) -> DataFrame:
     """``(source, node, pred)``: every edge on a shortest path."""
     before = dist.select("source", F.col("node").alias("src"), F.col("dist").alias("d0"))

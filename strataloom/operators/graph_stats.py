@@ -197,6 +197,24 @@ def whiskers(blocks: DataFrame) -> DataFrame:
     return both.crossJoin(F.broadcast(largest)).where("struct(nodes, -component) <> m").select(F.col("component").alias("whisker"), "nodes", "edges")
 
 
+def sign_prediction(signed: DataFrame) -> DataFrame:
+    """``(a, b, sign, balance, predicted)`` of signed edges ``(a, b, sign)`` in triangles: the sum of what their other two sides' signs make, and its sign."""
+    t = gr.triangles(signed.select("a", "b"))
+    side = lambda p, q: F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
+    rows = t.select(F.xxhash64("x", "y", "z").alias("t"), F.explode(F.array(side("x", "y"), side("y", "z"), side("x", "z"))).alias("e")).select("t", "e.a", "e.b").join(signed, ["a", "b"])
+    whole = rows.groupBy("t").agg(F.product("sign").alias("product"))
+    each = rows.join(whole, "t").groupBy("a", "b", "sign").agg(F.sum(F.col("product") * F.col("sign")).cast("bigint").alias("balance"))
+    return each.select("a", "b", "sign", "balance", F.signum("balance").cast("int").alias("predicted"))
+
+
+def node_buckets(timed: DataFrame, size: int) -> DataFrame:
+    """``(node, ts, bucket)``: nodes of ``(a, b, ts)`` in order of their first edge, ``size`` to a bucket."""
+    first = timed.select(F.explode(F.array("a", "b")).alias("node"), "ts").groupBy("node").agg(F.min("ts").alias("ts"))
+    key = F.struct("ts", "node")
+    ids = gr.dense_ids(first.select(key.alias("src"), key.alias("dst")))
+    return ids.select("node.node", "node.ts", F.floor(F.col("id") / size).alias("bucket"))
+
+
 def cascades(arcs: DataFrame, seeds: DataFrame, passed: Column) -> DataFrame:
     """``(source, size, depth)`` of what each of ``seeds(node)`` sets off where only the arcs for which ``passed`` is true pass it on."""
     dist = gr.bfs(materialize(arcs.where(passed).select("src", "dst"), "cascades"), seeds)

@@ -71,11 +71,13 @@ def session_counts(spark, sf_dir):
     return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@register("time_buckets", oracle("select date_trunc('week', created_at)::date + 3 as week, date_trunc('month', created_at)::date as month, count(*) as n from v_issue_events group by 1, 2"))
+@register("time_buckets", oracle("select date_trunc('year', created_at)::date as year, date_trunc('month', created_at)::date as month, date_trunc('week', created_at)::date + 3 as week, created_at::date as day, hour(created_at) as hour, minute(created_at) // 10 as ten_minutes, count(*) as n from v_issue_events group by all"))
 def time_buckets(spark, sf_dir):
     t = F.col("created_at").cast("timestamp")
     e = Tables(spark, sf_dir).v_issue_events
-    return e.groupBy(F.date_add(F.to_date(F.date_trunc("week", t)), 3).alias("week"), F.to_date(F.date_trunc("month", t)).alias("month")).agg(F.count("*").alias("n"))
+    units = [F.to_date(F.date_trunc("year", t)).alias("year"), F.to_date(F.date_trunc("month", t)).alias("month"), F.date_add(F.to_date(F.date_trunc("week", t)), 3).alias("week")]
+    units += [F.to_date(t).alias("day"), F.hour(t).alias("hour"), F.floor(F.minute(t) / 10).alias("ten_minutes")]
+    return e.groupBy(*units).agg(F.count("*").alias("n"))
 
 
 @register("script_token_freq")

@@ -105,14 +105,14 @@ def _seeds(edges):
 @register("personal_pagerank")
 def personal_pagerank(spark, sf_dir):
     e = _edges(spark, sf_dir)
-    return gs.personal_pagerank(e, _seeds(e)).withColumn("p", F.round("p", 9))
+    return gs.personal_pagerank(e, _seeds(e), eps=1e-5).withColumn("p", F.round("p", 9))
 
 
 @register("community_profile")
 def community_profile(spark, sf_dir):
     """The least conductance of each size over sweeps around seeds."""
     e = _edges(spark, sf_dir)
-    return gs.community_profile(e, _seeds(e)).withColumn("conductance", F.round("conductance", 9))
+    return gs.community_profile(e, _seeds(e), eps=1e-5).withColumn("conductance", F.round("conductance", 9))
 
 
 @register("graph_whiskers")
@@ -209,3 +209,45 @@ def affiliation_graph(spark, sf_dir):
 @register("sirs_epidemic")
 def sirs_epidemic(spark, sf_dir):
     return spark.createDataFrame(gl.epidemic(0.5, 0.1, (0.99, 0.01, 0.0), 200, loss=0.05), "t double, s double, i double, r double")
+
+
+@register("graph_spectrum")
+def graph_spectrum(spark, sf_dir):
+    """The three eigenvalues of greatest absolute value, with inverse participation ratios."""
+    return gr.spectrum(_edges(spark, sf_dir), 3, rounds=30, eps=1e-5).select("k", F.round("value", 4).alias("value"), F.round("ipr", 6).alias("ipr"))
+
+
+@register("shortest_paths")
+def shortest_paths(spark, sf_dir):
+    """One shortest path from the least node to every other."""
+    s = gr.both_ways(_edges(spark, sf_dir))
+    start = gr.nodes(s).agg(F.min("node").alias("node"))
+    return gr.random_paths(s, gr.bfs(s, start)).select("node", F.array_join(F.transform("path", lambda n: n.cast("string")), "-").alias("path"))
+
+
+@_q("hops_against_arcs", f"with recursive b as (select distinct dst as source, dst as node, 0 as dist from v_followers where dst % {EVERY} = 0 union select b.source, f.src, b.dist + 1 from b join v_followers f on f.dst = b.node where b.dist < 2 and not exists (select 1 from recurring.b k where k.source = b.source and k.node = f.src)) select source, node, min(dist) as dist from b group by 1, 2")
+def hops_against_arcs(spark, sf_dir):
+    """Who reaches every twentieth node in two hops at most."""
+    arcs = _arcs(spark, sf_dir)
+    return gr.bfs(arcs, arcs.select(F.col("dst").alias("node")).distinct().where(F.col("node") % EVERY == 0), direction="in", most=2)
+
+
+@_q("sign_prediction", f"with e as (select a, b, case when (a + b) % 3 = 0 then -1 else 1 end as sign from v_edges), t as (select x.a as p, x.b as q, y.b as r, x.sign as s1, y.sign as s2, z.sign as s3 from e x join e y on x.b = y.a join e z on z.a = x.a and z.b = y.b), u as (select p as a, q as b, s1 as sign, s2 * s3 as v from t union all select q, r, s2, s1 * s3 from t union all select p, r, s3, s1 * s2 from t) select a, b, sign, cast(sum(v) as bigint) as balance, cast(sign(sum(v)) as integer) as predicted from u group by a, b, u.sign")
+def sign_prediction(spark, sf_dir):
+    """Each edge's sign and what the balance of its triangles says."""
+    signed = _edges(spark, sf_dir).withColumn("sign", F.when((F.col("a") + F.col("b")) % 3 == 0, -1).otherwise(1))
+    return gs.sign_prediction(signed)
+
+
+@_q("node_buckets", "with tm as (select least(author_id, project_id + 2000) as a, greatest(author_id, project_id + 2000) as b, created_at as ts from v_commits), f as (select node, min(ts) as ts from (select a as node, ts from tm union all select b, ts from tm) u group by node) select node, ts, (row_number() over (order by ts, node) - 1) // 100 as bucket from f")
+def node_buckets(spark, sf_dir):
+    """Nodes of the growing graph, a hundred to a bucket."""
+    c = Tables(spark, sf_dir).v_commits
+    timed = c.select(F.least("author_id", F.col("project_id") + 2000).alias("a"), F.greatest("author_id", F.col("project_id") + 2000).alias("b"), F.col("created_at").alias("ts"))
+    return gs.node_buckets(timed, 100)
+
+
+@_q("graph_up_to", "select distinct author_id as src, project_id as dst from v_commits where created_at <= timestamp '1996-06-30'")
+def graph_up_to(spark, sf_dir):
+    """The graph as it stood at a time."""
+    return Tables(spark, sf_dir).v_commits.where("created_at <= timestamp_ntz '1996-06-30 00:00:00'").select(F.col("author_id").alias("src"), F.col("project_id").alias("dst")).distinct()

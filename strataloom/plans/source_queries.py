@@ -211,3 +211,42 @@ def html_counters(spark, sf_dir):
 def crawl_frontier(spark, sf_dir):
     arcs = _arcs(spark, sf_dir)
     return src.crawl(arcs, arcs.agg(F.min("src").alias("node")))
+
+
+@_q("io_distribution", "select cast(n as double) as value, count(*) as freq from (select commit_id, count(*) as n from v_commit_files group by commit_id) t group by n")
+def io_distribution(spark, sf_dir):
+    from strataloom.operators import distribution as ds
+
+    d = ds.count_of_counts(Tables(spark, sf_dir).v_commit_files, "commit_id")
+    lines = d.select(F.concat_ws(" ", F.col("value").cast("string"), F.col("freq").cast("string")).alias("value"))
+    odd = spark.createDataFrame([("no number",)], "value string")
+    return src.read_distribution(spark, _text(spark, lines.unionAll(odd), "distribution"))
+
+
+@_q("io_dictionary", "select lower(l_returnflag) as tok, count(*) as freq from lineitem group by 1")
+def io_dictionary(spark, sf_dir):
+    counted = Tables(spark, sf_dir).lineitem.groupBy(F.lower("l_returnflag").alias("tok")).agg(F.count("*").alias("freq"))
+    path = _path(spark, "dictionary")
+    src.write_dictionary(counted, path)
+    return src.read_separated(spark, path, "tab", ["tok", "freq"]).select("tok", F.col("freq").cast("bigint").alias("freq"))
+
+
+@_q("commit_document_lookup", "select cast(c.id as varchar) as sha, concat('u', c.author_id) as actor, f.filename, f.additions, f.deletions from v_commits c join v_commit_files f on f.commit_id = c.id where c.id in (7, 8, 9)")
+def commit_document_lookup(spark, sf_dir):
+    """Nested commit documents written as JSON, three of them looked up by their sha."""
+    t = Tables(spark, sf_dir)
+    files = t.v_commit_files.groupBy("commit_id").agg(F.collect_list(F.struct("filename", "additions", "deletions")).alias("files"))
+    person = lambda login: F.struct(login.cast("string").alias("login"), F.lit(1).alias("id"))
+    named = F.struct(F.lit("n").alias("name"), F.lit("e").alias("email"))
+    docs = t.v_commits.join(files, F.col("commit_id") == F.col("id")).select(
+        F.col("id").cast("string").alias("sha"),
+        F.array(F.struct(F.lit("p").alias("sha"))).alias("parents"),
+        person(F.concat(F.lit("u"), "author_id")).alias("author"),
+        person(F.lit(None)).alias("committer"),
+        F.struct(F.lit("m").alias("message"), named.alias("author"), named.alias("committer")).alias("commit"),
+        "files",
+    )
+    path = _path(spark, "commit-documents")
+    docs.write.json(path)
+    stored = spark.read.schema(docs.schema).json(path)
+    return src.commit_documents(stored.where(F.col("sha").isin("7", "8", "9"))).select("sha", "actor", "filename", "additions", "deletions")

@@ -266,9 +266,26 @@ def comment_sentiment(spark, sf_dir):
     return words.join(F.broadcast(lexicon), "word").groupBy("conv_id", "turn").agg(F.round(F.avg("polarity"), 6).alias("polarity"), F.count("*").alias("words"))
 
 
-@register("dates_parsed", oracle("select id, strptime(strftime(created_at, '%m/%d/%Y'), '%m/%d/%Y') as day from v_commits"))
+@register("dates_parsed", oracle("select id, case when id % 4 = 3 then null else date_trunc('day', created_at) end as day from v_commits"))
 def dates_parsed(spark, sf_dir):
-    return Tables(spark, sf_dir).v_commits.select("id", tx.parsed_date(F.date_format("created_at", "MM/dd/yyyy")).cast("timestamp_ntz").alias("day"))
+    """The three layouts by turns, and one that is none."""
+    layouts = ["MM/dd/yyyy", "yyyy-MM-dd_HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "dd.MM.yyyy"]
+    laid = F.coalesce(*(F.when(F.col("id") % 4 == k, F.date_format(F.date_trunc("day", "created_at"), f)) for k, f in enumerate(layouts)))
+    return Tables(spark, sf_dir).v_commits.select("id", tx.parsed_date(laid).cast("timestamp_ntz").alias("day"))
+
+
+@register("actor_names", oracle("select id, coalesce(case when id % 2 = 0 then login end, case when id % 3 = 0 then concat('a', id) end, case when id % 5 = 0 then company end, case when id % 7 = 0 then email end, 'null null') as actor from v_users"))
+def actor_names(spark, sf_dir):
+    """The first identity that is known of committer's login, author's login, committer's name, author's name."""
+    known = lambda n, c: F.when(F.col("id") % n == 0, c)
+    actor = tx.actor_name(known(2, F.col("login")), known(3, F.concat(F.lit("a"), "id")), known(5, F.col("company")), known(7, F.col("email")))
+    return Tables(spark, sf_dir).v_users.select("id", actor.alias("actor"))
+
+
+@register("repo_keys", oracle("select id, concat('u', id % 50, '_', replace(lower(name), '#', '-'), '_commits') as repo from v_projects"))
+def repo_keys(spark, sf_dir):
+    url = F.concat(F.lit("https://api.github.com/repos/u"), F.col("id") % 50, F.lit("/"), F.translate(F.lower("name"), "#", "-"), F.lit("/commits"))
+    return Tables(spark, sf_dir).v_projects.select("id", tx.repo_of_url(url).alias("repo"))
 
 
 _CLASSES = """count(*) filter (where regexp_matches(tok, '^[A-Za-z_]')) as program_uniq, coalesce(sum(freq) filter (where regexp_matches(tok, '^[A-Za-z_]')), 0) as program_total,
@@ -300,9 +317,12 @@ def program_ratio(spark, sf_dir):
     return ratio.groupBy(F.least(F.floor(F.round(F.col("r") * 500, 9)), F.lit(499)).cast("int").alias("bin")).agg(F.count("*").alias("freq"))
 
 
-@register("file_size_hist", f"with {ARR} select len(a) as value, count(*) as freq from arrs group by 1")
+@register("file_size_hist", f"with {ARR}, s as (select 'all' as kind, len(a) as value from arrs union all select 'program', len(list_filter(a, lambda t: regexp_matches(t, '^[A-Za-z_]'))) from arrs) select kind, value, count(*) as freq from s group by 1, 2")
 def file_size_hist(spark, sf_dir):
-    return ds.pdf(Tables(spark, sf_dir).documents.select(F.size(tx.tokens(F.col("text"))).alias("n")), "n")
+    """Sizes of files in all tokens, and in those of programs."""
+    toks = tx.tokens(F.col("text"))
+    sizes = F.array(F.struct(F.lit("all").alias("kind"), F.size(toks).alias("n")), F.struct(F.lit("program").alias("kind"), F.size(F.filter(toks, tx.is_entity)).alias("n")))
+    return ds.pdf(Tables(spark, sf_dir).documents.select(F.explode(sizes).alias("s")).select("s.*"), "n", ["kind"])
 
 
 HEAPS = f"""{TOK}, firsts as (select lang, tok, min(doc_id) as doc_id from toks group by lang, tok), fresh as (select lang, doc_id, count(*) as fresh from firsts group by lang, doc_id),
