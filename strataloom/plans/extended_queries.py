@@ -120,7 +120,9 @@ def biconnected_blocks(spark, sf_dir):
 
 @register("articulation_points")
 def articulation_points(spark, sf_dir):
-    return gb.articulation_points(gb.biconnected(_edges(spark, sf_dir)))
+    """Of the projects and their forks: the follower graph has none."""
+    forks = Tables(spark, sf_dir).v_projects.where("forked_from is not null").select(F.col("forked_from").alias("src"), F.col("id").alias("dst"))
+    return gb.articulation_points(gb.biconnected(gr.undirected(forks)))
 
 
 def _between(spark, sf_dir):

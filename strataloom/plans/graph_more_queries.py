@@ -117,9 +117,11 @@ def community_profile(spark, sf_dir):
 
 @register("graph_whiskers")
 def graph_whiskers(spark, sf_dir):
-    """Over the commits' links of authors and projects, where bridges are common."""
-    b = Tables(spark, sf_dir).v_bipartite.where("weight >= 2").select(F.col("user_id").alias("a"), (F.col("repo_id") + 10_000_000).alias("b"))
-    return gs.whiskers(gb.biconnected(b.distinct()))
+    """Over families of forks: forks of one project are linked to each other, and the first of them to the project."""
+    f = _forks(spark, sf_dir)
+    first = f.groupBy(F.col("src").alias("a")).agg(F.min("dst").alias("b"))
+    siblings = gr.projection(f, "src", "dst").select("a", "b")  # a project has a few forks
+    return gs.whiskers(gb.biconnected(siblings.unionAll(first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()))
 
 
 @_q("cascade_sizes", f"with recursive p as (select src, dst from v_followers where (src * 31 + dst * 17) % 100 < 3), b as (select distinct src as source, src as node, 0 as dist from v_followers where src % {5 * EVERY} = 0 union select b.source, p.dst, b.dist + 1 from b join p on p.src = b.node where b.dist < 60 and not exists (select 1 from recurring.b k where k.source = b.source and k.node = p.dst)), d as (select source, node, min(dist) as dist from b group by 1, 2) select source, count(*) as size, max(dist) as depth from d group by source")

@@ -136,3 +136,39 @@ def test_epidemic_rates_are_found():
     assert abs(beta - 0.8) < 0.1 and abs(gamma - 0.3) < 0.1
     last = gl.epidemic(0.5, 0.1, start, 3000, loss=0.05)[-1]
     assert abs(sum(last[1:]) - 1) < 1e-9 and last[2] > 0.05  # stays endemic
+
+
+def test_paths_directions_and_diameters(spark):
+    chain = arcs(spark, [(1, 2), (2, 3), (3, 4), (1, 5), (5, 4)])
+    one = spark.createDataFrame([(4,)], "node bigint")
+    found = {d: sorted((r.node, r.dist) for r in gr.bfs(chain, one, direction=d).collect()) for d in ("out", "in", "both")}
+    assert found["out"] == [(4, 0)] and found["in"] == [(1, 2), (2, 2), (3, 1), (4, 0), (5, 1)] and len(found["both"]) == 5
+    assert sorted(r.dist for r in gr.bfs(chain, one, direction="in", most=1).collect()) == [0, 1, 1]
+    start = spark.createDataFrame([(1,)], "node bigint")
+    paths = {r.node: r.path for r in gr.random_paths(chain, gr.bfs(chain, start)).collect()}
+    assert paths == {1: [1], 2: [1, 2], 3: [1, 2, 3], 5: [1, 5], 4: [1, 5, 4]}
+    assert gr.diameter(edges(spark, [(1, 2), (2, 3), (3, 4)])) == 3
+    with pytest.raises(ValueError, match="not connected"):
+        gr.diameter(edges(spark, [(1, 2), (3, 4)]))
+
+
+def test_spectrum_is_that_of_the_matrix(spark):
+    import numpy as np
+
+    pairs = some_graph(6, 14, 40)
+    adj = np.zeros((14, 14))
+    for a, b in pairs:
+        adj[a, b] = adj[b, a] = 1
+    values, vectors = np.linalg.eigh(adj)
+    order = np.argsort(-np.abs(values))[:2]
+    got = gr.spectrum(edges(spark, pairs), 2, rounds=80).orderBy("k").collect()
+    assert [r.value for r in got] == pytest.approx(values[order], abs=1e-3)
+    assert got[0].ipr == pytest.approx((vectors[:, order[0]] ** 4).sum(), abs=1e-3)
+
+
+def test_signs_and_buckets(spark):
+    signed = spark.createDataFrame([(1, 2, 1), (2, 3, -1), (1, 3, -1), (3, 4, 1), (1, 4, 1)], "a bigint, b bigint, sign int")
+    got = {(r.a, r.b): (r.balance, r.predicted) for r in gs.sign_prediction(signed).collect()}
+    assert got == {(1, 2): (1, 1), (2, 3): (-1, -1), (1, 3): (0, 0), (3, 4): (-1, -1), (1, 4): (-1, -1)}
+    timed = spark.createDataFrame([(1, 2, 5), (2, 3, 1), (3, 4, 9)], "a bigint, b bigint, ts bigint")
+    assert {r.node: (r.ts, r.bucket) for r in gs.node_buckets(timed, 2).collect()} == {2: (1, 0), 3: (1, 0), 1: (5, 1), 4: (9, 1)}
