@@ -240,7 +240,7 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 40, wide: int = 72,
 
     members = map_texts(held, ["root", "node", *"abcdn", "text"], "text", "root bigint, node bigint, a bigint, b bigint, c bigint, d bigint, n bigint, set binary", sets)
     members = materialize(members, "similar-members")
-    with arrow_rows(docs.sparkSession, 16):
+    with arrow_rows(docs.sparkSession, 2):  # a row may be two blocks of about half a million shingles
         linked = materialize(links(members, radius, wide, block_shingles), "similar-links")
     found = connected_components(linked)
     rooted = nodes.join(found, "node", "left").select("least", F.coalesce("component", "node").alias("root"))
