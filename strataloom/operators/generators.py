@@ -142,7 +142,7 @@ def geometric_attachment(spark: SparkSession, n: int, out: int, cells: int = 8,
 
 
 def forest_fire(spark: SparkSession, n: int, forward: float, backward: float, seed: int = 1) -> DataFrame:
-    """``(src, dst)``: each new node links to an ambassador and to all that a fire from there burns (Leskovec and others 2005).
+    """``(src, dst)``: each new node links to an ambassador and to all that a fire from there burns.
 
     Every node depends on all before it, so this runs in one process; ``n`` is bounded by its memory.
     """
