@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import urlfilter
+from strataloom.llm import audit, merkle, mixing, urlfilter
 from strataloom.llm.common import table
 
 
@@ -78,6 +78,18 @@ def op10_pseudolikelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_and_score(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_byte_bpe": op2_byte_bpe,
@@ -89,7 +101,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_licenses": op9_licenses,
     "op10_pseudolikelihood": op10_pseudolikelihood,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_source_mix": op13_source_mix,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {"op4_url_filter": urlfilter.oracle()}
+SQL: dict[str, str] = {"op4_url_filter": urlfilter.oracle(), "op11_filter_audit": audit.oracle(), "op12_merkle_manifest": merkle.oracle(), "op13_source_mix": mixing.oracle()}
