@@ -8,7 +8,8 @@ from strataloom.catalog import register
 from strataloom.operators import communities as cm
 from strataloom.operators import inference as nf
 from strataloom.operators import signs as sg
-from strataloom.plans.graph_queries import DEG, _edges, _q
+from strataloom.operators import walks as wk
+from strataloom.plans.graph_queries import DEG, EVERY, _edges, _q
 from strataloom.tables import Tables
 
 
@@ -84,3 +85,46 @@ def status_theory(spark, sf_dir):
 def signed_closures(spark, sf_dir):
     """Day by day, how many closing votes have the sign of status and of balance."""
     return sg.closures_over_time(_votes(spark, sf_dir), F.day("ts").cast("bigint"))
+
+
+#: a developer's first commit to a project makes a link from then on; links up to this day are known
+_KNOWN_UNTIL = "1996-12-31"
+_MEMBERS = f"m as (select user_id, repo_id + 1000000 as repo, count(*) as commits, min(created_at) as ts from (select author_id as user_id, project_id as repo_id, created_at from v_commits) c group by 1, 2), k as (select * from m where ts <= timestamp '{_KNOWN_UNTIL}'), a as (select user_id as src, repo as dst from k union all select repo, user_id from k)"
+
+
+def _memberships(spark, sf_dir):
+    """Known and later links of developers and projects; features of the known ones."""
+    m = Tables(spark, sf_dir).v_commits.groupBy(F.col("author_id").alias("user"), (F.col("project_id") + 1_000_000).alias("repo")).agg(F.min("created_at").alias("ts"), F.count_if(F.col("created_at") <= F.lit(f"{_KNOWN_UNTIL} 00:00:00").cast("timestamp_ntz")).alias("commits"), F.max(F.when(F.col("created_at") <= F.lit(f"{_KNOWN_UNTIL} 00:00:00").cast("timestamp_ntz"), F.col("created_at"))).alias("last"))
+    known = m.where("commits > 0")
+    size = known.groupBy("repo").agg(F.count("*").alias("members"))
+    ago = F.datediff(F.lit(_KNOWN_UNTIL).cast("date"), F.col("last").cast("date")) / 365.0
+    links = known.join(size, "repo").select("user", "repo", F.log1p(F.col("commits") - 1).alias("often"), (-ago).alias("lately"), F.log("members").alias("crowd"))
+    both = links.select(F.col("user").alias("src"), F.col("repo").alias("dst"), "often", "lately", "crowd").unionAll(links.select("repo", "user", "often", "lately", "crowd"))
+    return both, known.select("user", "repo"), m.where("commits = 0").select("user", "repo")
+
+
+def _candidates(known, later, users):
+    """Each of ``users`` with every project it has no part in yet, and whether it gets one."""
+    repos = known.select("repo").union(later.select("repo")).distinct()
+    mine = users.crossJoin(repos).join(known, ["user", "repo"], "left_anti")  # a twentieth of the users, as stated, with all projects
+    return mine.join(later.withColumn("linked", F.lit(True)), ["user", "repo"], "left").select(F.col("user").alias("source"), F.col("repo").alias("node"), F.coalesce("linked", F.lit(False)).alias("linked"))
+
+
+@_q("restart_walks", f"with {_MEMBERS}, o as (select src, count(*) as n from a group by src), q as (select a.src, a.dst, 1.0 / o.n as q from a join o using (src)), s0 as (select distinct src as source, src as node, cast(1.0 as double) as p from a where src % 20 = 0 and src < 1000000), s1 as (select source, node, sum(p) as p from (select source, dst as node, 0.8 * p * q as p from s0 join q on src = node union all select source, node, 0.2 from s0) t group by 1, 2), s2 as (select source, node, sum(p) as p from (select source, dst as node, 0.8 * p * q as p from s1 join q on src = node union all select source, node, 0.2 from s0) t group by 1, 2), s3 as (select source, node, sum(p) as p from (select source, dst as node, 0.8 * p * q as p from s2 join q on src = node union all select source, node, 0.2 from s0) t group by 1, 2) select source, node, round(p, 9) as p from s3")
+def restart_walks(spark, sf_dir):
+    """Where three steps from every twentieth developer end among developers and projects, all arcs alike."""
+    arcs, *_ = _memberships(spark, sf_dir)
+    sources = arcs.where(f"src % {EVERY} = 0 and src < 1000000").select(F.col("src").alias("node")).distinct()
+    return wk.Walks(arcs, [], steps=3).walk(sources).withColumn("p", F.round("p", 9))
+
+
+@register("walk_predictions")
+def walk_predictions(spark, sf_dir):
+    """Which project each twentieth developer takes up next: strengths learned on half of them, chances for the others."""
+    arcs, known, later = _memberships(spark, sf_dir)
+    users = known.select("user").distinct().where(f"user % {EVERY} = 0")
+    walks = wk.Walks(arcs, ["often", "lately", "crowd"], steps=3)
+    weights, _ = walks.fit(_candidates(known, later, users.where(f"user % {2 * EVERY} = 0")), rounds=3)
+    asked = _candidates(known, later, users.where(f"user % {2 * EVERY} <> 0"))
+    reached = walks.walk(asked.select(F.col("source").alias("node")).distinct(), weights)
+    return asked.join(reached, ["source", "node"], "left").fillna(0.0, ["p"]).select("source", F.col("node") - 1_000_000, "linked", "p").toDF("developer", "project", "linked", "p").withColumn("p", F.round("p", 6))
