@@ -187,14 +187,55 @@ def community_profile(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, e
 
 
 def whiskers(blocks: DataFrame) -> DataFrame:
-    """``(whisker, nodes, edges)``: what bridges hold on to the rest: the pieces left without bridges, but for the largest, that have an edge."""
-    inner = blocks.where("not bridge")
-    parts = connected_components(inner.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    sizes = parts.groupBy("component").agg(F.count("*").alias("nodes"))
-    edges = inner.join(parts, inner.a == parts.node).groupBy("component").agg(F.count("*").alias("edges"))
-    both = materialize(sizes.join(edges, "component"), "whiskers")
-    largest = both.agg(F.max(F.struct("nodes", -F.col("component"))).alias("m"))  # one row
-    return both.crossJoin(F.broadcast(largest)).where("struct(nodes, -component) <> m").select(F.col("component").alias("whisker"), "nodes", "edges")
+    """``(whisker, nodes, edges, volume, conductance)``: what single bridges hold on to the core of the largest component.
+
+    The core is the largest of the pieces that are left without bridges (ties: the one of the least node). Each component of what
+    remains when the core is taken out hangs on it by one bridge, for two would be in a cycle with the core; trees
+    count as well as denser parts, and its volume is twice its edges and the bridge.
+    """
+    blocks = materialize(blocks.select("a", "b", "bridge"), "whiskers")
+    arcs = blocks.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    parts = materialize(connected_components(arcs), "whiskers")
+    alone = gr.nodes(arcs).select(F.col("node").alias("src"), F.col("node").alias("dst"))
+    pieces = connected_components(blocks.where("not bridge").select(F.col("a").alias("src"), F.col("b").alias("dst")).unionAll(alone))
+    best = F.struct(F.count("*").alias("size"), (-F.col("component")).alias("less"))
+    whole = parts.groupBy("component").agg(best.alias("m")).agg(F.max("m").alias("m")).select((-F.col("m.less")).alias("component"))  # one row
+    inside = materialize(parts.join(F.broadcast(whole), "component", "left_semi").select("node"), "whiskers")
+    pieces = materialize(pieces.join(inside, "node", "left_semi"), "whiskers")
+    core = pieces.groupBy("component").agg(best.alias("m")).agg(F.max("m").alias("m")).select((-F.col("m.less")).alias("component"))  # one row
+    centre = materialize(pieces.join(F.broadcast(core), "component", "left_semi").select("node"), "whiskers")
+    out = materialize(inside.join(centre, "node", "left_anti"), "whiskers")
+    links = materialize(gr.induced(arcs, out), "whiskers")
+    hanging = connected_components(links.unionAll(out.select(F.col("node").alias("src"), F.col("node").alias("dst"))))
+    sizes = hanging.groupBy("component").agg(F.count("*").alias("nodes"))
+    inner = links.join(hanging.withColumnRenamed("node", "src"), "src").groupBy("component").agg(F.count("*").alias("edges"))
+    total = blocks.join(inside.withColumnRenamed("node", "a"), "a", "left_semi").agg((2 * F.count("*")).alias("total"))  # one row
+    found = sizes.join(inner, "component", "left").fillna(0, ["edges"]).crossJoin(F.broadcast(total)).withColumn("volume", 2 * F.col("edges") + 1)
+    return found.select(F.col("component").alias("whisker"), "nodes", "edges", "volume", (1 / F.least("volume", F.col("total") - F.col("volume"))).alias("conductance"))
+
+
+def bag_of_whiskers(found: DataFrame, total: int, most: int = 100) -> DataFrame:
+    """``(nodes, whiskers, volume, conductance)``: for each number of nodes up to ``most`` the union of ``whiskers`` of least conductance (ties: fewer whiskers).
+
+    Of whiskers of n nodes only the ``most / n`` of greatest volume can be in a best union, so what reaches the driver are
+    ``most * (1 + ln most)`` rows at most, whatever the graph; a knapsack over them gives the greatest volume for each number of nodes and whiskers.
+    """
+    import numpy as np
+
+    order = Window.partitionBy("nodes").orderBy(F.desc("volume"), "whisker")
+    best = found.where(F.col("nodes") <= most).withColumn("k", F.row_number().over(order)).where(F.col("k") * F.col("nodes") <= most)
+    volume = np.full((most + 1, most + 1), -1, np.int64)  # by nodes and whiskers
+    volume[0, 0] = 0
+    for r in best.select("nodes", "volume").collect():
+        before = volume[: most + 1 - r.nodes, :-1]
+        volume[r.nodes :, 1:] = np.maximum(volume[r.nodes :, 1:], np.where(before >= 0, before + r.volume, -1))
+    rows = []
+    for n in range(1, most + 1):
+        unions = [(k / min(v, total - v), k, int(v)) for k, v in enumerate(volume[n].tolist()) if v >= 0 and min(v, total - v) > 0]
+        if unions:
+            phi, k, v = min(unions)
+            rows.append((n, k, v, phi))
+    return found.sparkSession.createDataFrame(rows, "nodes bigint, whiskers bigint, volume bigint, conductance double")
 
 
 def sign_prediction(signed: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from strataloom.operators import graph_blocks as gb
 from strataloom.operators import graph_local as gl
 from strataloom.operators import graph_stats as gs
 from strataloom.operators import repository as rp
+from strataloom.operators.components import connected_components
 from strataloom.plans.graph_queries import _WCC, DEG, EVERY, S, _arcs, _edges, _q
 from strataloom.tables import Tables, oracle
 
@@ -115,13 +116,27 @@ def community_profile(spark, sf_dir):
     return gs.community_profile(e, _seeds(e), eps=1e-5).withColumn("conductance", F.round("conductance", 9))
 
 
+def _tight(spark, sf_dir):
+    """Developers and the projects that they committed to twice or more, one graph."""
+    w = Tables(spark, sf_dir).v_bipartite.where("weight >= 2")
+    return w.select(F.col("user_id").alias("a"), (F.col("repo_id") + 1_000_000).alias("b"))
+
+
 @register("graph_whiskers")
 def graph_whiskers(spark, sf_dir):
-    """Over families of forks: forks of one project are linked to each other, and the first of them to the project."""
-    f = _forks(spark, sf_dir)
-    first = f.groupBy(F.col("src").alias("a")).agg(F.min("dst").alias("b"))
-    siblings = gr.projection(f, "src", "dst").select("a", "b")  # a project has a few forks
-    return gs.whiskers(gb.biconnected(siblings.unionAll(first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()))
+    """What hangs on the core of developers and projects by one link."""
+    return gs.whiskers(gb.biconnected(_tight(spark, sf_dir))).withColumn("conductance", F.round("conductance", 9))
+
+
+@register("bag_of_whiskers")
+def bag_of_whiskers(spark, sf_dir):
+    """The unions of whiskers that are cut off best, by their number of nodes."""
+    edges = _tight(spark, sf_dir)
+    found = gs.whiskers(gb.biconnected(edges))
+    parts = connected_components(edges.toDF("src", "dst"))
+    largest = parts.groupBy("component").count().agg(F.max(F.struct("count", -F.col("component"))).alias("m"))  # one row
+    total = 2 * edges.join(parts.withColumnRenamed("node", "a"), "a").join(F.broadcast(largest.select((-F.col("m.col2")).alias("component"))), "component", "left_semi").count()
+    return gs.bag_of_whiskers(found, total).withColumn("conductance", F.round("conductance", 9))
 
 
 @_q("cascade_sizes", f"with recursive p as (select src, dst from v_followers where (src * 31 + dst * 17) % 100 < 3), b as (select distinct src as source, src as node, 0 as dist from v_followers where src % {5 * EVERY} = 0 union select b.source, p.dst, b.dist + 1 from b join p on p.src = b.node where b.dist < 60 and not exists (select 1 from recurring.b k where k.source = b.source and k.node = p.dst)), d as (select source, node, min(dist) as dist from b group by 1, 2) select source, count(*) as size, max(dist) as depth from d group by source")

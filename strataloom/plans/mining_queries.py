@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from strataloom.catalog import register
 from strataloom.operators import communities as cm
 from strataloom.operators import inference as nf
+from strataloom.operators import shapes as sh
 from strataloom.operators import signs as sg
 from strataloom.operators import walks as wk
+from strataloom.operators.components import connected_components
 from strataloom.plans.graph_queries import DEG, EVERY, _edges, _q
 from strataloom.tables import Tables
 
@@ -128,3 +130,28 @@ def walk_predictions(spark, sf_dir):
     asked = _candidates(known, later, users.where(f"user % {2 * EVERY} <> 0"))
     reached = walks.walk(asked.select(F.col("source").alias("node")).distinct(), weights)
     return asked.join(reached, ["source", "node"], "left").fillna(0.0, ["p"]).select("source", F.col("node") - 1_000_000, "linked", "p").toDF("developer", "project", "linked", "p").withColumn("p", F.round("p", 6))
+
+
+@register("fork_shapes")
+def fork_shapes(spark, sf_dir):
+    """How many families of forks have one shape, all below each root."""
+    t = Tables(spark, sf_dir)
+    arcs = t.v_projects.where("forked_from is not null and forked_from <> id").select(F.col("forked_from").alias("src"), F.col("id").alias("dst"))
+    family = connected_components(arcs).select(F.col("component").alias("graph"), F.col("node").alias("src"))
+    return sh.shape_counts(sh.shape_keys(arcs.join(family, "src").select("graph", "src", "dst")))
+
+
+@register("cascade_shapes")
+def cascade_shapes(spark, sf_dir):
+    """Shapes of what follows within six hours: watchers of a repository, each linked to those soon after, by connected run."""
+    found = nf.candidates(_hits(spark, sf_dir), 0.25)
+    arcs = found.select(F.concat_ws("-", "cascade", "src").alias("src"), F.concat_ws("-", "cascade", "dst").alias("dst"))
+    runs = connected_components(arcs).select(F.col("component").alias("graph"), F.col("node").alias("src"))
+    return sh.shape_counts(sh.shape_keys(arcs.join(runs, "src").select("graph", "src", "dst")))
+
+
+@register("acyclic_search")
+def acyclic_search(spark, sf_dir):
+    """An order of the followers after sources and sinks are peeled off and six rounds of swaps that gain."""
+    arcs = Tables(spark, sf_dir).v_followers.select("src", "dst")
+    return sh.swapped_order(arcs, sh.peeled_order(arcs), 6)

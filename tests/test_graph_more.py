@@ -69,7 +69,7 @@ def test_whiskers_and_communities(spark):
     # a clique of five, a bridge to a triangle, a bridge to a leaf
     pairs = [*itertools.combinations(range(5), 2), (4, 10), (10, 11), (11, 12), (10, 12), (0, 20)]
     found = gs.whiskers(gb.biconnected(edges(spark, pairs))).collect()
-    assert [(r.whisker, r.nodes, r.edges) for r in found] == [(10, 3, 3)]
+    assert sorted((r.whisker, r.nodes, r.edges) for r in found) == [(10, 3, 3), (20, 1, 0)]  # trees hang on as well
     two = edges(spark, [(1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6), (3, 4)])
     split = gl.edge_removal_communities(two).collect()
     assert {r.node: r.community for r in split} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4} and abs(split[0].q - 5 / 14) < 1e-9
