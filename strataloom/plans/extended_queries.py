@@ -35,6 +35,15 @@ def stream_vocab_growth(spark, sf_dir):
     return g.groupBy("lang").agg(F.max_by("all_total", "batch").alias("total"), F.max_by("all_uniq", "batch").alias("uniq"))
 
 
+@register("stream_growth_curve", f"with t as (select coalesce(lang, '') as lang, doc_id, unnest(regexp_extract_all(trim(text), '{RX}', 0)) as tok from documents), n as (select coalesce(lang, '') as lang, doc_id, coalesce(len(regexp_extract_all(trim(text), '{RX}', 0)), 0) as n from documents), f as (select lang, doc_id, count(*) as fresh from (select lang, tok, min(doc_id) as doc_id from t group by lang, tok) x group by lang, doc_id) select n.lang, n.doc_id, cast(sum(n) over w as bigint) as total, cast(sum(coalesce(fresh, 0)) over w as bigint) as uniq from n left join f on f.lang = n.lang and f.doc_id = n.doc_id window w as (partition by n.lang order by n.doc_id)")
+def stream_growth_curve(spark, sf_dir):
+    """Vocabulary growth document by document: four batches, in order of doc_id, each with state of what came before only."""
+    docs = Tables(spark, sf_dir).documents.select("doc_id", "lang", "text")
+    folder = jobs.landed_in_order(docs, "doc_id", 4)
+    found, sizes = jobs.growth_by_document(folder, "lang", "doc_id")
+    return jobs.growth_curve(jobs.drain(found, "append"), jobs.drain(sizes, "append")).toDF("lang", "doc_id", "total", "uniq")
+
+
 @register("stream_retractions", f"with t as (select doc_id, unnest(regexp_extract_all(trim(text), '{RX}', 0)) as tok from documents) select count(*) as total, count(distinct tok) as uniq from t where doc_id % 3 <> 0")
 def stream_retractions(spark, sf_dir):
     """Every document comes, every third is taken away again: what is left after the last batch."""

@@ -287,17 +287,21 @@ def wcc_largest(spark, sf_dir):
     return wcc(spark, sf_dir).agg(F.max("size").alias("largest"), F.round(F.max("size") / F.sum("size"), 9).alias("share"), (F.count("*") == 1).alias("connected"))
 
 
-@register("scc")  # reachability over all pairs is too slow in SQL; the tests hold it against a depth-first search
+@_q("scc", "with recursive r as (select src, dst from v_followers union select r.src, f.dst from r join v_followers f on f.src = r.dst), n as (select src as node from v_followers union select dst from v_followers) select n.node, least(n.node, coalesce(min(x.dst), n.node)) as component from n left join (select x.src, x.dst from r x join r y on x.src = y.dst and x.dst = y.src) x on x.src = n.node group by n.node")
 def scc(spark, sf_dir):
     return gr.strong_components(_arcs(spark, sf_dir))
 
 
-@register("kcore")  # peeling has no SQL form here; the tests hold it against a loop
+#: core numbers as the fixed point of neighbours' h-indices, from the degrees down
+_CORES = f"{DEG}, k(node, core, round) as (select node, deg, 0 from g union all select src, cast(sum(case when core >= r then 1 else 0 end) as bigint), any_value(round) + 1 from (select s.src, k.core, k.round, row_number() over (partition by s.src order by k.core desc) as r from k join s on s.dst = k.node where k.round < 100) t group by src), c as (select node, core from k where round = 100)"
+
+
+@_q("kcore", f"with recursive {_CORES} select node, core from c")
 def kcore(spark, sf_dir):
     return gr.core_numbers(_edges(spark, sf_dir))
 
 
-@register("kcore_sizes")
+@_q("kcore_sizes", f"with recursive {_CORES}, o as (select distinct core as k from c), e as (select least(x.core, y.core) as core from v_edges join c x on x.node = a join c y on y.node = b) select k, (select count(*) from c where core >= k) as nodes, (select count(*) from e where core >= k) as edges from o")
 def kcore_sizes(spark, sf_dir):
     """Nodes and edges of the k-core of every order."""
     cores = gr.core_numbers(_edges(spark, sf_dir))

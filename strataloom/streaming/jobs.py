@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import bisect
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from strataloom.functions import text as tx
+from strataloom.operators.prefix import running_sums
 from strataloom.session import drop_path, shared_path
 
 
@@ -33,6 +35,20 @@ def landed(table: DataFrame, files: int = 4, files_per_trigger: int = 1, closing
     return source(table.sparkSession, folder, table, files_per_trigger)
 
 
+def landed_in_order(table: DataFrame, order: str, batches: int, files: int = 4) -> DataFrame:
+    """A table as a stream of so many batches of ``files`` files, each batch a range of ``order`` (by its approximate quantiles), written one after the other."""
+    folder = shared_path(table.sparkSession, "stream-in")
+    bounds = sorted(set(table.agg(F.percentile_approx(order, [k / batches for k in range(1, batches)])).first()[0] or []))
+    for low, high in itertools.pairwise([None, *bounds, None]):
+        part = table
+        if low is not None:
+            part = part.where(F.col(order) > F.lit(low))
+        if high is not None:
+            part = part.where((F.col(order) <= F.lit(high)) | (F.col(order).isNull() if low is None else F.lit(False)))
+        part.repartition(files).write.mode("append").parquet(folder)
+    return source(table.sparkSession, folder, table, files)
+
+
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all that is available; in append mode the rows, in complete mode the last table.
 
@@ -155,3 +171,52 @@ def session_counts(events: DataFrame, key: str, ts: str, gap: str = "30 minutes"
     """Extension: events of each session of a key. Works on tables and streams."""
     rows = events.withColumn("__t", F.col(ts).cast("timestamp"))
     return rows.groupBy(F.session_window("__t", gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "n")
+
+
+class _Seen(StatefulProcessor):
+    """Keeps the terms of a key that were there before, in the state store, and passes each on the first time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._seen = handle.getMapState("seen", "tok string", "here boolean")
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802  the interface's name
+        first: dict[str, tuple[int, int]] = {}
+        for part in rows:
+            for tok, doc, pos in zip(part["tok"], part["doc"], part["pos"], strict=True):
+                if tok not in first or (doc, pos) < first[tok]:
+                    first[tok] = (doc, pos)
+        fresh = [tok for tok in first if not self._seen.containsKey((tok,))]
+        for tok in fresh:
+            self._seen.updateValue((tok,), (True,))
+        if fresh:
+            names = pd.DataFrame({"by": [key[0]] * len(fresh), "tok": fresh}, dtype=object)
+            yield names.assign(doc=[first[t][0] for t in fresh], pos=[first[t][1] for t in fresh])
+
+    def close(self) -> None:
+        pass
+
+
+def first_occurrences(docs: DataFrame, by: str, doc: str, text: str = "text", shards: int = 64) -> DataFrame:
+    """``(by, tok, doc, pos)`` of each term's first place, for each key ``by`` (null: empty): in the batch that brings it, by least doc; ``pos`` counts the doc's different terms.
+
+    A key's terms are dealt to ``shards`` by hash, each with a set of its own in the state store. So a batch costs what it brings, whatever came
+    before, and one key fills many tasks. A term goes to its shard once a document. Null docs are left out.
+    """
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # the only one that keeps maps
+    rows = docs.where(F.col(doc).isNotNull()).select(F.coalesce(F.col(by), F.lit("")).alias("by"), F.col(doc).cast("bigint").alias("doc"), F.posexplode(F.array_distinct(tx.tokens(F.col(text)))).alias("pos", "tok"))
+    dealt = rows.select("by", F.pmod(F.xxhash64("tok"), F.lit(shards)).cast("int").alias("shard"), "tok", "doc", "pos")
+    return dealt.groupBy("by", "shard").transformWithStateInPandas(_Seen(), "by string, tok string, doc bigint, pos int", "Append", "None")
+
+
+def growth_by_document(docs: DataFrame, by: str, doc: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Streams of ``first_occurrences`` and of ``(by, doc, n)``, each document's number of terms: what a growth curve is the running sums of."""
+    sizes = docs.where(F.col(doc).isNotNull()).select(F.coalesce(F.col(by), F.lit("")).alias("by"), F.col(doc).cast("bigint").alias("doc"), F.size(tx.tokens(F.col(text))).cast("bigint").alias("n"))
+    return first_occurrences(docs, by, doc, text), sizes
+
+
+def growth_curve(found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``(by, doc, total, uniq)``: terms and different terms of a key up to each document, from what the streams gave."""
+    fresh = found.groupBy("by", "doc").agg(F.count("*").alias("fresh"))
+    rows = sizes.groupBy("by", "doc").agg(F.sum("n").alias("n")).join(fresh, ["by", "doc"], "left").fillna(0, ["fresh"])
+    return running_sums(rows, ["by"], "doc", {"n": "total", "fresh": "uniq"}).select("by", "doc", "total", "uniq")

@@ -48,3 +48,21 @@ def test_an_empty_stream_gives_no_rows(spark, tmp_path, mode):
     stream = files(spark, tmp_path, [[]], "k bigint")
     out = stream if mode == "append" else stream.groupBy("k").count()
     assert jobs.drain(out, mode).count() == 0
+
+
+def test_growth_goes_on_from_the_checkpoint(spark, tmp_path):
+    """Two runs over one checkpoint give what one pass over all gives; the second run reads no old file and passes no old term on."""
+    texts = ["a b a", "b c d", "a e", "", "c f g f", "a b h"]
+    rows = [(k, "x" if k != 3 else None, t) for k, t in enumerate(texts)]
+    source, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+
+    def run(part):
+        frame = spark.createDataFrame(part, "doc_id bigint, lang string, text string")
+        frame.coalesce(1).write.mode("append").parquet(source)
+        found = jobs.first_occurrences(jobs.source(spark, source, frame), "lang", "doc_id", shards=3)
+        query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted((r.tok, r.doc, r.pos) for r in spark.read.parquet(out).collect())
+
+    assert run(rows[:3]) == [("a", 0, 0), ("b", 0, 1), ("c", 1, 1), ("d", 1, 2), ("e", 2, 1)]
+    assert run(rows[3:]) == [("a", 0, 0), ("b", 0, 1), ("c", 1, 1), ("d", 1, 2), ("e", 2, 1), ("f", 4, 1), ("g", 4, 2), ("h", 5, 2)]
