@@ -180,17 +180,15 @@ class _Seen(StatefulProcessor):
         self._seen = handle.getMapState("seen", "tok string", "here boolean")
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802  the interface's name
-        first: dict[str, tuple[int, int]] = {}
-        for part in rows:
-            for tok, doc, pos in zip(part["tok"], part["doc"], part["pos"], strict=True):
-                if tok not in first or (doc, pos) < first[tok]:
-                    first[tok] = (doc, pos)
-        fresh = [tok for tok in first if not self._seen.containsKey((tok,))]
-        for tok in fresh:
+        parts = [part.sort_values(["doc", "pos"]).drop_duplicates("tok") for part in rows]  # a part is an Arrow batch
+        least = pd.concat(parts).sort_values(["doc", "pos"]).drop_duplicates("tok")
+        fresh = [not self._seen.containsKey((tok,)) for tok in least["tok"]]
+        found = least[fresh]
+        for tok in found["tok"]:
             self._seen.updateValue((tok,), (True,))
-        if fresh:
-            names = pd.DataFrame({"by": [key[0]] * len(fresh), "tok": fresh}, dtype=object)
-            yield names.assign(doc=[first[t][0] for t in fresh], pos=[first[t][1] for t in fresh])
+        if len(found):
+            names = pd.DataFrame({"by": [key[0]] * len(found), "tok": list(found["tok"])}, dtype=object)
+            yield names.assign(doc=found["doc"].to_numpy(), pos=found["pos"].to_numpy())
 
     def close(self) -> None:
         pass
