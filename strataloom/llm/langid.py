@@ -4,9 +4,10 @@ A text's vector holds the counts of its letter n-grams (one to three letters, wo
 included), hashed to ``size`` places, damped by a logarithm, weighted by inverse document
 frequency and brought to length 1. Each language has several centroids, found by spherical
 k-means within its training rows. A text gets the language of the centroid of highest cosine.
-It is rejected if that cosine lies more than ``slack`` (a share) below what texts of that language and
-length reach: a low quantile of the cosines of training rows, thinned to that many n-grams, to
-centroids of the other half of the rows. Short clean texts lie far from all centroids, so their bound is low.
+It is rejected if that cosine lies below what texts of that length reach with a language that is not
+theirs: a low quantile of the cosines of training rows, thinned to that many n-grams, to the nearest
+centroid of another language. The rows' own cosines would not do, since a corpus lies far nearer to its own centroids
+than other prose in its languages; and how near two languages are hardly changes with the sample.
 
 The classifier is fitted on a bounded sample: at most ``per_language`` rows of each language,
 those of least hash of doc_id. Only their hashed counts go to the driver. Everything else runs
@@ -14,7 +15,7 @@ over all rows, and a text, however long, is read whole.
 
 Defined results: a null text and one without a letter is ``und`` with score 0 and rejected;
 ties go to the first language in alphabetical order; repeated rows repeat; without training
-rows every text is ``und``; an empty table gives no rows; a null doc_id counts as an empty
+rows every text is ``und``; with rows of one language only texts without a letter are rejected; an empty table gives no rows; a null doc_id counts as an empty
 string in the split; other columns are not read, but ``keep_known`` returns them as they are.
 """
 
@@ -33,9 +34,10 @@ from strataloom.llm.common import keep_rows, map_texts, texts
 UNKNOWN = "und"
 #: lengths with a bound of their own: a power of two n-grams up to the next
 LEVELS = 16
-LOW = 0.002
+#: share of rows that lie further than the bound from every other language
+LOW = 0.03
 #: fewer rows than this have no low quantile: longer texts take the bound of the level below
-FEW = 50
+FEW = 20
 
 
 @functools.lru_cache(maxsize=1)
@@ -96,12 +98,12 @@ class Model:
             score = np.where(some, np.clip(cosine.max(axis=1), 0, 1), 0)
             names += [self.languages[self.owner[b]] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
             scores[begin : begin + len(found)] = score
-            rejected[begin : begin + len(found)] = ~some | (score < self.bounds[self.owner[best], level(found)])
+            rejected[begin : begin + len(found)] = ~some | (score < self.bounds[level(found)])
         return names, scores, rejected
 
 
 def level(found: np.ndarray) -> np.ndarray:
-    """The row of bounds for each row's number of n-grams."""
+    """The place in bounds for each row's number of n-grams."""
     return np.log2(np.clip(found.sum(axis=1, dtype=np.float64), 1, 1 << (LEVELS - 1))).astype(int)
 
 
@@ -120,41 +122,38 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def train(found: np.ndarray, labels: list[str], clusters: int = 3, slack: float = 0.25) -> Model:
+def train(found: np.ndarray, labels: list[str], clusters: int = 3) -> Model:
     languages = sorted(set(labels))
     seen = (found > 0).sum(axis=0)
-    model = Model(languages, (np.log((1 + len(found)) / (1 + seen)) + 1).astype(np.float32), np.zeros((0, found.shape[1]), np.float32), np.zeros(0, np.int64), np.zeros((len(languages), LEVELS)))
+    model = Model(languages, (np.log((1 + len(found)) / (1 + seen)) + 1).astype(np.float32), np.zeros((0, found.shape[1]), np.float32), np.zeros(0, np.int64), np.zeros(LEVELS))
     if not len(found):
         return model
     x = model.vectors(found)
     label = np.array([languages.index(name) for name in labels])
     for k in range(len(languages)):
-        own = x[label == k]
-        centres = _cluster(own, clusters)
-        model.bounds[k] = (1 - slack) * _reached(model, found[label == k], own, clusters)
+        centres = _cluster(x[label == k], clusters)
         model.centroids = np.vstack((model.centroids, centres.astype(np.float32)))
         model.owner = np.concatenate((model.owner, np.full(len(centres), k)))
+    if len(languages) > 1:
+        model.bounds = _between(model, found, label)
     return model
 
 
-def _reached(model: Model, found: np.ndarray, own: np.ndarray, clusters: int) -> np.ndarray:
-    """For each level the ``LOW`` quantile of the cosines of one language's rows, thinned to the least length of the level."""
-    draw, half = np.random.default_rng(0), np.arange(len(own)) % 2 == 0
-    folds = [(half, ~half), (~half, half)] if len(own) >= 8 else [(half | True, half | True)]
-    folds = [(_cluster(own[fit], clusters), at) for fit, at in folds]
-    total, out = found.sum(axis=1), np.zeros(LEVELS)
+def _between(model: Model, found: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """For each level the ``LOW`` quantile of the rows' cosines to the nearest other language, thinned to the least length of the level."""
+    draw, total, out = np.random.default_rng(0), found.sum(axis=1), np.zeros(LEVELS)
     for k in range(LEVELS):
         cosines = []
-        for centres, at in folds:
-            rows = found[at & (total >= 1 << k)]
-            share = (1 << k) / np.maximum(rows.sum(axis=1, keepdims=True), 1)
-            row, place = np.nonzero(rows)
-            thin = np.zeros_like(rows)
-            thin[row, place] = draw.binomial(rows[row, place].astype(np.int64), np.broadcast_to(share, rows.shape)[row, place])
-            thin = thin[thin.any(axis=1)]
-            cosines.append((model.vectors(thin) @ centres.T).max(axis=1))
+        for begin in range(0, len(found), 256):
+            at = begin + np.flatnonzero(total[begin : begin + 256] >= 1 << k)
+            row, place = np.nonzero(found[at])
+            held = found[at[row], place].astype(np.int64)
+            thin = np.zeros((len(at), found.shape[1]), np.float32)
+            thin[row, place] = draw.binomial(held, (1 << k) / total[at[row]])
+            cosine = np.where(model.owner == label[at][:, None], -1, model.vectors(thin) @ model.centroids.T).max(axis=1, initial=-1)
+            cosines.append(cosine[thin.any(axis=1)])
         cosines = np.concatenate(cosines)
-        out[k] = np.quantile(cosines, LOW) if len(cosines) and (k == 0 or len(cosines) >= min(FEW, len(own))) else out[max(k, 1) - 1]
+        out[k] = np.quantile(cosines, LOW) if len(cosines) >= FEW else out[max(k, 1) - 1]
     return out
 
 
@@ -163,12 +162,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def fit(docs: DataFrame, per_language: int = 300, size: int = 4096, clusters: int = 3, slack: float = 0.25, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, per_language: int = 300, size: int = 16384, clusters: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Train on at most ``per_language`` rows of each language, none of them held out."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
     totals = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # a row for each language
     if not totals:
-        return train(np.zeros((0, size), np.float32), [], clusters, slack)
+        return train(np.zeros((0, size), np.float32), [], clusters)
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")), F.lit(1 << 40))
     # a quarter more than wanted, of which the least are taken
     limits = {name: int(min(1.0, 1.25 * per_language / n + 20 / n) * (1 << 40)) for name, n in totals.items()}
@@ -196,7 +195,7 @@ def fit(docs: DataFrame, per_language: int = 300, size: int = 4096, clusters: in
     for row, r in zip(found, kept, strict=True):
         row[r.places] = r.counts
     some = found.any(axis=1)
-    return train(found[some], [r.lang for r, s in zip(kept, some, strict=True) if s], clusters, slack)
+    return train(found[some], [r.lang for r, s in zip(kept, some, strict=True) if s], clusters)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
@@ -182,6 +183,77 @@ def test_language_id_rejects_other_languages_and_noise(spark):
     assert not model.predict(["The house.", "It was there and then they went out of the house and into the other one."])[2].any()
 
 
+OWN_PROSE = {
+    "en": ["All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood.", "Everyone has the right to life, liberty and security of person.", "No one shall be held in slavery or servitude; slavery and the slave trade shall be prohibited in all their forms.", "It was the best of times, it was the worst of times, it was the age of wisdom, it was the age of foolishness.", "Call me Ishmael. Some years ago, never mind how long precisely, having little or no money in my purse, I thought I would sail about a little.", "Happy families are all alike; every unhappy family is unhappy in its own way.", "The committee will meet on Thursday to discuss the new budget and the repairs to the school roof."],
+    "de": ["Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geist der Brüderlichkeit begegnen.", "Jeder hat das Recht auf Leben, Freiheit und Sicherheit der Person.", "Niemand darf in Sklaverei oder Leibeigenschaft gehalten werden; Sklaverei und Sklavenhandel sind in allen ihren Formen verboten.", "Als Gregor Samsa eines Morgens aus unruhigen Träumen erwachte, fand er sich in seinem Bett zu einem ungeheueren Ungeziefer verwandelt.", "Der Ausschuss trifft sich am Donnerstag, um über den neuen Haushalt und die Reparatur des Schuldachs zu sprechen."],
+    "fr": ["Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience et doivent agir les uns envers les autres dans un esprit de fraternité.", "Tout individu a droit à la vie, à la liberté et à la sûreté de sa personne.", "Longtemps, je me suis couché de bonne heure. Parfois, à peine ma bougie éteinte, mes yeux se fermaient si vite que je n'avais pas le temps de me dire: je m'endors.", "Le comité se réunira jeudi pour discuter du nouveau budget et des réparations du toit de l'école.", "Faites revenir les oignons jusqu'à ce qu'ils soient dorés, puis ajoutez les tomates et laissez mijoter vingt minutes."],
+    "es": ["Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben comportarse fraternalmente los unos con los otros.", "Todo individuo tiene derecho a la vida, a la libertad y a la seguridad de su persona.", "Nadie estará sometido a esclavitud ni a servidumbre; la esclavitud y la trata de esclavos están prohibidas en todas sus formas.", "En un lugar de la Mancha, de cuyo nombre no quiero acordarme, no ha mucho tiempo que vivía un hidalgo de los de lanza en astillero, adarga antigua, rocín flaco y galgo corredor.", "El comité se reunirá el jueves para hablar del nuevo presupuesto y de las reparaciones del tejado de la escuela."],
+}
+FOREIGN_PROSE = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván, egymással szemben testvéri szellemben kell hogy viseltessenek.",
+    "Všichni lidé rodí se svobodní a sobě rovní co do důstojnosti a práv. Jsou nadáni rozumem a svědomím a mají spolu jednat v duchu bratrství.",
+    "Semua orang dilahirkan merdeka dan mempunyai martabat dan hak-hak yang sama. Mereka dikaruniai akal dan hati nurani dan hendaknya bergaul satu sama lain dalam semangat persaudaraan.",
+    "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri, hivyo yapasa watendeane kindugu.",
+    "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+]
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_language_id_outside_the_corpus(spark, sf):
+    """Public prose is told apart and kept, that of unrelated languages rejected, whatever the size of the table fitted on."""
+    model = langid.fit(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet"))
+    rows = [(name, text) for name, some in OWN_PROSE.items() for text in some]
+    names, _, rejected = model.predict([text for _, text in rows])
+    assert sum(name == mine for name, (mine, _) in zip(names, rows, strict=True)) >= 0.9 * len(rows)
+    assert rejected.sum() <= 0.1 * len(rows)
+    assert model.predict(FOREIGN_PROSE)[2].sum() >= 0.8 * len(FOREIGN_PROSE)
+
+
+def plain_grams(text, size):
+    """Hashed n-gram counts of one text by plain whole numbers."""
+    codes = [0, *(ord(c) if c.isalpha() else 0 for c in text.lower()), 0]
+    out = {}
+    for i in range(len(codes)):
+        h = codes[i] * 0x9E3779B1 % 2**32
+        for n in (1, 2, 3):
+            if n > 1:
+                if i + n > len(codes):
+                    break
+                h = (h ^ codes[i + n - 1]) * (0x85EBCA6B if n == 2 else 0xC2B2AE35) % 2**32
+            middle = codes[i + 1] if n == 3 else codes[i] or (n == 2 and codes[i + 1])
+            if middle:
+                at = (h ^ (h >> 15)) % size
+                out[at] = out.get(at, 0) + 1
+    return out
+
+
+def test_language_id_against_plain_nearest_centroid(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs)
+    size, centroids = len(model.weights), [{k: float(v) for k, v in enumerate(c) if v} for c in model.centroids]
+    assert all(abs(sum(v * v for v in c.values()) - 1) < 1e-4 for c in centroids)
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        grams = plain_grams(r.text or "", size)
+        mine = got[r.doc_id]
+        if not grams:
+            assert (mine.lang_pred, mine.score, mine.rejected) == ("und", 0, True)
+            continue
+        vector = {k: math.log(1 + n) * float(model.weights[k]) for k, n in grams.items()}
+        length = math.sqrt(sum(v * v for v in vector.values()))
+        cosines = [sum(v * c.get(k, 0) for k, v in vector.items()) / length for c in centroids]
+        best = max(cosines)
+        assert abs(mine.score - best) < 1e-4
+        assert mine.lang_pred in {model.languages[o] for o, c in zip(model.owner, cosines, strict=True) if c > best - 1e-4}
+        bound = model.bounds[min(sum(grams.values()).bit_length(), langid.LEVELS) - 1]
+        assert mine.rejected == (best < bound) or abs(best - bound) < 1e-4
+
+
 def test_url_rules_and_terms(spark):
     urls = ["http://www.example.com/en/1", "http://a.EXAMPLE.com/en/", "https://x.net/es/q?z", "http://x.com/", "http://x.com", None, "no scheme", "http://casino-win.org/a", "http://free-bets.org", "http://freebets.org", "http://free.org/free", "http://exampleXcom/en/"]
     pages = spark.createDataFrame([(k, u, 1) for k, u in enumerate(urls)], "page_id bigint, url string, host int")
