@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -49,28 +50,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     _written.append(path)
+    block = _block.get()
+    if block is not None:
+        block.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: folders of all tables that materialize wrote, in order
+#: folders of all tables that materialize wrote and nothing deleted
 _written: list[str] = []
+#: those of the innermost block of scratch; each thread has its own
+_block: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Tables materialized within the block are deleted at its end: for steps whose result is written before."""
-    start = len(_written)
+    """Tables that this thread materializes within the block are deleted at its end: for steps whose result is written before."""
+    mine: list[str] = []
+    before = _block.set(mine)
     try:
         yield
     finally:
-        sweep(spark, start)
+        _block.reset(before)
+        _delete(spark, mine)
 
 
-def sweep(spark: SparkSession, start: int = 0) -> None:
-    """Delete all tables that ``materialize`` wrote, once no DataFrame reads them any more."""
-    while len(_written) > start:
-        drop_path(spark, _written.pop())
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that ``materialize`` wrote in any thread, once no DataFrame reads them any more."""
+    _delete(spark, list(_written))
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        with contextlib.suppress(ValueError):  # swept before
+            _written.remove(path)
+        drop_path(spark, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
