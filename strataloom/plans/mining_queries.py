@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataloom.catalog import register
+from strataloom.operators import circles as ci
 from strataloom.operators import communities as cm
 from strataloom.operators import inference as nf
 from strataloom.operators import shapes as sh
@@ -155,3 +156,21 @@ def acyclic_search(spark, sf_dir):
     """An order of the followers after sources and sinks are peeled off and six rounds of swaps that gain."""
     arcs = Tables(spark, sf_dir).v_followers.select("src", "dst")
     return sh.swapped_order(arcs, sh.peeled_order(arcs), 6)
+
+
+@register("ego_circles")
+def ego_circles(spark, sf_dir):
+    """Two circles among the friends of every twentieth user, by links and by shared company and location: size, share of linked pairs and weights."""
+    users = Tables(spark, sf_dir).v_users.select(F.col("id").alias("node"), "company", "location")
+    edges = _edges(spark, sf_dir)
+    found = ci.Circles(edges, users, users.where(F.col("node") % EVERY == 0), 2).run(CIRCLE_ROUNDS)
+    members = found.members()
+    ties = found.ties.join(members.withColumnRenamed("node", "x"), ["ego", "x"]).join(members.withColumnRenamed("node", "y"), ["ego", "circle", "y"])
+    inside = ties.groupBy("ego", "circle").agg((F.count("*") / 2).cast("bigint").alias("links"))
+    sizes = members.groupBy("ego", "circle").agg(F.count("*").alias("size")).join(inside, ["ego", "circle"], "left").fillna(0, ["links"])
+    weights = F.transform(F.slice("theta", F.col("circle") * 3 + 1, F.lit(3)), lambda t: F.round(t, 6))
+    return sizes.join(found.fitted, "ego").select("ego", "circle", "size", "links", weights[0].alias("base"), weights[1].alias("company"), weights[2].alias("location"))
+
+
+#: rounds of moves that the circles get
+CIRCLE_ROUNDS = 3
