@@ -160,16 +160,17 @@ def acyclic_search(spark, sf_dir):
 
 @register("ego_circles")
 def ego_circles(spark, sf_dir):
-    """Two circles among the friends of every twentieth user, by links and by shared company and location: size, share of linked pairs and weights."""
+    """Two circles among the friends of every twentieth user, by links and by shared company and location: size, linked pairs inside and weights; empty circles have a row."""
     users = Tables(spark, sf_dir).v_users.select(F.col("id").alias("node"), "company", "location")
     edges = _edges(spark, sf_dir)
     found = ci.Circles(edges, users, users.where(F.col("node") % EVERY == 0), 2).run(CIRCLE_ROUNDS)
     members = found.members()
     ties = found.ties.join(members.withColumnRenamed("node", "x"), ["ego", "x"]).join(members.withColumnRenamed("node", "y"), ["ego", "circle", "y"])
     inside = ties.groupBy("ego", "circle").agg((F.count("*") / 2).cast("bigint").alias("links"))
-    sizes = members.groupBy("ego", "circle").agg(F.count("*").alias("size")).join(inside, ["ego", "circle"], "left").fillna(0, ["links"])
+    every = found.fitted.select("ego", "theta", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("circle"))
+    sizes = every.join(members.groupBy("ego", "circle").agg(F.count("*").alias("size")), ["ego", "circle"], "left").join(inside, ["ego", "circle"], "left").fillna(0, ["size", "links"])
     weights = F.transform(F.slice("theta", F.col("circle") * 3 + 1, F.lit(3)), lambda t: F.round(t, 6))
-    return sizes.join(found.fitted, "ego").select("ego", "circle", "size", "links", weights[0].alias("base"), weights[1].alias("company"), weights[2].alias("location"))
+    return sizes.select("ego", "circle", "size", "links", weights[0].alias("base"), weights[1].alias("company"), weights[2].alias("location"))
 
 
 #: rounds of moves that the circles get
