@@ -50,6 +50,21 @@ def test_cores(spark, house):
     assert {r.node: r.core for r in gr.core_numbers(house).collect()} == {1: 2, 2: 2, 3: 2, 4: 2, 5: 1, 6: 1}
 
 
+def test_searches_in_words(spark):
+    draw = random.Random(5)
+    pairs = sorted({tuple(sorted(draw.sample(range(220), 2))) for _ in range(260)})  # more than two words of sources, several components
+    s = gr.both_ways(edges(spark, pairs)).cache()
+    sources = gr.nodes(s).where("node % 2 = 0")
+    plain = gr.bfs(s, sources)
+    words, place = gr.bfs_words(s, sources)
+    rows = words.count()
+    want = sorted(map(tuple, plain.collect()))
+    assert sorted(map(tuple, gr.word_distances(words, place).collect())) == want
+    assert rows < len(want) / 2  # not a row for each source and node
+    assert sorted(map(tuple, gr.word_hop_counts(words).collect())) == sorted(map(tuple, gr.hop_counts(plain).collect()))
+    assert Counter({(r.source, r.dist): r.nodes for r in gr.word_source_counts(words, place).collect()}) == Counter((a, d) for a, _, d in want)
+
+
 def test_bfs_and_diameter(spark, house):
     s = gr.both_ways(house)
     d = gr.bfs(s, gr.nodes(s)).cache()
