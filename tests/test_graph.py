@@ -33,6 +33,20 @@ def test_triads(spark, house):
     assert gr.triangles(house).count() == 2
 
 
+def test_sides_and_closing_by_triangles(spark):
+    draw = random.Random(9)
+    first = {tuple(sorted(draw.sample(range(24), 2))): draw.randrange(6) for _ in range(110)}
+    near = {n: {x for e in first for x in e if n in e and x != n} for n in range(24)}
+    at = lambda x, y: first[min(x, y), max(x, y)]
+    e = edges(spark, list(first)).cache()
+    assert {(r.a, r.b): r.shared for r in gr.triangle_sides(e).collect()} == {(a, b): len(near[a] & near[b]) for a, b in first if near[a] & near[b]}
+    timed = spark.createDataFrame([(a, b, t) for (a, b), t in first.items()] + [(a, b, t + 3) for (a, b), t in first.items()], "a bigint, b bigint, ts int")
+    got = {(r.a, r.b): (r.ts, r.shared) for r in gr.triad_closing(timed).collect()}
+    assert got == {(a, b): (t, sum(at(a, n) < t and at(b, n) < t for n in near[a] & near[b])) for (a, b), t in first.items()}
+    hub = edges(spark, [(0, k) for k in range(1, 1500)] + [(1, 2)])  # a hub's own pairs, a million, are never laid out
+    assert sorted(map(tuple, gr.triangle_sides(hub).collect())) == [(0, 1, 1), (0, 2, 1), (1, 2, 1)]
+
+
 def test_components_of_chains_and_hubs(spark):
     chain = [(k, k + 1) for k in range(200)]
     hub = [(1000, k) for k in range(1001, 1400)]
