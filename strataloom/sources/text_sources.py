@@ -101,11 +101,11 @@ def write_edge_list(edges: DataFrame, path: str, sep: str = "\t", header: bool =
 
 
 def write_dot(edges: DataFrame, path: str, directed: bool = True) -> None:
-    """A DOT graph in one file: its head, an edge a line, its end."""
+    """A DOT graph: its head, an edge a line, its end. The parts in the folder, put one after the other in order of their names, are the file."""
     arrow, kind = (" -> ", "digraph G {") if directed else (" -- ", "graph G {")
     lines = edges.select(F.lit(1).alias("part"), F.concat(F.lit("  "), F.col("src"), F.lit(arrow), F.col("dst"), F.lit(";")).alias("value"))
     ends = edges.sparkSession.createDataFrame([(0, kind), (2, "}")], "part int, value string")
-    ends.unionAll(lines).repartition(1).sortWithinPartitions("part", "value").select("value").write.text(path)  # the form allows one file only
+    ends.unionAll(lines).orderBy("part", "value").select("value").write.text(path)  # by ranges: no task sorts the whole
 
 
 def write_matlab(edges: DataFrame, path: str) -> None:
@@ -114,12 +114,12 @@ def write_matlab(edges: DataFrame, path: str) -> None:
 
 
 def write_pajek(vertices: DataFrame, edges: DataFrame, path: str) -> None:
-    """A Pajek file of vertices ``(id, label)`` and arcs ``(src, dst)`` in one file."""
+    """A Pajek file of vertices ``(id, label)`` and arcs ``(src, dst)``. The parts in the folder, put one after the other in order of their names, are the file."""
     spark = edges.sparkSession
     heads = spark.createDataFrame([(0, f"*Vertices {vertices.count()}"), (2, "*Arcs")], "part int, value string")
     rows = vertices.select(F.lit(1).alias("part"), F.concat(F.col("id"), F.lit(' "'), F.col("label"), F.lit('"')).alias("value"))
     arcs = edges.select(F.lit(3).alias("part"), F.concat_ws(" ", "src", "dst").alias("value"))
-    heads.unionAll(rows).unionAll(arcs).repartition(1).sortWithinPartitions("part", "value").select("value").write.text(path)  # the form allows one file only
+    heads.unionAll(rows).unionAll(arcs).orderBy("part", "value").select("value").write.text(path)  # by ranges: no task sorts the whole
 
 
 #: what parts the fields of each kind of table

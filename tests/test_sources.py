@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from strataloom.functions import text as tx
 from strataloom.sources import text_sources as src
 
@@ -68,3 +70,19 @@ def test_dot_and_pajek_are_whole_files(spark, tmp_path):
     src.write_pajek(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id bigint, label string"), e, f"{tmp_path}/net")
     vertices, arcs = src.read_pajek(spark, f"{tmp_path}/net")
     assert sorted(map(tuple, vertices.collect())) == [(1, "a"), (2, "b"), (3, "c")] and sorted(map(tuple, arcs.collect())) == [(1, 2), (2, 3)]
+
+
+def test_dot_and_pajek_are_sorted_by_ranges(spark, tmp_path):
+    e = spark.range(3000).select("id", (F.col("id") + 1).alias("dst")).toDF("src", "dst")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with much data
+    try:
+        src.write_dot(e, f"{tmp_path}/dot")
+        src.write_pajek(spark.range(3001).select("id", F.concat(F.lit("v"), "id").alias("label")), e, f"{tmp_path}/net")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    for name, first, last in (("dot", "digraph G {", "}"), ("net", "*Vertices 3001", "999 1000")):
+        parts = sorted((tmp_path / name).glob("part-*"))
+        lines = "".join(p.read_text() for p in parts).splitlines()
+        assert sum(p.stat().st_size > 0 for p in parts) > 1 and (lines[0], lines[-1]) == (first, last)
+    assert src.read_pajek(spark, f"{tmp_path}/net")[0].count() == 3001 and src.read_pajek(spark, f"{tmp_path}/net")[1].count() == 3000
