@@ -172,3 +172,19 @@ def test_signs_and_buckets(spark):
     assert got == {(1, 2): (1, 1), (2, 3): (-1, -1), (1, 3): (0, 0), (3, 4): (-1, -1), (1, 4): (-1, -1)}
     timed = spark.createDataFrame([(1, 2, 5), (2, 3, 1), (3, 4, 9)], "a bigint, b bigint, ts bigint")
     assert {r.node: (r.ts, r.bucket) for r in gs.node_buckets(timed, 2).collect()} == {2: (1, 0), 3: (1, 0), 1: (5, 1), 4: (9, 1)}
+
+
+def test_cliques_percolate_by_subsets(spark, monkeypatch):
+    pairs = some_graph(31, 24, 170)
+    cliques = gb.maximal_cliques(edges(spark, pairs)).localCheckpoint()
+    sets = [set(r.clique) for r in cliques.collect() if len(r.clique) >= 4]
+    groups: list[list[set]] = []
+    for own in sets:
+        near = [g for g in groups if any(len(own & other) >= 3 for other in g)]
+        groups = [g for g in groups if g not in near] + [[own, *itertools.chain(*near)]]
+    plain = sorted((min(set().union(*g)), len(set().union(*g)), n) for g in groups for n in set().union(*g))
+    found = lambda **how: sorted((r.community, r.size, r.node) for r in gb.clique_communities(cliques, 4, **how).collect())
+    assert max(map(len, sets)) > 4
+    assert found(most=4) == plain  # larger cliques in pairs
+    monkeypatch.setattr(gr, "split_join", None)  # no pairs of cliques at a node
+    assert found() == plain
