@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.operators import graph as gr
@@ -39,3 +40,13 @@ def test_cores_and_eigenvector_by_loops(spark):
         v = {n: x / size for n, x in w.items()}
     assert {r.node: r.value for r in gr.eigenvector(edges(spark, pairs), 5, None).collect()} == pytest.approx(v)
     assert gr.eigenvector(edges(spark, [])).count() == 0
+
+
+def test_spectrum_keeps_its_arcs_in_place(spark, monkeypatch):
+    rounds, joins = [], []
+    round_, join = grid.Grid.round, DataFrame.join
+    monkeypatch.setattr(grid.Grid, "round", lambda self, *rest: rounds.append(1) or round_(self, *rest))
+    monkeypatch.setattr(DataFrame, "join", lambda self, *rest, **more: joins.append(1) or join(self, *rest, **more))
+    assert gr.spectrum(edges(spark, some_graph(43, 12, 30)), 2, rounds=3).count() == 2
+    assert len(rounds) == 3 and len(joins) < 6  # to number and to deal, none a round
+    assert gr.spectrum(edges(spark, []), 2).count() == 0
