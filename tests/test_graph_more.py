@@ -188,3 +188,12 @@ def test_cliques_percolate_by_subsets(spark, monkeypatch):
     assert found(most=4) == plain  # larger cliques in pairs
     monkeypatch.setattr(gr, "split_join", None)  # no pairs of cliques at a node
     assert found() == plain
+
+
+def test_pushes_move_no_arcs(spark, monkeypatch):
+    plans, keep = [], gs.materialize
+    monkeypatch.setattr(gs, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, name))
+    e = edges(spark, some_graph(4, 30, 60))
+    assert gs.personal_pagerank(e, gr.nodes(gr.both_ways(e)).where("node < 3"), eps=1e-4).count()
+    pushes = [p for p in plans if "FullOuter" in p]
+    assert pushes and all("InMemoryRelation" in p for p in pushes)
