@@ -50,3 +50,17 @@ def test_spectrum_keeps_its_arcs_in_place(spark, monkeypatch):
     assert gr.spectrum(edges(spark, some_graph(43, 12, 30)), 2, rounds=3).count() == 2
     assert len(rounds) == 3 and len(joins) < 6  # to number and to deal, none a round
     assert gr.spectrum(edges(spark, []), 2).count() == 0
+
+
+def test_triangles_at_each_node_by_strips(spark, monkeypatch):
+    from itertools import combinations
+
+    from strataloom.operators import corners
+
+    pairs = some_graph(44, 40, 220)
+    linked = {frozenset(p) for p in pairs}
+    want = Counter(n for t in combinations(sorted({n for p in pairs for n in p}), 3) if all(frozenset(p) in linked for p in combinations(t, 2)) for n in t)
+    assert {r.node: r.closed for r in corners.triangle_counts(edges(spark, pairs), most=20).collect()} == want
+    assert corners.triangle_counts(edges(spark, [])).count() == 0
+    monkeypatch.setattr(gr, "triangles", None)  # no wedges are laid out as rows
+    assert {r.node: r.closed for r in gr.triads(edges(spark, pairs)).collect() if r.closed} == want
