@@ -197,3 +197,11 @@ def test_pushes_move_no_arcs(spark, monkeypatch):
     assert gs.personal_pagerank(e, gr.nodes(gr.both_ways(e)).where("node < 3"), eps=1e-4).count()
     pushes = [p for p in plans if "FullOuter" in p]
     assert pushes and all("InMemoryRelation" in p for p in pushes)
+
+
+def test_link_model_shuffles_no_wedges(spark, monkeypatch):
+    monkeypatch.setattr(gr, "split_join", None)
+    pairs = some_graph(9, 16, 30)
+    adj = around(pairs)
+    rows, _ = gs.link_model(edges(spark, pairs), rounds=2)
+    assert {(r.a, r.b): r.common for r in rows.collect()} == {(a, b): n for a in adj for b in adj if a < b and (n := len(set(adj[a]) & set(adj[b])))}
