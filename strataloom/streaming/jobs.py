@@ -79,13 +79,30 @@ def run_batches(stream: DataFrame, mode: str, work: Callable[[DataFrame, str, in
     return path, max(last, default=None)
 
 
+def drain_counts(rows: DataFrame, by: str, count: str) -> DataFrame:
+    """``(by, count)`` after the last batch of a stream of rows to be counted.
+
+    A batch adds a table of its own counts, which a batch that runs again overwrites; so it costs what it brings, holds no state, and does not write
+    again what came before, as complete mode does. The tables are added up at the end.
+    """
+    path, last = run_batches(rows, "append", lambda batch, folder, _: batch.groupBy(by).agg(F.count("*").alias(count)).write.mode("overwrite").parquet(folder))
+    spark, kind = rows.sparkSession, f"`{by}` {rows.schema[by].dataType.simpleString()}, `{count}` bigint"
+    found = spark.createDataFrame([], kind) if last is None else spark.read.schema(kind).option("recursiveFileLookup", True).parquet(path)
+    return found.groupBy(by).agg(F.sum(count).alias(count))
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """Running term frequency."""
     return docs.select(F.explode(tx.tokens(F.col("text"))).alias("tok")).groupBy("tok").agg(F.count("*").alias("tf"))
 
 
+def ngrams(docs: DataFrame, n: int) -> DataFrame:
+    """A row for each n-gram."""
+    return docs.select(F.explode(tx.ngrams(tx.tokens(F.col("text")), n)).alias("ngram"))
+
+
 def ngram_counts(docs: DataFrame, n: int) -> DataFrame:
-    return docs.select(F.explode(tx.ngrams(tx.tokens(F.col("text")), n)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("freq"))
+    return ngrams(docs, n).groupBy("ngram").agg(F.count("*").alias("freq"))
 
 
 def vocabulary_counts(docs: DataFrame, by: str) -> DataFrame:

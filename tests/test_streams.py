@@ -66,3 +66,20 @@ def test_growth_goes_on_from_the_checkpoint(spark, tmp_path):
 
     assert run(rows[:3]) == [("a", 0, 0), ("b", 0, 1), ("c", 1, 1), ("d", 1, 2), ("e", 2, 1)]
     assert run(rows[3:]) == [("a", 0, 0), ("b", 0, 1), ("c", 1, 1), ("d", 1, 2), ("e", 2, 1), ("f", 4, 1), ("g", 4, 2), ("h", 5, 2)]
+
+
+def test_counts_of_batches_add_up(spark):
+    docs = spark.createDataFrame([(k, "a b " * (k % 3) + f"w{k}") for k in range(40)], "doc_id bigint, text string")
+    stream = jobs.landed(docs, 8, 2)
+    got = jobs.drain_counts(jobs.ngrams(stream, 2), "ngram", "freq")
+    assert sorted(got.collect()) == sorted(jobs.ngram_counts(docs, 2).collect())
+    assert jobs.drain_counts(jobs.ngrams(jobs.landed(docs.limit(0)), 2), "ngram", "freq").count() == 0
+
+
+def test_a_batch_is_not_one_file(spark, tmp_path):
+    from strataloom.plans import extended_queries as eq
+
+    spark.range(100).withColumn("text", F.lit("a b")).write.parquet(f"{tmp_path}/documents.parquet")
+    files = []
+    jobs.run_batches(eq._stream(spark, tmp_path, "documents"), "append", lambda batch, folder, _: files.append(len({r[0] for r in batch.select(F.input_file_name()).distinct().collect()})))
+    assert len(files) == 4 and set(files) == {spark.sparkContext.defaultParallelism}
