@@ -162,3 +162,19 @@ def test_nodes_of_self_edges_keep_their_place(spark):
     arcs = spark.createDataFrame([(1, 1), (2, 3)], "src bigint, dst bigint")
     assert {r.node for r in sh.peeled_order(arcs).collect()} == {1, 2, 3}
     assert gr.degrees(arcs).count() == 3
+
+
+def test_rewiring_writes_all_edges_twice_only(spark, monkeypatch):
+    draw = random.Random(2)
+    pairs = sorted({(draw.randrange(60), draw.randrange(30)) for _ in range(700)})
+    written, real = [], gn.materialize
+
+    def counted(df, name):
+        out = real(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(gn, "materialize", counted)
+    got = [tuple(r) for r in gn.rewired(spark.createDataFrame(pairs, "src bigint, dst bigint")).collect()]
+    assert len(set(got)) == len(got) == len(pairs) and not [p for p in got if p[0] == p[1]]
+    assert written.count(len(pairs)) == 2 and len(written) > 10
