@@ -49,3 +49,7 @@ def query(spark, name):
 
 def test_bfs_hops_from_all(spark):
     assert query(spark, "bfs_hops").select("source").distinct().count() == every_node(spark).count()
+
+
+def test_closeness_of_all(spark):
+    assert query(spark, "closeness").count() == every_node(spark).count()
