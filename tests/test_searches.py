@@ -53,3 +53,7 @@ def test_bfs_hops_from_all(spark):
 
 def test_closeness_of_all(spark):
     assert query(spark, "closeness").count() == every_node(spark).count()
+
+
+def test_hop_histogram_of_all(spark):
+    assert {r.dist: r.pairs for r in query(spark, "hop_histogram").collect()}[0] == every_node(spark).count()
