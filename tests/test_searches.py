@@ -57,3 +57,7 @@ def test_closeness_of_all(spark):
 
 def test_hop_histogram_of_all(spark):
     assert {r.dist: r.pairs for r in query(spark, "hop_histogram").collect()}[0] == every_node(spark).count()
+
+
+def test_subtree_size_of_all(spark):
+    assert query(spark, "subtree_size").count() == every_node(spark).count()
