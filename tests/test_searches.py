@@ -35,10 +35,14 @@ def test_no_edges(parts):
     assert not se.distances(parts[0].where("a < 0")).collect()
 
 
-def every_node(spark):
+def _edges(spark):
     from strataloom.tables import Tables
 
-    return gr.nodes(gr.both_ways(Tables(spark, "/root/testdata/sf0.001").v_edges))
+    return Tables(spark, "/root/testdata/sf0.001").v_edges
+
+
+def every_node(spark):
+    return gr.nodes(gr.both_ways(_edges(spark)))
 
 
 def query(spark, name):
@@ -61,3 +65,8 @@ def test_hop_histogram_of_all(spark):
 
 def test_subtree_size_of_all(spark):
     assert query(spark, "subtree_size").count() == every_node(spark).count()
+
+
+def test_eff_diameter_of_all(spark):
+    plain = gr.bfs(gr.both_ways(_edges(spark)), every_node(spark))
+    assert abs(query(spark, "eff_diameter").first().mean - plain.agg({"dist": "avg"}).first()[0]) < 1e-6
