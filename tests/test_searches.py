@@ -70,3 +70,11 @@ def test_subtree_size_of_all(spark):
 def test_eff_diameter_of_all(spark):
     plain = gr.bfs(gr.both_ways(_edges(spark)), every_node(spark))
     assert abs(query(spark, "eff_diameter").first().mean - plain.agg({"dist": "avg"}).first()[0]) < 1e-6
+
+
+def test_bfs_tree_stores_no_pairs(spark):
+    from strataloom import session
+
+    before = len(session._written)
+    query(spark, "bfs_tree").count()
+    assert not any("/bfs-" in path for path in session._written[before:])  # no table of distances for each hop
