@@ -78,3 +78,25 @@ def test_bfs_tree_stores_no_pairs(spark):
     before = len(session._written)
     query(spark, "bfs_tree").count()
     assert not any("/bfs-" in path for path in session._written[before:])  # no table of distances for each hop
+
+
+@pytest.mark.parametrize("some", [False, True])
+def test_betweenness_by_sources(spark, monkeypatch, some):
+    from strataloom.operators import graph_blocks as gb
+
+    monkeypatch.setattr(se, "STRIP", 64)  # several strips
+    draw = random.Random(5)
+    e = spark.createDataFrame(sorted({tuple(sorted(draw.sample(range(50), 2))) for _ in range(90)} | {(100, 101), (101, 102)}), "a bigint, b bigint").cache()
+    every = gr.nodes(gr.both_ways(e))
+    asked = every.where("node % 3 = 0") if some else None
+    node, edge = gb.betweenness(e, every if asked is None else asked)
+    assert {r.node: r.value for r in se.betweenness(e, asked).collect()} == pytest.approx({r.node: r.value for r in node.collect()})
+    want = pytest.approx({(r.a, r.b): r.value for r in edge.collect()})
+    for groups in (None, 3):
+        assert {(r.a, r.b): r.value for r in se.edge_betweenness(e, asked, groups).collect()} == want
+
+
+def test_edge_betweenness_from_all(spark):
+    s = gr.both_ways(_edges(spark))
+    distances = gr.bfs(s, every_node(spark)).agg({"dist": "sum"}).first()[0]
+    assert query(spark, "edge_betweenness").agg({"value": "sum"}).first()[0] == pytest.approx(distances)  # each pair's path has as many edges as its distance
